@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, odd_sketch, url_trie
+from . import ann_mih, bm25_packing, collision_projections, crf_quality, feistel_output, mixing, odd_sketch, sentence_spans, url_trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_mih.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,11 +24,49 @@ def op3_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_odd_sketch_dedup, op3_subset_sum_mix, op5_url_trie)}
+def op6_collision_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_projections.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_output.materialise(table(spark, sf_dir, "documents")).verified()
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_sentences", "n_removed")
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, manifest, payloads=False).drop("payload", "target_uri")
+
+
+def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (
+    op1_multi_index_hashing,
+    op2_odd_sketch_dedup,
+    op3_subset_sum_mix,
+    op4_bm25_packing,
+    op5_url_trie,
+    op6_collision_projections,
+    op7_feistel_shards,
+    op8_sentence_spans,
+    op9_warc_round_trip,
+    op10_crf_quality,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: Fixed rules as rows, each fitted by plain string comparison; the longest host wins, then the longest path.
 _OP5 = r"""
@@ -70,4 +113,31 @@ SELECT s.doc_id, s.n AS n_shingles, coalesce(l.component, s.doc_id) AS component
 FROM sizes s LEFT JOIN least l ON l.node = s.doc_id
 """
 
-ORACLES = {"op5_url_trie": _OP5, "op2_odd_sketch_dedup": _OP2}
+#: Records of equal payloads of at least 100 bytes revisit the one with the smallest id.
+_OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT d.page_id, d.n::BIGINT AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.h = d.h AND d.n >= 100
+"""
+
+#: Every pair of vectors, and reachability by a recursive closure.
+_OP6 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+degree AS (SELECT x, count(*) AS c FROM links GROUP BY x),
+reach AS (SELECT x AS node, x AS seen FROM links UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.seen),
+least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT e.vec_id, coalesce(d.c, 0)::BIGINT AS n_links, coalesce(l.component, e.vec_id) AS component_id, coalesce(l.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN least l ON l.node = e.vec_id
+"""
+
+ORACLES = {"op6_collision_projections": _OP6, "op9_warc_round_trip": _OP9, "op5_url_trie": _OP5, "op2_odd_sketch_dedup": _OP2}
