@@ -1,19 +1,28 @@
 """Token ids of whole texts by a public tokenizer file.
 
 Tokenizers of the word-level kind drop white space, so a text's ids are those of its runs of non-space bytes one after
-the other; the ids of short runs are remembered, up to a fixed number of them.
+the other. The ids of recent short runs are remembered, a fixed number of them. A new one of common Latin letters and
+printable ASCII is split here and its parts go to the tokenizer's model, if that gives what the tokenizer gives for
+PROBES; any other goes through the tokenizer's own normaliser and splitter first.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-REMEMBERED, LONGEST = 200_000, 64  # words kept, and their greatest length in bytes
+REMEMBERED, LONGEST = 250_000, 64  # words in each of two generations, and their greatest length in bytes
+
+LATIN = "ß-öø-ÿ"
+SIMPLE = re.compile(f"[!-~À-ÖØ-Þ{LATIN}]+")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+PROBES = ["Ab,c.", "don't", "I'LL'S", "'s't'rex", "a1b22c", "x--y!!", "ÀÉß-öÿÞ", "été.", "(`~_^)", "|", "$$$12%,", "''ve", "it's(we're)", "Größe"]
 
 _CACHE: dict[str, Encoder] = {}
 
@@ -27,27 +36,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.model, self.normalise, self.split = self.tokenizer.model, self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.mapped = {ord(c): self.split(c)[0][0] for c in letters}
+        self.parts: dict[str, list[int]] = {}
+        self.simple = True
+        self.simple = all(self._parts(w.lower()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _parts(self, text: str) -> list[int]:
+        out: list[int] = []
+        for part in PARTS.findall(text):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.mapped))]
+                if len(self.parts) >= REMEMBERED:
+                    self.parts = {}
+                if len(part) <= LONGEST:
+                    self.parts[part] = ids
+            out += ids
+        return out
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode()
+            special = any(s in text for s in self.special)
+            if self.simple and not special and SIMPLE.fullmatch(text):
+                ids = self._parts(text.lower())
+            elif special:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = [t.id for piece, _ in self.split(self.normalise(text)) for t in self.model.tokenize(piece)]
+            found = struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+        if len(word) <= LONGEST:
+            if len(self.recent) >= REMEMBERED:
+                self.older, self.recent = self.recent, {}
+            self.recent[word] = found
+        return found
 
     def encode(self, text: str | None, end_id: int = END_ID) -> bytes:
         """The ids of the text, then end_id; null is empty."""
         words = text.encode().split() if text else []
-        end = np.array([end_id], self.kind).tobytes()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words]) + end
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found, strict=True)}
-        if len(known) + len(fresh) > REMEMBERED:
-            known = {w: known[w] for w in words if w in known}  # what this text still needs
-        out = b"".join([fresh[w] if w in fresh else known[w] for w in words]) + end
-        if known is not self.known:
-            self.known = known = {}
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
-        return out
+        parts = list(map(self.recent.get, words))
+        for i, part in enumerate(parts):
+            if part is None:
+                parts[i] = self.recent.get(words[i]) or self._word(words[i])
+        parts.append(np.array([end_id], self.kind).tobytes())
+        return b"".join(parts)
 
 
 def encoder(path: str = WORD_BPE) -> Encoder:
