@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.model, self.normalise, self.split = self.tokenizer.model, self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)").search
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.mapped = {ord(c): self.split(c)[0][0] for c in letters}
         self.parts: dict[str, list[int]] = {}
@@ -63,14 +66,14 @@ class Encoder:
         found = self.older.get(word)
         if found is None:
             text = word.decode()
-            special = any(s in text for s in self.special)
+            special = self.special(text)
             if self.simple and not special and SIMPLE.fullmatch(text):
                 ids = self._parts(text.lower())
             elif special:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
                 ids = [t.id for piece, _ in self.split(self.normalise(text)) for t in self.model.tokenize(piece)]
-            found = struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+            found = array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
         if len(word) <= LONGEST:
             if len(self.recent) >= REMEMBERED:
                 self.older, self.recent = self.recent, {}
