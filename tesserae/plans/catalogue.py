@@ -1,6 +1,500 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and, where SQL can express them, their DuckDB SQL.
+
+Every query runs over whole tables and whole texts. Symbol strings of a user are the first letters of their events'
+types in order of time.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize, pattern
+from ..functions import sequence as seq
+from ..operators import aggregates, holes, native, search
+from ..sources import sinks
+from ..sources.profiles import parse_profiles, simple_profile
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MOTIF = simple_profile("VCP", "CEPSV", cutoff=5)
+CYCLE = simple_profile("VC", "CEPSV", match=4, mismatch=-6, gap=-9, cutoff=12, circular=True)
+WORDS = [simple_profile(w, LETTERS, cutoff=9) for w in ("THAT", "WITH")]
+FREQUENCY = [0, *range(1, 27)]
+
+#: A profile in the text format, with every kind of line; values are examples.
+SAMPLE = """ID   SAMPLE; MATRIX.
+AC   XX00002;
+DT   01-JAN-2020.
+DE   Example.
+MA   /GENERAL_SPEC: ALPHABET='CEPSV'; LENGTH=3;
+MA   /DISJOINT: DEFINITION=PROTECT; N1=1; N2=3;
+MA   /NORMALIZATION: MODE=1; PRIORITY=1; FUNCTION=LINEAR; R1=0.5; R2=0.25; TEXT='n';
+MA   /CUT_OFF: LEVEL=1; SCORE=8; N_SCORE=2.5; MODE=1; TEXT='!';
+MA   /CUT_OFF: LEVEL=0; SCORE=5; N_SCORE=1.75; MODE=1; TEXT='?';
+MA   /DEFAULT: M0=-1; D=-3; I=-3; I0=-3; MI=-1; MD=-1; IM=0; DM=0;
+MA   /M: SY='V'; M=-1,-1,-1,-1,4;
+MA   /I: MI=-2; MD=-2;
+MA   /M: SY='C'; M=3,-1,-1,-1,-1;
+MA   /M: SY='P'; M=-1,-1,3,0,-1;
+//
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, raw: a user's symbol string."""
+    letter = F.upper(F.substring("event_type", 1, 1))
+    rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", letter.alias("c"))))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["c"]), "").alias("raw"))
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", seq.clean(F.col("text")).alias("seq"))
+
+
+def zmw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes made of orders: a line is an insert, and one region of high quality lies across them."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"))
+    insert = F.struct(F.lit("Insert").alias("type"), (F.col("l_linenumber") * 100).alias("start"), (F.col("l_linenumber") * 100 + F.col("q") * 2).alias("stop"), F.lit(0).alias("quality"))
+    rows = lines.groupBy(F.col("l_orderkey").alias("hole")).agg(F.sort_array(F.collect_list(insert)).alias("inserts"))
+    stop = (F.pmod(F.col("hole"), F.lit(9)) * 90).cast("int")
+    hq = F.struct(F.lit("HQRegion").alias("type"), F.lit(130).alias("start"), stop.alias("stop"), F.pmod(F.col("hole") * 37, F.lit(1001)).cast("int").alias("quality"))
+    status = F.when(F.pmod(F.col("hole"), F.lit(7)) == 0, 1).otherwise(0)
+    return rows.select("hole", F.lit(0).alias("x"), F.lit(0).alias("y"), status.alias("status"), F.lit("").alias("bases"), F.concat("inserts", F.array(hq)).alias("regions"))
+
+
+def hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return search.search(symbols(spark, sf_dir), [MOTIF], key="user_id", **options)
+
+
+def cycle_hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return search.search(symbols(spark, sf_dir), [CYCLE], key="user_id", **options)
+
+
+PLACES = ["user_id", "rank", "orientation", "score", "cycles", "seq_begin", "seq_end", "prf_begin", "prf_end", "states", "aligned"]
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_SYMBOLS = "SELECT user_id, string_agg(upper(substr(event_type, 1, 1)), '' ORDER BY ts, event_id) AS raw FROM events GROUP BY user_id"
+_CLEAN = "SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq FROM documents"
+
+
+# The ungapped heuristic and the full alignment score, inside the JVM.
+
+
+@query(f"""
+WITH RECURSIVE s AS ({_SYMBOLS}),
+m AS (SELECT user_id, raw, i, CASE substr(raw, i, 1) WHEN 'V' THEN 3 ELSE -1 END AS m1, CASE substr(raw, i, 1) WHEN 'C' THEN 3 ELSE 0 END AS m2,
+  CASE substr(raw, i, 1) WHEN 'P' THEN 3 ELSE -1 END AS m3 FROM s, LATERAL (SELECT unnest(range(1, length(raw) + 1)) AS i)),
+r AS (
+  SELECT user_id, i, m1 AS v1, m2 AS v2, m3 AS v3, m1 AS b1, m2 AS b2, m3 AS b3 FROM m WHERE i = 1
+  UNION ALL
+  SELECT m.user_id, m.i, greatest(0, m1), greatest(0, v1 + m2), greatest(0, v2 + m3),
+    greatest(b1, m1, 0), greatest(b2, v1 + m2, 0), greatest(b3, v2 + m3, 0)
+  FROM r JOIN m ON m.user_id = r.user_id AND m.i = r.i + 1)
+SELECT user_id, (b1 + b2 + b3)::BIGINT AS heuristic FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1
+""")
+def heur_score_events(spark, sf_dir):
+    return symbols(spark, sf_dir).select("user_id", native.heuristic(F.col("raw"), MOTIF).cast("long").alias("heuristic"))
+
+
+_K1 = f"""
+WITH RECURSIVE s AS ({_SYMBOLS}),
+g AS (SELECT user_id, i, CASE substr(raw, i, 1) WHEN 'V' THEN 3 ELSE -1 END AS a1, CASE substr(raw, i, 1) WHEN 'C' THEN 3 ELSE -1 END AS a2,
+  CASE substr(raw, i, 1) WHEN 'P' THEN 3 ELSE -1 END AS a3 FROM s, LATERAL (SELECT unnest(range(1, length(raw) + 1)) AS i)),
+r AS (
+  SELECT user_id, 0 AS i, 0 AS m0, 0 AS m1, 0 AS m2, -12285 AS m3, -12285 AS i1, -12285 AS i2, -12285 AS i3, -99999 AS best FROM s
+  UNION ALL
+  SELECT user_id, i, 0, greatest(k1, j1, 0), greatest(k2, j2, d1 - 3, 0), greatest(k3, j3, greatest(k2, d1 - 3) - 3, -12285),
+    greatest(k1, j1, -12285), greatest(k2, j2, -12285), greatest(k3, j3, -12285), greatest(best, k1, k2, k3)
+  FROM (SELECT g.user_id, g.i, m0 + a1 AS k1, m1 + a2 AS k2, m2 + a3 AS k3, i1 - 3 AS j1, i2 - 3 AS j2, i3 - 3 AS j3,
+      greatest(m0 + a1, -12288) AS d1, best
+    FROM r JOIN g ON g.user_id = r.user_id AND g.i = r.i + 1))
+SELECT user_id, best::BIGINT AS score FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1
+"""
+
+
+@query(_K1)
+def k1_best_events(spark, sf_dir):
+    return symbols(spark, sf_dir).select("user_id", native.best_score(F.col("raw"), MOTIF).cast("long").alias("score"))
+
+
+@query(_K1)
+def k1_best_events_kernel(spark, sf_dir):
+    return search.best_scores(symbols(spark, sf_dir), [MOTIF], key="user_id").select("user_id", F.col("score").cast("long").alias("score"))
+
+
+@query()
+def k1_best_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.best_scores(docs, WORDS, key="doc_id", text="text")
+
+
+# Transforms of records.
+
+
+@query(f"SELECT doc_id, length(seq)::BIGINT AS n FROM ({_CLEAN})")
+def clean_len(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM documents")
+def clean_keep_case(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", seq.clean_keep_case(F.col("text")).alias("seq"))
+
+
+@query(f"SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM ({_CLEAN})")
+def revcomp_text(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", seq.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@query(f"SELECT doc_id, reverse(translate(regexp_replace(seq, '[^ACGT]', '?', 'g'), 'ACGT', 'TGCA')) AS seq FROM ({_CLEAN})")
+def revcomp_strict(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", seq.reverse_complement_strict(F.col("seq")).alias("seq"))
+
+
+@query(f"SELECT doc_id, reverse(seq) AS seq FROM ({_CLEAN})")
+def reverse_text(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", F.reverse("seq").alias("seq"))
+
+
+@query(f"SELECT doc_id, translate(seq, 'ATCGMKRYVBHD', 'TAGCKMYRBVDH') AS seq FROM ({_CLEAN})")
+def complement_alphabet(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", seq.complement_alphabet(F.col("seq"), iupac=True).alias("seq"))
+
+
+@query(f"SELECT user_id, array_to_string(list_transform(string_split(raw, ''), lambda c: strpos('VCP', c)), ',') AS codes FROM ({_SYMBOLS})")
+def alphabet_index(spark, sf_dir):
+    codes = F.transform(seq.encode(F.col("raw"), "VCP"), lambda c: c.cast("string"))
+    return symbols(spark, sf_dir).select("user_id", F.array_join(codes, ",").alias("codes"))
+
+
+@query(f"""
+SELECT doc_id, round(CASE WHEN length(seq) = 0 THEN 0 ELSE list_sum(list_transform(string_split(seq, ''), lambda c: ascii(c) - 64.0)) / length(seq) END, 4) AS average
+FROM ({_CLEAN})""")
+def doc_avg_freq(spark, sf_dir):
+    code = seq.encode(F.col("seq"), LETTERS)
+    return cleaned(spark, sf_dir).select("doc_id", F.round(normalize.average_score(code, FREQUENCY), 4).alias("average"))
+
+
+@query("SELECT event_id, round(0.5 + 0.25 * floor(value), 4) AS norm FROM events")
+def norm_linear(spark, sf_dir):
+    raw = F.floor("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(normalize.to_normalized(raw, normalize.LINEAR, [0.5, 0.25]), 4).alias("norm"))
+
+
+@query("SELECT doc_id, round(((n_chars * 3.0) / (1.0 - exp(-0.001 * n_chars - 0.25)) - 11.0) / 7.0, 4) AS norm FROM documents")
+def norm_gle(spark, sf_dir):
+    length = F.col("n_chars")
+    value = normalize.to_normalized(length * 3, normalize.ZSCORE, [20.0, -0.001, 0.25, 11.0, 7.0], length)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(value, 4).alias("norm"))
+
+
+@query("SELECT doc_id, trunc(20.0 * (1.0 - exp(-0.001 * n_chars - 0.25)) * (7.0 * 3.5 + 11.0) + 0.5)::BIGINT AS raw FROM documents")
+def raw_cutoff(spark, sf_dir):
+    raw = normalize.to_raw(F.lit(3.5), normalize.ZSCORE, [20.0, -0.001, 0.25, 11.0, 7.0], F.col("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", raw.cast("long").alias("raw"))
+
+
+@query("SELECT event_id, CASE WHEN floor(value) >= 8 THEN 1 WHEN floor(value) >= 5 THEN 0 ELSE -1 END::BIGINT AS level FROM events")
+def level_tag(spark, sf_dir):
+    profile = parse_profiles(SAMPLE)[0]
+    return table(spark, sf_dir, "events").select("event_id", search.level_tags(profile, F.floor("value")).cast("long").alias("level"))
+
+
+@query(f"""
+WITH c AS ({_CLEAN})
+SELECT doc_id, coalesce(array_to_string(list_transform(range(0, (length(seq) + 79) // 80), lambda i: substr(seq, i * 80 + 1, 80)), chr(10)), '') AS text FROM c
+""")
+def fasta_wrap(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", seq.wrap(F.col("seq")).alias("text"))
+
+
+@query()
+def translate_frames(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", *[seq.translate_frame(F.col("seq"), f).alias(f"frame_{f}") for f in range(3)])
+
+
+@query(f"""
+SELECT user_id, array_to_string(list_transform(string_split(raw, ''), lambda c: CASE c WHEN 'C' THEN 'TGY' WHEN 'E' THEN 'GAR' WHEN 'P' THEN 'CCN'
+  WHEN 'S' THEN 'WSN' WHEN 'V' THEN 'GTN' ELSE 'NNN' END), '') AS codons FROM ({_SYMBOLS})""")
+def amino_codons(spark, sf_dir):
+    return symbols(spark, sf_dir).select("user_id", seq.amino_to_codons(F.col("raw")).alias("codons"))
+
+
+# Patterns.
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(seq, 'T[AEIOU]{{1,2}}N'))::BIGINT AS n FROM ({_CLEAN})")
+def regex_count(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", pattern.count(F.col("seq"), "T[AEIOU]{1,2}N").alias("n"))
+
+
+@query(f"SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(seq, '(?:TH)+'), lambda r: length(r) // 2)), 0)::BIGINT AS cycles FROM ({_CLEAN})")
+def regex_cycles(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", pattern.cycles(F.col("seq"), "TH", 2).alias("cycles"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(seq, '[AC].V.{{2}}[^ED]'))::BIGINT AS n FROM ({_CLEAN})")
+def pattern_to_regex(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", pattern.count(F.col("seq"), pattern.to_regex("[AC]-x-V-x(2)-{ED}.")).alias("n"))
+
+
+@query(f"SELECT n AS bin, count(*)::BIGINT AS n_docs FROM (SELECT least(len(regexp_extract_all(seq, 'ING')), 20)::BIGINT AS n FROM ({_CLEAN})) GROUP BY 1")
+def regex_hist(spark, sf_dir):
+    counted = cleaned(spark, sf_dir).select(F.least(pattern.count(F.col("seq"), "ING"), F.lit(20)).cast("long").alias("bin"))
+    return counted.groupBy("bin").agg(F.count("*").alias("n_docs"))
+
+
+# Aggregates.
+
+
+@query(f"SELECT unnest(string_split(seq, '')) AS letter, count(*)::BIGINT AS n FROM ({_CLEAN}) WHERE seq <> '' GROUP BY 1")
+def letter_hist(spark, sf_dir):
+    return aggregates.letter_histogram(cleaned(spark, sf_dir), F.col("seq"))
+
+
+@query(f"WITH k AS ({_K1.strip()}) SELECT b.bin, count(k.score)::BIGINT AS n FROM (SELECT unnest(range(-5, 16))::BIGINT AS bin) b LEFT JOIN k ON k.score = b.bin GROUP BY 1")
+def score_hist(spark, sf_dir):
+    return aggregates.histogram(k1_best_events(spark, sf_dir), F.col("score"), -5, 15)
+
+
+@query("""
+SELECT s.s::BIGINT AS score, c.c::BIGINT AS cycles, count(l.l_orderkey)::BIGINT AS n
+FROM (SELECT unnest(range(0, 50)) AS s) s CROSS JOIN (SELECT unnest(range(1, 6)) AS c) c
+LEFT JOIN lineitem l ON l.l_quantity::BIGINT = s.s AND l.l_linenumber = c.c GROUP BY 1, 2""")
+def score_density(spark, sf_dir):
+    return aggregates.density(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_linenumber"), (0, 50), (1, 6))
+
+
+@query("""
+SELECT b.bin::BIGINT AS bin, count(l.v)::BIGINT AS n FROM (SELECT unnest(range(0, 8)) AS bin) b
+LEFT JOIN (SELECT CASE WHEN l_quantity BETWEEN 10 AND 40 THEN l_linenumber ELSE 0 END AS v FROM lineitem) l ON l.v = b.bin GROUP BY 1""")
+def cycle_hist(spark, sf_dir):
+    return aggregates.cycle_histogram(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_linenumber"), 0, 7, (10, 40))
+
+
+@query("SELECT count(*) FILTER (WHERE NOT l_quantity BETWEEN 5 AND 45)::BIGINT AS missed FROM lineitem")
+def missed_count(spark, sf_dir):
+    return aggregates.missed(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), 5, 45)
+
+
+@query("""
+SELECT t.x::BIGINT AS threshold, count(*) FILTER (WHERE n >= x AND q = 1)::BIGINT AS tp, count(*) FILTER (WHERE n >= x AND q = 0)::BIGINT AS fp,
+  count(*) FILTER (WHERE n < x AND q = 0)::BIGINT AS tn, count(*) FILTER (WHERE n < x AND q = 1)::BIGINT AS fn
+FROM (SELECT d.n_chars AS n, l.quality AS q FROM labels l JOIN documents d USING (doc_id)), (SELECT unnest([500, 1000, 2000, 4000]) AS x) t GROUP BY 1""")
+def confusion(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return aggregates.contingency(rows, F.col("n_chars"), F.col("quality"), [500, 1000, 2000, 4000])
+
+
+@query("""
+WITH c AS (SELECT floor(value)::BIGINT AS v, count(*) AS n FROM events GROUP BY 1), r AS (SELECT v, sum(n) OVER (ORDER BY v) AS below, sum(n) OVER () AS total FROM c),
+q AS (SELECT min(v) FILTER (WHERE below * 4 > total) AS q25, min(v) FILTER (WHERE below * 4 > total * 3) AS q75 FROM r)
+SELECT q25, q75, q75 + 0.5 * (q75 - q25) AS bound, (SELECT max(v) FROM c WHERE v <= q75 + 0.5 * (q75 - q25)) AS "limit" FROM q""")
+def iqr_limit(spark, sf_dir):
+    return aggregates.quartile_limit(table(spark, sf_dir, "events"), F.floor("value"), 0.5)
+
+
+@query("""
+SELECT b.bin::BIGINT AS bin, count(l.v)::BIGINT AS n FROM (SELECT unnest(range(0, 256)) AS bin) b
+LEFT JOIN (SELECT floor(value)::BIGINT AS v FROM events) l ON l.v = b.bin GROUP BY 1""")
+def byte_hist(spark, sf_dir):
+    return aggregates.byte_histogram(table(spark, sf_dir, "events"), F.floor("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) = 1")
+def best_per_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    best = aggregates.best_of_group(rows, "l_orderkey", "l_quantity", "l_linenumber")
+    return best.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity")
+
+
+@query("SELECT CASE WHEN o_orderstatus IN ('T', 'P', 'N', 'F') THEN o_orderstatus ELSE '?' END AS state, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def dr_state_counts(spark, sf_dir):
+    return aggregates.state_counts(table(spark, sf_dir, "orders"), F.col("o_orderstatus"))
+
+
+# Hits and what is made of them.
+
+
+@query()
+def hits_nonoverlap(spark, sf_dir):
+    return hits(spark, sf_dir).select(*PLACES)
+
+
+@query()
+def hits_circular(spark, sf_dir):
+    return cycle_hits(spark, sf_dir).select(*PLACES)
+
+
+@query()
+def optimal_hit(spark, sf_dir):
+    return hits(spark, sf_dir, top=1).select(*PLACES)
+
+
+@query()
+def score_range(spark, sf_dir):
+    return hits(spark, sf_dir, score_range=(5, 6)).select(*PLACES)
+
+
+@query()
+def not_range(spark, sf_dir):
+    return hits(spark, sf_dir, score_range=(5, 6), invert=True).select(*PLACES)
+
+
+@query()
+def border_clip(spark, sf_dir):
+    return hits(spark, sf_dir, score_range=(4, 9), clip=(5, 5)).select(*PLACES)
+
+
+@query()
+def cycle_range(spark, sf_dir):
+    return cycle_hits(spark, sf_dir, cycle_range=(2, 9), score_range=(8, 1000)).select(*PLACES)
+
+
+@query()
+def best_strand(spark, sf_dir):
+    return search.best_strand(search.best_scores(cleaned(spark, sf_dir), WORDS, both_strands=True, key="doc_id", text="seq"), "doc_id")
+
+
+def _extracted(what: str):
+    def run(spark, sf_dir):
+        return search.extract(symbols(spark, sf_dir), hits(spark, sf_dir), what, key="user_id")
+
+    run.__name__ = f"extract_{what}"
+    return query()(run)
+
+
+for _what in ("source", "before", "after", "between"):
+    _extracted(_what)
+
+
+def _formatted(name: str):
+    def run(spark, sf_dir):
+        found = search.with_norm(hits(spark, sf_dir), MOTIF).withColumn("header", F.concat(F.lit("user|"), F.col("user_id"), F.lit(" events")))
+        return sinks.lines(found, MOTIF, name)
+
+    run.__name__ = f"format_{name}"
+    return query()(run)
+
+
+for _name in sinks.FORMATS:
+    _formatted(_name)
+
+
+@query()
+def matrix_tab(spark, sf_dir):
+    return sinks.tab(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"))
+
+
+@query()
+def matrix_rows(spark, sf_dir):
+    return sinks.rows_of(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"), "match", "user_id")
+
+
+@query()
+def matrix_extrema(spark, sf_dir):
+    return aggregates.matrix_extrema(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"), "user_id")
+
+
+@query()
+def run_length_states(spark, sf_dir):
+    return hits(spark, sf_dir).select("user_id", "rank", seq.run_lengths(F.col("states")).alias("runs"))
+
+
+@query()
+def heuristic_documents(spark, sf_dir):
+    return search.heuristic_scores(table(spark, sf_dir, "documents"), WORDS[0], key="doc_id", text="text")
+
+
+@query()
+def classify_hits(spark, sf_dir):
+    parts = [simple_profile(w, "CEPSV") for w in ("VCP", "VC", "CPS")]
+    return search.classify(hits(spark, sf_dir), parts, "user_id").select("user_id", "rank", "class_id", "class_score")
+
+
+@query()
+def map_reads(spark, sf_dir):
+    return search.map_tags(table(spark, sf_dir, "part"), [("ring", "RING"), ("bolt", "BALT"), ("n", "WNDGET")], key="p_partkey", text="p_name")
+
+
+# Holes.
+
+_ZMW = """
+SELECT hole, i.i::BIGINT AS region, 100 * line AS start, 100 * line + 2 * q AS stop, 130 AS hs, (hole % 9) * 90 AS he, (hole * 37) % 1001 AS hq, hole % 7 <> 0 AS sequencing
+FROM (SELECT l_orderkey AS hole, l_linenumber AS line, max(l_quantity)::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n
+  FROM lineitem GROUP BY l_orderkey, l_linenumber), LATERAL (SELECT n AS i) i
+"""
+
+
+@query(f"""
+SELECT hole, region, CASE WHEN least(stop, he) > greatest(start, hs) THEN 'Insert' ELSE 'Useless' END AS type, greatest(start, hs)::BIGINT AS start, least(stop, he)::BIGINT AS stop
+FROM ({_ZMW})""")
+def region_clip(spark, sf_dir):
+    flat = holes.clip_to_high_quality(zmw(spark, sf_dir)).select("hole", F.posexplode("regions").alias("region", "r"))
+    return flat.where("r.type <> 'HQRegion'").select("hole", F.col("region").cast("long").alias("region"), "r.type", F.col("r.start").cast("long").alias("start"), F.col("r.stop").cast("long").alias("stop"))
+
+
+@query(f"""
+WITH z AS ({_ZMW}), h AS (SELECT hole, any_value(sequencing) AS s, any_value(he > hs) AS v, any_value(hq) AS q, count(*) AS n,
+  count(*) FILTER (WHERE start < he AND stop > hs) AS w FROM z GROUP BY hole)
+SELECT count(*)::BIGINT AS holes, count(*) FILTER (WHERE s)::BIGINT AS sequencing, count(*) FILTER (WHERE s AND v AND q >= 750)::BIGINT AS high_quality,
+  count(*) FILTER (WHERE s AND v AND q < 750)::BIGINT AS low_quality, count(*) FILTER (WHERE s AND NOT v)::BIGINT AS invalid,
+  sum(n) FILTER (WHERE s)::BIGINT AS subreads, sum(w) FILTER (WHERE s)::BIGINT AS "within", sum(n - w) FILTER (WHERE s)::BIGINT AS outside, count(*) FILTER (WHERE NOT s)::BIGINT AS other FROM h""")
+def zmw_summary(spark, sf_dir):
+    return holes.summary(zmw(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT hole FROM ({_ZMW}) WHERE sequencing AND he > hs AND hq BETWEEN 200 AND 900")
+def zmw_select(spark, sf_dir):
+    return holes.select(zmw(spark, sf_dir), min_quality=200, max_quality=900).select("hole")
+
+
+@query(f"SELECT DISTINCT hole FROM ({_ZMW}) WHERE sequencing")
+def status_filter(spark, sf_dir):
+    return holes.select(zmw(spark, sf_dir), invalid="keep").select("hole")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def whitelist_semi(spark, sf_dir):
+    white = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return table(spark, sf_dir, "orders").join(white, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, (sum(1 + event_id % 5 + 1 + event_id % 7) OVER w - (1 + event_id % 7))::BIGINT AS start, sum(1 + event_id % 5 + 1 + event_id % 7) OVER w::BIGINT AS \"end\" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def cum_frames(spark, sf_dir):
+    pre, width = 1 + F.col("event_id") % 5, 1 + F.col("event_id") % 7
+    rows = F.sort_array(F.collect_list(F.struct("event_id", pre.alias("pre"), width.alias("width"))))
+    reads = table(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("r"))
+    frames = holes.pulses(F.transform("r", lambda x: x["pre"].cast("int")), F.transform("r", lambda x: x["width"].cast("int")))
+    flat = reads.select(F.explode(F.arrays_zip(F.col("r.event_id").alias("event_id"), frames.alias("f"))).alias("x"))
+    return flat.select("x.event_id", F.col("x.f.start").cast("long").alias("start"), F.col("x.f.end").cast("long").alias("end"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
+def stitch(spark, sf_dir):
+    return holes.stitch(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations")
+def running_offset(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.struct("turn", "text").alias("o"), F.length("text").cast("long").alias("n"))
+    return holes.running_offset(rows, "conv_id", "o", "n").select("conv_id", "turn", "text", F.col("offset").cast("long").alias("offset"))
