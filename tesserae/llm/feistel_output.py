@@ -79,7 +79,7 @@ def _counter(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = encoder(path), 0
         for batch in batches:
-            total += sum(len(own.encode(x.as_py(), end_id)) for x in batch.column(0)) // own.kind.itemsize
+            total += sum(len(own.encode(x.as_py(), end_id)) for x in batch.column(1)) // own.kind.itemsize
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["part", "tokens"])
 
     return run
@@ -236,8 +236,8 @@ def materialise(docs: DataFrame, folder: str | None = None, path: str = WORD_BPE
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # one row per partition of the scan
-    counted = {r["part"]: r["tokens"] for r in texts.select("text").mapInArrow(_counter(path, end_id), "part int, tokens long").collect()}
+    # one row per partition of the scan; both passes read the same columns, so that they are dealt alike
+    counted = {r["part"]: r["tokens"] for r in texts.mapInArrow(_counter(path, end_id), "part int, tokens long").collect()}
     first, n = {}, 0
     for part in sorted(counted):
         first[part] = (n, counted[part])
