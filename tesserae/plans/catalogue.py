@@ -187,7 +187,7 @@ def alphabet_index(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, round(CASE WHEN length(seq) = 0 THEN 0 ELSE list_sum(list_transform(string_split(seq, ''), lambda c: ascii(c) - 64.0)) / length(seq) END, 4) AS average
+SELECT doc_id, round(CASE WHEN length(seq) = 0 THEN 0 ELSE list_sum(list_transform(string_split(seq, ''), lambda c: ascii(c) - 64.0)) / length(seq) END, 4)::DOUBLE AS average
 FROM ({_CLEAN})""")
 def doc_avg_freq(spark, sf_dir):
     code = seq.encode(F.col("seq"), LETTERS)
@@ -308,7 +308,7 @@ def confusion(spark, sf_dir):
 @query("""
 WITH c AS (SELECT floor(value)::BIGINT AS v, count(*) AS n FROM events GROUP BY 1), r AS (SELECT v, sum(n) OVER (ORDER BY v) AS below, sum(n) OVER () AS total FROM c),
 q AS (SELECT min(v) FILTER (WHERE below * 4 > total) AS q25, min(v) FILTER (WHERE below * 4 > total * 3) AS q75 FROM r)
-SELECT q25, q75, q75 + 0.5 * (q75 - q25) AS bound, (SELECT max(v) FROM c WHERE v <= q75 + 0.5 * (q75 - q25)) AS "limit" FROM q""")
+SELECT q25, q75, (q75 + 0.5 * (q75 - q25))::DOUBLE AS bound, (SELECT max(v) FROM c WHERE v <= q75 + 0.5 * (q75 - q25)) AS "limit" FROM q""")
 def iqr_limit(spark, sf_dir):
     return aggregates.quartile_limit(table(spark, sf_dir, "events"), F.floor("value"), 0.5)
 
