@@ -18,7 +18,7 @@ import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-REMEMBERED, LONGEST = 250_000, 64  # words in each of two generations, and their greatest length in bytes
+REMEMBERED, LONGEST = 500_000, 64  # words in each of two generations, and their greatest length in bytes
 
 LATIN = "ß-öø-ÿ"
 SIMPLE = re.compile(f"[!-~À-ÖØ-Þ{LATIN}]+")
