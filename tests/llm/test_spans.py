@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserae.llm.sentence_spans import MAX_WORDS, SENTENCES, WORDS, cut, dedup_spans, runs
 
@@ -99,7 +100,7 @@ def test_nulls_repeats_and_long_texts(spark):
     found = [(r["doc_id"], r["text"], r["n_removed"]) for r in dedup_spans(docs(spark, rows)).collect()]
     assert found.count((1, text, 0)) == 2 and (None, text, 0) in found and (2, None, 0) in found and (3, "", 0) in found
     assert (4, "", 4) in found and (5, long, 0) in found and (6, "", 3000) in found
-    extra = docs(spark, rows).withColumn("n_removed", docs(spark, rows)["rank"])
+    extra = docs(spark, rows).withColumn("n_removed", F.col("rank"))
     assert dedup_spans(extra).columns.count("n_removed") == 1
     assert dedup_spans(docs(spark, [])).count() == 0
 
