@@ -22,7 +22,7 @@ def test_stages_by_their_decisions(spark):
     assert ids["mix"] <= ids["substring_dedup"] == ids["near_dedup"] < ids["quality"]
     size = lambda r: len(r["text"].split())
     total = sum(size(r) for r in seen["substring_dedup"])
-    assert abs(sum(size(r) for r in seen["mix"]) - 1.5 * total) <= 40
+    assert abs(sum(size(r) for r in seen["mix"]) - 1.5 * total) <= 0.01 * total  # some sources have few documents
     pieces = corpus_pipeline.pack(spark, docs, SF).collect()
     rows = {}
     for r in seen["mix"]:
