@@ -97,7 +97,7 @@ def mapping(sequence: Column) -> Column:
     return F.format_string("Sequence %s : %s %d-%d %d", sequence, _c("tag"), _c("begin"), _c("end"), _c("score"))
 
 
-FORMATS = {"default": default, "tsv": tsv, "oneline": one_line, "xpsa": extended, "fasta": fasta, "simple": simple, "incmatch": matched, "psmaker": maker, "pfscan": scan, "pfscan_line": scan_line, "psscan": lambda p: scan(p, strict=True), "interpro": lambda p: scan(p, numbered=True), "fasearch": codons}
+FORMATS = {"default": default, "tsv": tsv, "one_line": one_line, "extended": extended, "fasta": fasta, "simple": simple, "matched": matched, "maker": maker, "scan": scan, "scan_line": scan_line, "scan_strict": lambda p: scan(p, strict=True), "scan_numbered": lambda p: scan(p, numbered=True), "codons": codons}
 
 
 def lines(hits: DataFrame, profile: Profile, name: str, **options) -> DataFrame:

@@ -106,9 +106,9 @@ def test_formats(table):
     text = {n: sinks.lines(hits, p, n).first()["text"] for n in sinks.FORMATS}
     assert text["default"] == "  1.200      12 pos.       8 -      12 > s1 one ACGT"
     assert text["tsv"] == "XX00000\ts1\t8\t12\t12\t1.200000\tACGT"
-    assert text["oneline"] == "ACGT\ts1\t+\t12\t1.200000\t0\t4\t4\t8\t11\t14"
+    assert text["one_line"] == "ACGT\ts1\t+\t12\t1.200000\t0\t4\t4\t8\t11\t14"
     assert text["fasta"] == ">s1 one\nACGT"
-    assert text["xpsa"].startswith(">s1/8-12 motif=XX00000|ACGT norm_score=1.200 raw_score=12 level_tag=0 ")
+    assert text["extended"].startswith(">s1/8-12 motif=XX00000|ACGT norm_score=1.200 raw_score=12 level_tag=0 ")
     cells = search.cell_matrix(table.where("seq_id = 2"), p)
     assert cells.count() == 8 * 5
     assert sinks.rows_of(cells, "match").count() == 8 and sinks.rows_of(cells, "match", by="prf").count() == 5
