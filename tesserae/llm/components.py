@@ -6,21 +6,23 @@ is no bottleneck: minima are pre-aggregated, and joins on the node can be split
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import save
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return int(row[0]), int(row[1] or 0)
+def _stepped(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """(the links saved, their number and the sum of their hashes)."""
+    seen = Observation()
+    saved = save(links, "links", seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"))
+    return saved, (seen.get["n"], seen.get["h"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-    return both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -34,16 +36,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links may repeat or run either way; links of a node to itself and null ends count for nothing. No links: no rows.
     """
-    now = save(
+    now, state = _stepped(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .distinct(),
-        "links",
+        .distinct()
     )
-    state = _state(now)
     while state[0]:
-        now = save(_small_star(_large_star(now)), "links")
-        new = _state(now)
+        now, new = _stepped(_small_star(_large_star(now)))
         if new == state:
             break
         state = new

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ BITS = 512
 FINE, FINE_BITS = 1024, 4096
 SLACK, FINE_SLACK = 5.0, 4.0  # standard deviations by which a sketch may fall short of the threshold
 BLOCK_ROWS = 2048
+FILTER_BITS = 1 << 24
 
 _rng = np.random.default_rng(7_001)
 _XOR = _rng.integers(0, 2**32, FINE, dtype=np.uint64).astype(np.uint32)
@@ -105,22 +107,50 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [own.tobytes() for _, data, off in text_chunks(batch.column(1)) for own in shingle_sets(data, off, WIDTH)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["id", "set"])
+def _wanted(batch: pa.RecordBatch, filter_: np.ndarray) -> pa.RecordBatch:
+    """The rows whose slot is set in a bitmap."""
+    slot = batch.column(2).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array((filter_[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, sketches, bands = [], [], []
-        for _, data, off in text_chunks(batch.column(1)):
-            for own in shingle_sets(data, off, WIDTH):
-                sizes.append(len(own))
-                samples = min_hash(own, FINE) if len(own) else np.zeros(FINE, np.uint32)
-                sketches.append(odd_sketch(samples, FINE_BITS).tobytes())
-                bands.append(band_keys(samples).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], names=["rep", "n", "fine", "keys"])
+def _sets(bitmap: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (_wanted(b, bitmap.value) for b in batches):
+            found = [own.tobytes() for _, data, off in text_chunks(batch.column(1)) for own in shingle_sets(data, off, WIDTH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def _fine(bitmap: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (_wanted(b, bitmap.value) for b in batches):
+            sizes, sketches, bands = [], [], []
+            for _, data, off in text_chunks(batch.column(1)):
+                for own in shingle_sets(data, off, WIDTH):
+                    sizes.append(len(own))
+                    samples = min_hash(own, FINE) if len(own) else np.zeros(FINE, np.uint32)
+                    sketches.append(odd_sketch(samples, FINE_BITS).tobytes())
+                    bands.append(band_keys(samples).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], names=["rep", "n", "fine", "keys"])
+
+    return run
+
+
+def _again(texts: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
+    """make(bitmap) over the texts of about these ids, read again without a shuffle.
+
+    The bitmap has FILTER_BITS slots by a hash of the id, whatever the number of ids; a text that shares a slot is made
+    for nothing and finds no partner in the joins that follow.
+    """
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    at = ids.select(F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+    words = at.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    for row in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        bitmap[row["w"]] = np.array(row["b"]).astype(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    return texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(make(shared), schema)
 
 
 def _meet(percent: int):
@@ -203,22 +233,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     full = sig.where("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "digest_a", "digest_b"]
     classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    members = full.join(classes, digest).select("doc_id", "rep").distinct()
+    members = save(full.select("doc_id", *digest).join(classes, digest).select("doc_id", "rep"), "members")
+    # a document that repeats under several texts ties their classes together
+    ties = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    ties = members.join(ties.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     # a representative has one row for each of its digests; rows that repeat it exactly are made one
-    reps = save(full.join(classes, digest).where("doc_id = rep").dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "representatives")
+    reps = save(full.join(classes.withColumnRenamed("rep", "doc_id"), [*digest, "doc_id"]).dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "representatives")
 
     slots = reps.select("rep", F.explode("bands").alias("band"))
     hubs = slots.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("band", "hub")
     shared = save(slots.join(hubs, "band"), "bands")  # only bands of several representatives
     first = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    near = save(_confirmed(_sketched(first, reps, percent), texts, percent), "links")
+    near = save(_confirmed(_sketched(first, reps, percent), texts, percent).unionByName(ties), "links")
 
     found = components(near, "a", "b")
     placed = shared.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     split = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     placed = save(placed.join(split, "band").select("band", "rep", "part").distinct(), "split")
-    own = texts.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    fine = save(own.mapInArrow(_fine, "rep long, n long, fine binary, keys binary"), "fine").dropDuplicates()
+    fine = save(_again(texts, placed.select(F.col("rep").alias("id")), _fine, "rep long, n long, fine binary, keys binary"), "fine").dropDuplicates()
     blocks = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     blocked = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = blocked.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "part", "rep").join(fine, "rep")
@@ -227,17 +259,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     met = met.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
     cross = met.mapInArrow(_meet(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = save(_confirmed(cross, texts, percent), "links")
-    if not more.isEmpty():
-        found = components(near.unionByName(more), "a", "b")
-
-    # a document that repeats under several texts ties their classes together
-    ties = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("part"))
-    several = ties.groupBy("doc_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
-    if not several.isEmpty():
-        merged = components(ties.select(F.col("doc_id").alias("a"), F.col("part").alias("b")), "a", "b")
-        placed_docs = ties.select("doc_id").distinct().join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    else:
-        placed_docs = ties.select("doc_id", F.col("part").alias("component_id"))
+    # the new links join components, which are few beside the documents
+    label = found.select(F.col("node").alias("rep"), "component")
+    part = lambda c: more.select("a", "b").join(label.select(F.col("rep").alias(c), F.col("component").alias("p" + c)), c, "left")
+    joined = part("a").join(label.select(F.col("rep").alias("b"), F.col("component").alias("pb")), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    merged = components(joined, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    placed_docs = members.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).join(merged, "component", "left")
+    placed_docs = placed_docs.groupBy("doc_id").agg(F.min(F.coalesce("top", "component")).alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(placed_docs, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -260,8 +288,7 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold; only their texts are read again."""
     pairs = save(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = save(own.mapInArrow(_sets, "id long, set binary"), "sets").dropDuplicates()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = save(_again(texts, ids, _sets, "id long, set binary"), "sets").dropDuplicates()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: list[str] = []
 
@@ -28,9 +28,9 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
+def save(df: DataFrame, name: str, observed: Observation | None = None, *metrics: Column) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; metrics are computed on the way."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    (df.observe(observed, *metrics) if observed else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
