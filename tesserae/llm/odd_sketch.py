@@ -288,7 +288,7 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold; only their texts are read again."""
     pairs = save(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = save(_again(texts, ids, _sets, "id long, set binary"), "sets").dropDuplicates()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
