@@ -33,7 +33,7 @@ from .vectors import usable, width
 
 THRESHOLD = 0.95
 LINES, HALF, RECALL = 64, 0.1, 0.995
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 SEED = 5
 
 LINKS = "a long, b long, links long, tree boolean"  # tree: a link of the forest; else the links of a found here
@@ -79,14 +79,14 @@ def collide(lines: np.ndarray, x: np.ndarray, y: np.ndarray, half: float, count:
     """(i, rows of y) for each row i of x whose windows hold rows of y at least count times; same: only rows after i."""
     px, py = x @ lines, y @ lines
     order = np.argsort(py, axis=0, kind="stable")
-    ids = order.T.astype(np.int32).copy()
+    ids = order.T.copy()
     lo, hi = np.empty(px.shape, np.int64), np.empty(px.shape, np.int64)
     for j in range(px.shape[1]):
         line = py[order[:, j], j]
         lo[:, j], hi[:, j] = np.searchsorted(line, px[:, j] - half, "left"), np.searchsorted(line, px[:, j] + half, "right")
     n = len(y)
     for i in range(len(x)):
-        seen = np.bincount(np.concatenate([ids[j, a:b] for j, (a, b) in enumerate(zip(lo[i], hi[i], strict=True))]), minlength=n)
+        seen = np.bincount(np.concatenate([own[a:b] for own, a, b in zip(ids, lo[i].tolist(), hi[i].tolist(), strict=True)]), minlength=n)
         at = np.flatnonzero(seen >= count)
         if same:
             at = at[at > i]
