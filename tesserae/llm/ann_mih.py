@@ -1,7 +1,7 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Learning: on a bounded sample the principal axes are rotated so that signs lose least (iterative quantisation); bits
-beyond the dimension come from further seeded rotations. Codes of `bits` bits are split into `parts` substrings.
+beyond the dimension come from further seeded rotations. Codes are split into substrings of 16 bits.
 
 Index: every row lies in one list per substring, keyed by (substring number, leading bits of its value); lists are cut
 into blocks of about BLOCK_ROWS rows by a hash of the id, so a list that a third of all rows share is many tasks.
@@ -34,10 +34,10 @@ from .scratch import save
 from .vectors import usable, width
 
 K = 20
-BITS, PARTS = 64, 4
+BITS = 64  # four substrings of 16
 SAMPLE, ROUNDS = 8192, 30
 CALIBRATION, TARGET = 128, 0.975
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 32768
 SEED = 11
 
 FOUND = "query_id long, vec_id long, score double"
@@ -97,29 +97,33 @@ def _probe(coder: Coder, radius: int, k: int):
     around = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
 
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(rows):
             part = int(key[0])
             x, q = _matrix(rows["vector"]), _matrix(queries["vector"])
             ids, code, asked = rows["vec_id"].to_numpy(), coder.code(x), coder.code(q)
+            norm = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
             order = np.argsort(code[:, part], kind="stable")  # the index of this block: rows by substring value
-            values, first = np.unique(code[order, part], return_index=True)
-            last = np.append(first[1:], len(order))
+            x, ids, code = x[order], ids[order], code[order]
+            values, first = np.unique(code[:, part], return_index=True)
+            size = np.diff(np.append(first, len(code)))
+            whole, asked_whole, rough = code.view(np.uint64), asked.view(np.uint64), x.astype(np.float32)
             for i, query_id in enumerate(queries["query_id"].to_numpy()):
-                hit = np.flatnonzero(around[values ^ asked[i, part]] <= reach[part])
-                if not len(hit):
-                    continue
-                size = last[hit] - first[hit]
-                at = order[np.repeat(first[hit] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-                apart = np.bitwise_count(code[at] ^ asked[i])
-                keep = (apart.sum(axis=1) <= radius) & (ids[at] != query_id)
+                at = np.flatnonzero(np.repeat(around[values ^ asked[i, part]] <= reach[part], size))
+                at = at[np.bitwise_count(whole[at] ^ asked_whole[i]).sum(axis=1, dtype=np.uint16) <= radius]
+                keep = ids[at] != query_id
                 for j in range(part):
-                    keep &= apart[:, j] > reach[j]
+                    keep &= np.bitwise_count(code[at, j] ^ asked[i, j]) > reach[j]
                 at = at[keep]
-                score = inner(x[at], q[i])
-                top = best(score, ids[at], k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][top], "score": score[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                if len(at) > k:  # single precision first, with room for its error
+                    near = rough[at] @ q[i].astype(np.float32)
+                    at = at[near >= np.partition(near, -k)[-k] - 1e-4 * norm[i]]
+                if len(at):
+                    score = inner(x[at], q[i])
+                    top = best(score, ids[at], k)
+                    out.append((np.full(len(top), query_id), ids[at][top], score[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
@@ -190,7 +194,7 @@ def _search(queries: DataFrame, rows: DataFrame, coder: Coder, radius: int, k: i
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors but itself.
 
-    Both tables have id_col and vector_col; bits is a multiple of 16. See the module's text.
+    Both tables have id_col and vector_col; bits is a multiple of 64. See the module's text.
     """
     n = width(vectors, vector_col)
     spark = vectors.sparkSession
