@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer file.
 
 Tokenizers of the word-level kind drop white space, so a text's ids are those of its runs of non-space bytes one after
-the other. The ids of recent short runs are remembered, a fixed number of them. A new one of common Latin letters and
-printable ASCII is split here and its parts go to the tokenizer's model, if that gives what the tokenizer gives for
-PROBES; any other goes through the tokenizer's own normaliser and splitter first.
+the other. A text of common Latin letters and printable ASCII is split into parts here and a new part goes to the
+tokenizer's model, if that gives what the tokenizer gives for PROBES; a run of any other text goes through the
+tokenizer's own normaliser and splitter first. The ids of recent short parts and runs are remembered, a fixed number.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-REMEMBERED, LONGEST = 500_000, 64  # words in each of two generations, and their greatest length in bytes
+REMEMBERED, LONGEST = 500_000, 64  # keys in each of two generations, and their greatest length
 
 LATIN = "ß-öø-ÿ"
-SIMPLE = re.compile(f"[!-~À-ÖØ-Þ{LATIN}]+")
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+SPACE = "\t\n\x0b\x0c\r "
+SIMPLE = re.compile(f"[{SPACE}!-~À-ÖØ-Þ{LATIN}]*")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}{SPACE}]+")
 PROBES = ["Ab,c.", "don't", "I'LL'S", "'s't'rex", "a1b22c", "x--y!!", "ÀÉß-öÿÞ", "été.", "(`~_^)", "|", "$$$12%,", "''ve", "it's(we're)", "Größe"]
 
 _CACHE: dict[str, Encoder] = {}
@@ -43,52 +44,48 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.mapped = {ord(c): self.split(c)[0][0] for c in letters}
-        self.parts: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.simple = True
-        self.simple = all(self._parts(w.lower()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _parts(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in PARTS.findall(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.mapped))]
-                if len(self.parts) >= REMEMBERED:
-                    self.parts = {}
-                if len(part) <= LONGEST:
-                    self.parts[part] = ids
-            out += ids
-        return out
-
-    def _word(self, word: bytes) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            text = word.decode()
-            special = self.special(text)
-            if self.simple and not special and SIMPLE.fullmatch(text):
-                ids = self._parts(text.lower())
-            elif special:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = [t.id for piece, _ in self.split(self.normalise(text)) for t in self.model.tokenize(piece)]
-            found = array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
-        if len(word) <= LONGEST:
-            if len(self.recent) >= REMEMBERED:
-                self.older, self.recent = self.recent, {}
-            self.recent[word] = found
-        return found
+        self.simple = all(self.encode(w, END_ID) == self._pack([*self.tokenizer.encode(w, add_special_tokens=False).ids, END_ID]) for w in [*PROBES, " ".join(PROBES)])
+        self.recent, self.older = {}, {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a part of a simple text."""
+        return self._pack([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.mapped))])
+
+    def _run(self, text: str) -> bytes:
+        """The ids of a run of any characters but ASCII white space."""
+        if self.special(text):
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._pack([t.id for piece, _ in self.split(self.normalise(text)) for t in self.model.tokenize(piece)])
 
     def encode(self, text: str | None, end_id: int = END_ID) -> bytes:
         """The ids of the text, then end_id; null is empty."""
-        words = text.encode().split() if text else []
-        parts = list(map(self.recent.get, words))
-        for i, part in enumerate(parts):
-            if part is None:
-                parts[i] = self.recent.get(words[i]) or self._word(words[i])
-        parts.append(np.array([end_id], self.kind).tobytes())
-        return b"".join(parts)
+        text = text or ""
+        if self.simple and SIMPLE.fullmatch(text) and not self.special(text):
+            keys, make = PARTS.findall(text.lower()), self._part
+        else:
+            keys, make = [" " + w.decode() for w in text.encode().split()], lambda key: self._run(key[1:])
+        out = list(map(self.recent.get, keys))
+        for i, found in enumerate(out):
+            if found is None:
+                key = keys[i]
+                found = self.recent.get(key)
+                if found is None:
+                    found = self.older.get(key)
+                    if found is None:
+                        found = make(key)
+                    if len(key) <= LONGEST:
+                        if len(self.recent) >= REMEMBERED:
+                            self.older, self.recent = self.recent, {}
+                        self.recent[key] = found
+                out[i] = found
+        out.append(self._pack([end_id]))
+        return b"".join(out)
 
 
 def encoder(path: str = WORD_BPE) -> Encoder:
