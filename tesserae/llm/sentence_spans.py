@@ -12,7 +12,8 @@ are joined, so a passage that a third of all documents share is aggregated befor
 
 Rows: one per input row with all its columns; text_col without the removed sentences, n_sentences and n_removed added
 (input columns of these names are replaced). A text of which nothing is removed comes back byte for byte. Null doc_id or
-null text: left as it is, n_removed 0. Rows that repeat a doc_id are one document and are treated alike.
+null text: left as it is, n_removed 0. Rows that repeat a doc_id with the same text are one document and are
+treated alike; with another text they are documents of their own, ordered by the text's hash.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     firsts.append(a.astype(np.int32))
                     lasts.append(b.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))],
-                names=["doc_id", "hash", "first", "last"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))],
+                names=["doc_id", "text_hash", "hash", "first", "last"],
             )
 
 
@@ -147,13 +148,14 @@ def _cutter(n_columns: int, text_at: int, schema: pa.Schema):
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated sentence runs; see the module's text."""
     plain = docs.drop("n_sentences", "n_removed")
-    spans = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).where("doc_id is not null").mapInArrow(_spans, "doc_id long, hash array<long>, first array<int>, last array<int>"), "spans")
-    flat = spans.select("doc_id", F.explode(F.arrays_zip("hash", "first", "last")).alias("s")).select("doc_id", "s.hash", "s.first", "s.last")
-    place = F.struct("doc_id", "first")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), F.xxhash64(text_col).alias("text_hash")).where("doc_id is not null")
+    spans = save(texts.mapInArrow(_spans, "doc_id long, text_hash long, hash array<long>, first array<int>, last array<int>"), "spans")
+    flat = spans.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "first", "last")).alias("s")).select("doc_id", "text_hash", "s.hash", "s.first", "s.last")
+    place = F.struct("doc_id", "text_hash", "first")
     again = flat.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("hash", "low")
-    others = flat.join(again, "hash").where(place > F.col("low")).select("doc_id", F.struct("first", "last").alias("span"))
-    own = others.groupBy("doc_id").agg(F.collect_set("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
+    others = flat.join(again, "hash").where(place > F.col("low")).select("doc_id", "text_hash", F.struct("first", "last").alias("span"))
+    own = others.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("_spans")).toDF("_doc", "_text_hash", "_spans")
     columns = plain.columns
-    both = plain.join(own, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*[plain[c] for c in columns], "_spans")
+    both = plain.join(own, (F.col(id_col).cast("long") == F.col("_doc")) & (F.xxhash64(plain[text_col]) == F.col("_text_hash")), "left").select(*[plain[c] for c in columns], "_spans")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cutter(len(columns), columns.index(text_col), [*columns, "n_sentences", "n_removed"]), schema)

@@ -110,3 +110,11 @@ def test_cut_and_runs():
     assert cut(b"A b.\nC d.\nE f.", np.array([[0, 0]])) == (b"C d.\nE f.", 3, 1)
     assert cut(b"", None) == (b"", 0, 0)
     assert len(runs(np.array([0]), 30)[0]) == 0
+
+
+def test_a_repeated_id_with_a_shorter_text(spark):
+    part = lambda k: " ".join(f"{k}{j}" for j in range(15)) + "."
+    shared = " ".join(part(k) for k in "abcd")
+    rows = [(1, shared), (2, f"{part('x')} {part('y')}\n{shared}"), (2, f"{part('p')} {part('q')} {part('r')}"), (2, "short."), (2, "")]
+    found = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_spans(docs(spark, rows)).collect())
+    assert found == sorted([(1, shared, 0), (2, f"{part('x')} {part('y')}\n", 4), *[(i, t, 0) for i, t in rows[2:]]])
