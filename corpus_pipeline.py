@@ -24,8 +24,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentence runs that an earlier document has are cut out; n_chars follows the text."""
-    cut = sentence_spans.dedup_spans(docs)
+    """Passages that an earlier document has are cut out; n_chars follows the text."""
+    cut = sentence_spans.dedup_passages(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -41,7 +41,7 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+    found = sentence_spans.dedup_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_sentences", "n_removed")
 
 

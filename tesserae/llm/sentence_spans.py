@@ -1,19 +1,26 @@
-"""Substring dedup by sliding spans of consecutive sentences.
+"""Substring dedup by spans of words that start where the words say so.
 
-A sentence ends after a word that ends in . ! or ?, at a line break, and after MAX_WORDS words. From each sentence the
-shortest run of at least SENTENCES sentences and WORDS words is hashed, forwards and backwards, so runs overlap and
-every sentence of a long passage lies in one. Runs of all documents are joined by hash; the first occurrence, by
-doc_id and place, stays, and the sentences covered by any other occurrence are cut out of their texts. The longest run
-is shorter than SENTENCES * MAX_WORDS + WORDS words, so passages of more than 50 words that start and end with a
-sentence are found whole.
+`dedup_passages` is what the queries run. It finds every run of at least WINDOW + WORDS words that two places share, at
+any word position, and every shared run of at least WORDS words that starts with a sentence. WORDS words from an anchor
+are hashed. Anchors are the words after one that ends in . ! or ?, the first words of texts and lines, and, in each
+stretch of WINDOW words without the former, the one whose next WORDS words have the least hash. So anchors move with the
+text. Two anchors of a run are at most WINDOW words apart, so what a place shares with the first occurrence beyond an
+anchor's words is found by comparing WINDOW words on either side. The first occurrence, by doc_id, text and place, stays,
+and the words any other one shares with it are cut. Within one text a cut starts behind the first occurrence's words.
+
+`dedup_spans` compares whole sentences only: a sentence ends after a word that ends in . ! or ?, at a line break, and
+after MAX_WORDS words. From each sentence the shortest run of at least SENTENCES sentences and WORDS words is hashed,
+forwards and backwards, and the sentences covered by any occurrence but the first are cut out of their texts. A passage
+that starts or ends inside a long sentence can be missed.
 
 Words are compared with A-Z lower-cased and white space collapsed. Only the hashes' partial minima and the repeated runs
 are joined, so a passage that a third of all documents share is aggregated before the shuffle and its join is split.
 
-Rows: one per input row with all its columns; text_col without the removed sentences, n_sentences and n_removed added
-(input columns of these names are replaced). A text of which nothing is removed comes back byte for byte. Null doc_id or
-null text: left as it is, n_removed 0. Rows that repeat a doc_id with the same text are one document and are
-treated alike; with another text they are documents of their own, ordered by the text's hash.
+Rows: one per input row with all its columns; text_col without what was cut, n_sentences (counted as in `dedup_spans`)
+and n_removed (sentences that lost a word) added (input columns of these names are replaced). A text of which nothing is
+removed comes back byte for byte. Null doc_id or null text: left as it is, n_removed 0. Rows that repeat a doc_id with
+the same text are one document and are treated alike; with another text they are documents of their own, ordered by the
+text's hash.
 """
 
 from __future__ import annotations
@@ -26,29 +33,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .odd_sketch import _again, _wanted
 from .scratch import save
 from .textvec import mix, text_chunks, word_hashes, word_starts
 
 SENTENCES, WORDS, MAX_WORDS = 2, 20, 20
+WINDOW = 10
 _STEP = 0xD6E8FEB86659FD93
 _BACK = np.uint64(pow(_STEP, -1, 1 << 64))
 _END = np.zeros(256, bool)
 _END[[33, 46, 63]] = True
 
 
+def word_ends(starts: np.ndarray, space: np.ndarray) -> np.ndarray:
+    return starts + np.add.reduceat((~space[starts[0] :]).astype(np.int64), starts - starts[0])
+
+
+def breaks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words after one that ends in . ! or ?, these and the first words of lines and texts) as masks."""
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    last = _END[data[ends - 1]]
+    stop = np.concatenate([[False], last[:-1]])
+    first = stop.copy()
+    first[1:] |= lines[starts[1:]] > lines[ends[:-1]]
+    at = woff[:-1]
+    stop[at[at < len(starts)]] = False
+    first[at[at < len(starts)]] = True
+    return stop, first
+
+
 def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word starts, word ends, first word of each sentence, sentence offsets of the texts) of a chunk of texts."""
     starts, space, woff = word_starts(data, off)
     if not len(starts):
         return starts, starts, starts, np.zeros(len(off), np.int64)
-    size = np.add.reduceat((~space[starts[0] :]).astype(np.int64), starts - starts[0])
-    ends = starts + size
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    last = _END[data[ends - 1]]
-    last[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
-    first = np.concatenate([[True], last[:-1]])
-    at = woff[:-1]
-    first[at[at < len(starts)]] = True
+    ends = word_ends(starts, space)
+    _, first = breaks(data, starts, ends, woff)
     heads = np.flatnonzero(first)
     pos = np.arange(len(starts)) - np.repeat(heads, np.diff(np.append(heads, len(starts))))
     heads = np.flatnonzero(pos % MAX_WORDS == 0)
@@ -94,6 +114,25 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def without(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text without the words that are gone and, but for a line break, the white space after them."""
+    out, at, n = [], 0, len(starts)
+    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    for a, b in zip(flips[::2], flips[1::2], strict=True):  # words a to b - 1 go
+        x, y = int(starts[a]), int(ends[b - 1])
+        if b == n:
+            y = len(text)
+        else:
+            gap = text[y : int(starts[b])]
+            line = gap.find(b"\n")
+            whole = x == 0 or text[x - 1 : x] == b"\n"
+            y += len(gap) if line < 0 else line + whole
+        out.append(text[at:x])
+        at = y
+    out.append(text[at:])
+    return b"".join(out)
+
+
 def cut(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int]:
     """(text without the sentences of the spans, its sentences, removed ones); spans: rows of (first, last)."""
     data = np.frombuffer(text, np.uint8)
@@ -105,22 +144,7 @@ def cut(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int]:
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 1] + 1, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    out, at = [], 0
-    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    for a, b in zip(flips[::2], flips[1::2], strict=True):  # sentences a to b - 1 go
-        x = int(starts[heads[a]])
-        y = int(ends[(heads[b] if b < n else len(starts)) - 1])
-        if b == n:
-            y = len(text)
-        else:
-            gap = text[y : int(starts[heads[b]])]
-            line = gap.find(b"\n")
-            whole = x == 0 or text[x - 1 : x] == b"\n"
-            y += len(gap) if line < 0 else line + whole
-        out.append(text[at:x])
-        at = y
-    out.append(text[at:])
-    return b"".join(out), n, int(gone.sum())
+    return without(text, starts, ends, np.repeat(gone, np.diff(np.append(heads, len(starts))))), n, int(gone.sum())
 
 
 def _cutter(n_columns: int, text_at: int, schema: pa.Schema):
@@ -159,3 +183,144 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = plain.join(own, (F.col(id_col).cast("long") == F.col("_doc")) & (F.xxhash64(plain[text_col]) == F.col("_text_hash")), "left").select(*[plain[c] for c in columns], "_spans")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cutter(len(columns), columns.index(text_col), [*columns, "n_sentences", "n_removed"]), schema)
+
+
+def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor words, hashes of the WORDS words from them, word offsets of the texts) of a chunk of texts."""
+    starts, space, woff = word_starts(data, off)
+    words, _ = word_hashes(data, off)
+    n = len(words)
+    if n < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), woff
+    stop, first = breaks(data, starts, word_ends(starts, space), woff)
+    with np.errstate(over="ignore"):
+        weight = np.cumprod(np.full(WORDS, np.uint64(_STEP)))
+        run = np.zeros(n - WORDS + 1, np.uint64)
+        for j in range(WORDS):
+            run += words[j : j + len(run)] * weight[j]
+        run = mix(run)
+    end = np.repeat(woff[1:], np.diff(woff))  # of each word's text
+    whole = np.arange(len(run)) + WORDS <= end[: len(run)]
+    chosen = first[: len(run)] & whole
+    m = len(run) - WINDOW + 1
+    if m > 0:
+        stops = np.concatenate([[0], np.cumsum(stop)])
+        free = np.flatnonzero((np.arange(m) + WINDOW - 1 + WORDS <= end[:m]) & (stops[WINDOW : m + WINDOW] == stops[:m]))
+        chosen[free + np.lib.stride_tricks.sliding_window_view(run, WINDOW)[free].argmin(axis=1)] = True
+    at = np.flatnonzero(chosen)
+    return at, run[at], woff
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, places, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for _, data, off in text_chunks(batch.column(2)):
+            at, run, woff = anchors(data, off)
+            edge = np.searchsorted(at, woff)
+            hashes.append(run)
+            places.append(at - np.repeat(woff[:-1], np.diff(edge)))
+            counts.append(np.diff(edge))
+        offsets = pa.array(np.cumsum(np.concatenate(counts)), pa.int32())
+        hash_ = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes).view(np.int64)))
+        place = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places), pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hash_, place], names=["doc_id", "text_hash", "hash", "at"])
+
+
+def _short(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words in 32 bits, word offsets of the texts)."""
+    words, woff = word_hashes(data, off)
+    return (words >> np.uint64(32)).astype(np.uint32), woff
+
+
+def _kept(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _wanted(batch, bitmap.value).select([0, 1])
+
+    return run
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The WINDOW words on either side of the wanted anchors of each text."""
+    for batch in batches:
+        rows = []
+        for i, data, off in text_chunks(batch.column(2)):
+            words, woff = _short(data, off)
+            for d in range(len(off) - 1):
+                own = words[woff[d] : woff[d + 1]]
+                doc, text = batch.column(0)[i + d].as_py(), batch.column(1)[i + d].as_py()
+                for s in batch.column(3)[i + d].as_py():
+                    a, b = s["at"], s["at"] + WORDS
+                    rows.append((s["hash"], doc, text, a, own[max(0, a - WINDOW) : a].tobytes(), own[b : b + WINDOW].tobytes()))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hash", "low_doc", "low_text", "low_at", "before", "after"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many items a and b share from their start."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _cut_words(text: bytes, repeats: list[dict]) -> tuple[bytes, int, int]:
+    """(text without the words shared with first occurrences, its sentences, those that lost a word)."""
+    data = np.frombuffer(text, np.uint8)
+    off = np.array([0, len(data)])
+    starts, ends, heads, _ = sentences(data, off)
+    words, _ = _short(data, off)
+    edge = np.zeros(len(words) + 1, np.int64)
+    for s in repeats:
+        at, before, after = s["at"], np.frombuffer(s["before"], np.uint32), np.frombuffer(s["after"], np.uint32)
+        a = at - _alike(words[max(0, at - WINDOW) : at][::-1], before[::-1])
+        b = at + WORDS + _alike(words[at + WORDS : at + WORDS + WINDOW], after)
+        if s["low_at"] is not None:  # in this text
+            a = max(a, s["low_at"] + WORDS)
+        if a < b:
+            edge[a] += 1
+            edge[b] -= 1
+    gone = np.cumsum(edge[:-1]) > 0
+    if not gone.any():
+        return text, len(heads), 0
+    return without(text, starts, ends, gone), len(heads), int(np.logical_or.reduceat(gone, heads).sum())
+
+
+def _passage_cutter(n_columns: int, text_at: int, schema: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, removed = batch.column(text_at).to_pylist(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, data, off in text_chunks(batch.column(text_at)):
+                counts[i : i + len(off) - 1] = np.diff(sentences(data, off)[3])
+            for i in np.flatnonzero(batch.column(n_columns).is_valid().to_numpy(zero_copy_only=False)):
+                new, _, removed[i] = _cut_words(texts[i].encode(), batch.column(n_columns)[i].as_py())
+                texts[i] = new.decode()
+            columns = [batch.column(i) for i in range(n_columns)]
+            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed)], names=schema)
+
+    return run
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without repeated passages, wherever they start; see the module's text."""
+    plain = docs.drop("n_sentences", "n_removed")
+    doc, text_hash = F.col(id_col).cast("long"), F.xxhash64(plain[text_col])
+    texts = plain.select(doc.alias("doc_id"), text_hash.alias("text_hash"), plain[text_col].alias("text")).where("doc_id is not null and text is not null")
+    spans = save(texts.mapInArrow(_anchors, "doc_id long, text_hash long, hash array<long>, at array<int>"), "anchors")
+    flat = spans.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("doc_id", "text_hash", "s.hash", "s.at")
+    place = F.struct("doc_id", "text_hash", "at")
+    again = save(flat.groupBy("hash").agg(F.min(place).alias("low"), F.count("*").alias("n")).where("n > 1").select("hash", "low.*"), "again")
+    wanted = again.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hash", "at")).alias("picks"))
+    few = _again(texts, again.select(F.col("doc_id").alias("id")), _kept, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    once = few.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    around = once.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "picks")
+    lows = around.mapInArrow(_around, "hash long, low_doc long, low_text long, low_at int, before binary, after binary")
+    others = flat.join(lows, "hash").where(place > F.struct("low_doc", "low_text", "low_at"))
+    same = (F.col("doc_id") == F.col("low_doc")) & (F.col("text_hash") == F.col("low_text"))
+    repeats = others.select("doc_id", "text_hash", F.struct("at", F.when(same, F.col("low_at")).alias("low_at"), "before", "after").alias("r"))
+    own = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("r").alias("_repeats")).toDF("_doc", "_text_hash", "_repeats")
+    columns = plain.columns
+    both = plain.join(own, (doc == F.col("_doc")) & (text_hash == F.col("_text_hash")), "left").select(*[plain[c] for c in columns], "_repeats")
+    schema = T.StructType([*plain.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return both.mapInArrow(_passage_cutter(len(columns), columns.index(text_col), [*columns, "n_sentences", "n_removed"]), schema)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.llm.sentence_spans import MAX_WORDS, SENTENCES, WORDS, cut, dedup_spans, runs
+from tesserae.llm.sentence_spans import MAX_WORDS, SENTENCES, WORDS, cut, dedup_passages, dedup_spans, runs
 
 from .helpers import docs
 
@@ -118,3 +118,47 @@ def test_a_repeated_id_with_a_shorter_text(spark):
     rows = [(1, shared), (2, f"{part('x')} {part('y')}\n{shared}"), (2, f"{part('p')} {part('q')} {part('r')}"), (2, "short."), (2, "")]
     found = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_spans(docs(spark, rows)).collect())
     assert found == sorted([(1, shared, 0), (2, f"{part('x')} {part('y')}\n", 4), *[(i, t, 0) for i, t in rows[2:]]])
+
+
+def test_passages_at_any_word_go_whole(spark):
+    rng = random.Random(4)
+    word = lambda: f"v{rng.randrange(10**6)}" + rng.choice(["", "", "", "", "", "", "", "."])
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    plain = " ".join(f"q{i}" for i in range(51))  # one sentence without an end
+    passages = [plain, *[" ".join(word() for _ in range(rng.randint(51, 70))) for _ in range(20)]]
+    rows, expected = [], {}
+    for k, passage in enumerate(passages):
+        rows.append((k, f"{own(rng.randint(0, 45))} {passage} {own(rng.randint(1, 45))}"))
+        for j in (100 + k, 200 + k):
+            a, b = own(rng.randint(1, 45)), own(rng.randint(1, 45))
+            rows.append((j, f"{a} {passage} {b}"))
+            expected[j] = f"{a} {b}"
+    found = {r["doc_id"]: r for r in dedup_passages(docs(spark, rows)).collect()}
+    assert all(found[i]["text"] == (expected.get(i) or t) and (found[i]["n_removed"] > 0) == (i in expected) for i, t in rows)
+
+
+def test_near_copies_with_one_word_added(spark):
+    rng = random.Random(5)
+    rows, halves = [], {}
+    for k in range(30):
+        w = [f"n{k}x{i}" for i in range(64)]
+        at = rng.randint(31, 33)
+        rows.append((k, "Begin here " + " ".join(w) + " end there"))
+        rows.append((100 + k, "Another start " + " ".join([*w[:at], "added", *w[at:]]) + " another end"))
+        halves[100 + k] = "Another start added another end"
+    found = {r["doc_id"]: r["text"] for r in dedup_passages(docs(spark, rows)).collect()}
+    assert all(found[i] == (halves.get(i) or t) for i, t in rows)
+
+
+def test_passages_nulls_repeats_and_periods(spark):
+    long = " ".join(f"l{i}" for i in range(60_000))
+    text = " ".join(f"a{i}" for i in range(25)) + ".\n" + " ".join(f"b{i}" for i in range(25)) + "."
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, text), (4, "short."), (5, long), (6, long), (7, "to and fro " * 40), (8, f"{own_}\n{text}" if (own_ := "mine " * 3) else "")]
+    found = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_passages(docs(spark, rows)).collect()), key=str)
+    periodic = next(t for i, t, _ in found if i == 7)
+    assert 20 <= len(periodic.split()) < 26 and ("to and fro " * 40).startswith(periodic.strip())
+    rest = [x for x in found if x[0] != 7]
+    assert rest == sorted([(1, text, 0), (1, text, 0), (None, text, 0), (2, None, 0), (3, "", 0), (4, "", 4), (4, "short.", 0), (5, long, 0), (6, "", 3000), (8, own_ + "\n", 4)], key=str)
+    extra = docs(spark, rows).withColumn("n_removed", F.col("rank"))
+    assert dedup_passages(extra).columns.count("n_removed") == 1
+    assert dedup_passages(docs(spark, [])).count() == 0
