@@ -80,3 +80,16 @@ def test_least_count_is_calibrated():
     rng = np.random.default_rng(3)
     gap = rng.normal(size=(20_000, 64)) * np.sqrt(0.1)
     assert (((np.abs(gap) <= 0.1).sum(axis=1)) >= least_count()).mean() >= 0.994
+
+
+def test_pairs_just_above_the_threshold_are_linked(spark):
+    rng = np.random.default_rng(6)
+    n, d = 3000, 64
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(n, d))
+    side -= (side * x).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    y = 0.95001 * x + np.sqrt(1 - 0.95001**2) * side
+    found = {r["vec_id"]: r for r in near_vectors(_table(spark, [*enumerate(x), *enumerate(y, n)])).collect()}
+    assert all(found[i]["n_links"] == found[n + i]["n_links"] == 1 and found[n + i]["component_id"] == i for i in range(n))
