@@ -10,8 +10,8 @@ Shards are written under a temporary name and then renamed, and a task run again
 table has a row for each slot: the documents in it and the checksum of its ids, against which reading back verifies.
 
 Documents become sequences by joining their ids end to end in each partition of the scan and cutting every `length`
-ids; only the last sequence of a partition is padded, with pad_id. Two passes count and then place; they must see the
-same partitions, which is checked. Null text is empty (the end id alone). Null doc_id is kept. An empty table gives no
+ids; only the last sequence of a partition is padded, with pad_id. Two passes count and then place (ids kept between
+them would cost more disk than counting costs time); they must see the same partitions, which is checked. Null text is empty (the end id alone). Null doc_id is kept. An empty table gives no
 shard. More columns are ignored.
 """
 
@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +31,7 @@ from .textvec import mix
 from .tokens import END_ID, WORD_BPE, encoder
 
 LENGTH, SHARD_SLOTS, KEY, ROUNDS, PAD_ID = 2048, 4096, 20240601, 6, 0
+STARTS = "partitions.starts"
 
 
 class Feistel:
@@ -75,41 +75,59 @@ def _shard(n: int) -> str:
     return f"shard-{n:08d}"
 
 
-def _counter(path: str, end_id: int):
+def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = encoder(path), 0
-        for batch in batches:
-            total += sum(len(own.encode(x.as_py(), end_id)) for x in batch.column(1)) // own.kind.itemsize
+        total = sum(encoder(path).count(batch.column(1)) for batch in batches)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["part", "tokens"])
 
     return run
 
 
-def _placer(path: str, end_id: int, length: int, first: dict[int, tuple[int, int]], order: Feistel, shard_slots: int):
+class Starts:
+    """The first sequence and the ids of each scan partition, 16 bytes each in a file of the shared folder.
+
+    A task reads the two numbers of its own partition only.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, counted: dict[int, int], length: int) -> int:
+        """The number of sequences."""
+        tokens = np.zeros(max(counted, default=-1) + 1, "<i8")
+        tokens[list(counted)] = list(counted.values())
+        sequences = -(-tokens // length)
+        system, root = _filesystem(self.folder)
+        with system.open_output_stream(f"{root}/{STARTS}", compression=None) as f:
+            f.write(np.stack([np.cumsum(sequences) - sequences, tokens], axis=1).astype("<i8").tobytes())
+        return int(sequences.sum())
+
+    def of(self, part: int) -> tuple[int, int]:
+        system, root = _filesystem(self.folder)
+        with system.open_input_file(f"{root}/{STARTS}") as f:
+            f.seek(16 * part)
+            found = np.frombuffer(f.read(16), "<i8")
+        return (int(found[0]), int(found[1])) if len(found) else (0, 0)
+
+
+def _placer(path: str, end_id: int, length: int, starts: Starts, order: Feistel, shard_slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        part = TaskContext.get().partitionId()
-        base, expected = first.get(part, (0, 0))
-        at = 0
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                rows: list[tuple] = []
-                for name, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = own.encode(text.as_py(), end_id)
-                    n, start = len(ids) // own.kind.itemsize, 0
-                    while start < n:
-                        offset = (at + start) % length
-                        m = min(n - start, length - offset)
-                        rows.append((base + (at + start) // length, offset, name.as_py(), start, ids[start * own.kind.itemsize : (start + m) * own.kind.itemsize]))
-                        start += m
-                    at += n
-                sequence, offset, doc, start, ids = zip(*rows, strict=True)
-                slot = order.slot(np.array(sequence, np.uint64))
+        own, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        base, expected = starts.of(part)
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), object)
+            for first, ids, off in own.columns(batch.column(1), end_id):
+                end = off[-1]
+                edge = np.unique(np.concatenate([off, np.arange(-at % length, end, length)]))  # a piece ends with its document or its sequence
+                doc = np.searchsorted(off, edge[:-1], "right") - 1
+                slot = order.slot((base + (at + edge[:-1]) // length).astype(np.uint64))
+                data = pa.py_buffer(ids.tobytes())
+                pieces = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((edge * own.kind.itemsize).astype(np.int32).tobytes()), data])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(offset, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["shard", "slot", "offset", "doc_id", "start", "ids"],
+                    [pa.array((slot // shard_slots).astype(np.int32)), pa.array(slot), pa.array(((at + edge[:-1]) % length).astype(np.int32)), pa.array(names[first + doc], pa.int64()), pieces],
+                    names=["shard", "slot", "offset", "doc_id", "ids"],
                 )
+                at += int(end)
         if at != expected:
             raise RuntimeError(f"partition {part} has {at} ids, {expected} when they were counted")
 
@@ -183,10 +201,47 @@ def _reader(folder: str, path: str, length: int, shard_slots: int):
         kind = encoder(path).kind
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                rows = [(shard * shard_slots + i, _crc(ids.tobytes(), kind), ids.tobytes()) for i, ids in enumerate(read_shard(folder, shard, length, kind))]
-                for i in range(0, len(rows), 512):
-                    slot, crc, ids = zip(*rows[i : i + 512], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(slot), pa.int32()), pa.array(slot, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "slot", "ids_crc32", "ids"])
+                rows = []
+                for i, ids in enumerate(read_shard(folder, shard, length, kind)):
+                    rows.append((shard * shard_slots + i, _crc(ids.tobytes(), kind), ids.tobytes()))
+                    if len(rows) == 256:
+                        yield _sequences(shard, rows)
+                        rows = []
+                if rows:
+                    yield _sequences(shard, rows)
+
+    return run
+
+
+def _sequences(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+    slot, crc, ids = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([shard] * len(slot), pa.int32()), pa.array(slot, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "slot", "ids_crc32", "ids"])
+
+
+VERIFIED = "slot long, sequence_id long, shard int, ids_crc32 long, doc_ids array<long>"
+
+
+def _verifier(folder: str, path: str, length: int, shard_slots: int, order: Feistel):
+    """Reads the sequences that manifest rows name, run by run of neighbouring slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(path).kind
+        for batch in batches:
+            shard, slot, written = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "slot", "ids_crc32"))
+            if not len(slot):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (slot[1:] != slot[:-1] + 1), [True]]))
+            read = np.zeros(len(slot), np.int64)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                blocks = read_shard(folder, int(shard[a]), length, kind, int(slot[a]) - int(shard[a]) * shard_slots)
+                for i in range(a, b):
+                    ids = next(blocks, None)
+                    read[i] = -1 if ids is None or len(ids) != length else _crc(ids.tobytes(), kind)
+            wrong = np.flatnonzero(read != written)
+            if len(wrong):
+                raise RuntimeError(f"slot differs from what was written: {slot[wrong[0]]}")
+            columns = [batch.column("slot"), pa.array(order.sequence(slot.astype(np.uint64)), pa.int64()), batch.column("shard"), pa.array(read), batch.column("doc_ids")]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "sequence_id", "shard", "ids_crc32", "doc_ids"])
 
     return run
 
@@ -215,18 +270,12 @@ class Materialised:
         return shards.mapInArrow(_reader(self.folder, self.path, self.length, self.shard_slots), "shard int, slot long, ids_crc32 long, ids binary")
 
     def verified(self) -> DataFrame:
-        """slot, sequence_id, shard, ids_crc32 as read back, doc_ids; fails where the files differ from the manifest."""
-        back = self.read().select("slot", F.col("ids_crc32").alias("read_crc32"))
-        both = self.manifest.join(back, "slot", "left")
-        wrong = F.raise_error(F.concat(F.lit("slot differs from what was written: "), F.col("slot").cast("string"))).cast("long")
-        crc = F.when(F.coalesce(F.col("read_crc32") == F.col("ids_crc32"), F.lit(False)), F.col("read_crc32")).otherwise(wrong)
-        order = self.order
-
-        @F.pandas_udf("long")
-        def sequence(slot: pd.Series) -> pd.Series:
-            return pd.Series(order.sequence(slot.to_numpy().astype(np.uint64)))
+        """slot, sequence_id, shard, ids_crc32 as read back, doc_ids; fails where the files differ from the manifest.
 
-        return both.select("slot", sequence("slot").alias("sequence_id"), "shard", crc.alias("ids_crc32"), "doc_ids")
+        Each task reads the blocks of its own manifest rows, so nothing is joined or shuffled.
+        """
+        rows = self.manifest.select("shard", "slot", "ids_crc32", "doc_ids")
+        return rows.mapInArrow(_verifier(self.folder, self.path, self.length, self.shard_slots, self.order), VERIFIED)
 
 
 def materialise(docs: DataFrame, folder: str | None = None, path: str = WORD_BPE, end_id: int = END_ID, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY, pad_id: int = PAD_ID, id_col: str = "doc_id", text_col: str = "text") -> Materialised:
@@ -237,16 +286,14 @@ def materialise(docs: DataFrame, folder: str | None = None, path: str = WORD_BPE
     system.create_dir(root, recursive=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # one row per partition of the scan; both passes read the same columns, so that they are dealt alike
-    counted = {r["part"]: r["tokens"] for r in texts.mapInArrow(_counter(path, end_id), "part int, tokens long").collect()}
-    first, n = {}, 0
-    for part in sorted(counted):
-        first[part] = (n, counted[part])
-        n += -(-counted[part] // length)
+    counted = {r["part"]: r["tokens"] for r in texts.mapInArrow(_counter(path), "part int, tokens long").collect()}
+    starts = Starts(folder)
+    n = starts.write(counted, length)
     order = Feistel(n, key)
     n_shards = -(-n // shard_slots)
     if not n:
         return Materialised(folder, 0, spark.createDataFrame([], MANIFEST), order, path, length, shard_slots)
-    pieces = texts.mapInArrow(_placer(path, end_id, length, first, order, shard_slots), "shard int, slot long, offset int, doc_id long, start long, ids binary")
-    ranged = pieces.select("shard", "slot", "offset", "doc_id", "ids").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot", "offset")
+    pieces = texts.mapInArrow(_placer(path, end_id, length, starts, order, shard_slots), "shard int, slot long, offset int, doc_id long, ids binary")
+    ranged = pieces.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot", "offset")
     written = save(ranged.mapInArrow(_writer(path, length, pad_id, folder, shard_slots), MANIFEST), "manifest")
     return Materialised(folder, n, written, order, path, length, shard_slots)

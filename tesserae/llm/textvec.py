@@ -11,15 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # texts are taken together up to this size, one text at least
+CHUNK_BYTES = 1 << 19  # texts are taken together up to this size, one text at least
 
 _rng = np.random.default_rng(20_240_601)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[_SPACE] = 0
+_CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_CASED[_SPACE] = 0
+_BYTE = _CASED.copy()
+_BYTE[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LEN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -32,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of neighbouring texts of about CHUNK_BYTES; null is empty."""
+def text_chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of neighbouring texts of about `size` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
@@ -44,7 +46,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, len(column))
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
@@ -65,16 +67,35 @@ def word_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, word offsets of the texts)."""
     starts, space, woff = word_starts(data, off)
+    return hashed(data, starts, space)[0], woff
+
+
+_STEPS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # powers of _STEP and of its inverse
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of each, kept for the next call unless a very long text needed more."""
+    if len(_STEPS[0]) >= n:
+        return _STEPS
+    size = max(n, 2 * CHUNK_BYTES)
+    with np.errstate(over="ignore"):
+        made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_STEP, _BACK)]
+    if size <= 8 * CHUNK_BYTES:
+        _STEPS[:] = made
+    return made
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, space: np.ndarray, cased: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, bytes) of each word; cased: A-Z and a-z are told apart."""
     if not len(starts):
-        return np.zeros(0, np.uint64), woff
-    span = np.diff(np.append(starts, len(data)))
-    pos = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], span)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = _powers(len(data))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(pos.max()) + 1, _STEP))
-        part = _BYTE[data[starts[0] :]] * power[pos]
-        rel = starts - starts[0]
-        size = np.add.reduceat((~space[starts[0] :]).astype(np.uint64), rel)
-        return mix(np.add.reduceat(part, rel) + size * _LEN), woff
+        part = (_CASED if cased else _BYTE)[data]
+        part *= up[: len(data)]
+        seen = np.cumsum(~space, dtype=np.int64)
+        size = np.diff(np.append(seen[starts] - 1, seen[-1]))
+        return mix(np.add.reduceat(part, starts) * down[starts] + size.astype(np.uint64) * _LEN), size
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
