@@ -14,7 +14,8 @@ forwards and backwards, and the sentences covered by any occurrence but the firs
 that starts or ends inside a long sentence can be missed.
 
 Words are compared with A-Z lower-cased and white space collapsed. Only the hashes' partial minima and the repeated runs
-are joined, so a passage that a third of all documents share is aggregated before the shuffle and its join is split.
+are joined, so a passage that a third of all documents share is aggregated before the shuffle; in the join, the rows of
+a hash with more than one in HOT of all anchors are dealt to several tasks.
 
 Rows: one per input row with all its columns; text_col without what was cut, n_sentences (counted as in `dedup_spans`)
 and n_removed (sentences that lost a word) added (input columns of these names are replaced). A text of which nothing is
@@ -29,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .odd_sketch import _again, _wanted
 from .scratch import save
 from .textvec import mix, text_chunks, word_hashes, word_starts
 
 SENTENCES, WORDS, MAX_WORDS = 2, 20, 20
 WINDOW = 10
+HOT = 1000  # a hash with more than this share of all anchors has its rows dealt to several tasks
 _STEP = 0xD6E8FEB86659FD93
 _BACK = np.uint64(pow(_STEP, -1, 1 << 64))
 _END = np.zeros(256, bool)
@@ -179,10 +180,11 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = flat.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("hash", "low")
     others = flat.join(again, "hash").where(place > F.col("low")).select("doc_id", "text_hash", F.struct("first", "last").alias("span"))
     own = others.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("_spans")).toDF("_doc", "_text_hash", "_spans")
-    columns = plain.columns
-    both = plain.join(own, (F.col(id_col).cast("long") == F.col("_doc")) & (F.xxhash64(plain[text_col]) == F.col("_text_hash")), "left").select(*[plain[c] for c in columns], "_spans")
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(plain.columns)]
+    keyed = plain.select(*columns, F.col(id_col).cast("long").alias("_own"), F.xxhash64(plain[text_col]).alias("_own_hash"))
+    both = keyed.join(own, (F.col("_own") == F.col("_doc")) & (F.col("_own_hash") == F.col("_text_hash")), "left").select(*[f"_c{i}" for i in range(len(columns))], "_spans")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return both.mapInArrow(_cutter(len(columns), columns.index(text_col), [*columns, "n_sentences", "n_removed"]), schema)
+    return both.mapInArrow(_cutter(len(columns), plain.columns.index(text_col), [*plain.columns, "n_sentences", "n_removed"]), schema)
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,100 +229,144 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _short(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words in 32 bits, word offsets of the texts)."""
+    """(hashes of the words in 24 bits, word offsets of the texts)."""
     words, woff = word_hashes(data, off)
-    return (words >> np.uint64(32)).astype(np.uint32), woff
+    return (words >> np.uint64(40)).astype("<u4"), woff
 
 
-def _kept(bitmap):
+def _bytes(words: np.ndarray) -> bytes:
+    """Three bytes a word."""
+    return words.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _around(text_at: int):
+    """The WINDOW words on either side of the wanted anchors of each text; the last columns are doc_id, text_hash and picks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _wanted(batch, bitmap.value).select([0, 1])
+            batch = batch.filter(batch.column("picks").is_valid()).select([text_at, batch.num_columns - 3, batch.num_columns - 2, batch.num_columns - 1])
+            rows = []
+            for i, data, off in text_chunks(batch.column(0)):
+                words, woff = _short(data, off)
+                for d in range(len(off) - 1):
+                    own = words[woff[d] : woff[d + 1]]
+                    doc, text = batch.column(1)[i + d].as_py(), batch.column(2)[i + d].as_py()
+                    for s in batch.column(3)[i + d].as_py():
+                        a, b = s["at"], s["at"] + WORDS
+                        rows.append((s["hash"], doc, text, a, _bytes(own[max(0, a - WINDOW) : a]), _bytes(own[b : b + WINDOW])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hash", "low_doc", "low_text", "low_at", "before", "after"])
 
     return run
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The WINDOW words on either side of the wanted anchors of each text."""
-    for batch in batches:
-        rows = []
-        for i, data, off in text_chunks(batch.column(2)):
-            words, woff = _short(data, off)
-            for d in range(len(off) - 1):
-                own = words[woff[d] : woff[d + 1]]
-                doc, text = batch.column(0)[i + d].as_py(), batch.column(1)[i + d].as_py()
-                for s in batch.column(3)[i + d].as_py():
-                    a, b = s["at"], s["at"] + WORDS
-                    rows.append((s["hash"], doc, text, a, own[max(0, a - WINDOW) : a].tobytes(), own[b : b + WINDOW].tobytes()))
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hash", "low_doc", "low_text", "low_at", "before", "after"])
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> int:
-    """How many items a and b share from their start."""
-    n = min(len(a), len(b))
-    other = np.flatnonzero(a[:n] != b[:n])
-    return int(other[0]) if len(other) else n
-
-
-def _cut_words(text: bytes, repeats: list[dict]) -> tuple[bytes, int, int]:
-    """(text without the words shared with first occurrences, its sentences, those that lost a word)."""
-    data = np.frombuffer(text, np.uint8)
-    off = np.array([0, len(data)])
-    starts, ends, heads, _ = sentences(data, off)
-    words, _ = _short(data, off)
-    edge = np.zeros(len(words) + 1, np.int64)
-    for s in repeats:
-        at, before, after = s["at"], np.frombuffer(s["before"], np.uint32), np.frombuffer(s["after"], np.uint32)
-        a = at - _alike(words[max(0, at - WINDOW) : at][::-1], before[::-1])
-        b = at + WORDS + _alike(words[at + WORDS : at + WORDS + WINDOW], after)
-        if s["low_at"] is not None:  # in this text
-            a = max(a, s["low_at"] + WORDS)
-        if a < b:
-            edge[a] += 1
-            edge[b] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
-    if not gone.any():
-        return text, len(heads), 0
-    return without(text, starts, ends, gone), len(heads), int(np.logical_or.reduceat(gone, heads).sum())
+def _matches(words: np.ndarray, at: np.ndarray, room: np.ndarray, raw: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
+    """How many words from `at` on, in direction `step`, equal those in raw; place: the first byte of the first of these."""
+    n, alive = np.zeros(len(at), np.int64), room > 0
+    for j in range(WINDOW):
+        live = np.flatnonzero(alive)
+        if not len(live):
+            break
+        x = place[live] + 3 * step * j
+        alive[live] = (words[at[live] + step * j] == raw[x] | raw[x + 1] << np.uint32(8) | raw[x + 2] << np.uint32(16)) & (room[live] > j)
+        n += alive
+        alive &= room > j + 1
+    return n
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes as 32-bit numbers, offsets) of a binary column."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)).astype(np.uint32), off
+
+
+def repeated(words: np.ndarray, woff: np.ndarray, of: np.ndarray, repeats: pa.StructArray) -> np.ndarray:
+    """Which words of a chunk are shared with first occurrences; of: the text of each repeat."""
+    at = woff[of] + repeats.field("at").to_numpy().astype(np.int64)
+    (before, boff), (after, aoff) = _binary(repeats.field("before")), _binary(repeats.field("after"))
+    a = at - _matches(words, at - 1, np.minimum(np.diff(boff) // 3, at - woff[of]), before, boff[1:] - 3, -1)
+    end = at + WORDS
+    b = end + _matches(words, end, np.minimum(np.diff(aoff) // 3, woff[of + 1] - end), after, aoff[:-1], 1)
+    low = repeats.field("low_at").fill_null(-WORDS).to_numpy().astype(np.int64) + WORDS  # of those in the same text
+    a = np.maximum(a, woff[of] + low)
+    some = a < b
+    edge = np.bincount(a[some], minlength=len(words) + 1) - np.bincount(b[some], minlength=len(words) + 1)
+    return np.cumsum(edge[: len(words)]) > 0
 
 
 def _passage_cutter(n_columns: int, text_at: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = batch.column(text_at).to_pylist(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, data, off in text_chunks(batch.column(text_at)):
-                counts[i : i + len(off) - 1] = np.diff(sentences(data, off)[3])
-            for i in np.flatnonzero(batch.column(n_columns).is_valid().to_numpy(zero_copy_only=False)):
-                new, _, removed[i] = _cut_words(texts[i].encode(), batch.column(n_columns)[i].as_py())
-                texts[i] = new.decode()
+            texts, counts, removed = batch.column(text_at), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            found: pa.ListArray = batch.column(n_columns)
+            size = found.value_lengths().fill_null(0).to_numpy()
+            edge = np.concatenate([[0], np.cumsum(size)])
+            flat = found.flatten()
+            changed: dict[int, str] = {}
+            for i, data, off in text_chunks(texts):
+                n = len(off) - 1
+                starts, ends, heads, soff = sentences(data, off)
+                counts[i : i + n] = np.diff(soff)
+                if edge[i] == edge[i + n]:
+                    continue
+                words, woff = _short(data, off)
+                gone = repeated(words, woff, np.repeat(np.arange(n), size[i : i + n]), flat.slice(edge[i], edge[i + n] - edge[i]))
+                lost = np.logical_or.reduceat(gone, heads).astype(np.int64)
+                removed[i : i + n] = np.diff(np.concatenate([[0], np.cumsum(lost)])[soff])
+                for d in np.flatnonzero(removed[i : i + n]):
+                    x, y = woff[d], woff[d + 1]
+                    changed[i + d] = without(data[off[d] : off[d + 1]].tobytes(), starts[x:y] - off[d], ends[x:y] - off[d], gone[x:y]).decode()
             columns = [batch.column(i) for i in range(n_columns)]
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            if changed:
+                new = texts.to_pylist()
+                for i, text in changed.items():
+                    new[i] = text
+                columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed)], names=schema)
 
     return run
 
 
+def _dealt(flat: DataFrame, hot: DataFrame, lows: DataFrame) -> DataFrame:
+    """The rows of flat beside those of lows with their hash; the rows of a hot hash are dealt to several tasks.
+
+    hot (hash, parts) has at most HOT rows, so it may be broadcast whatever the size of the corpus.
+    """
+    many, parts = F.broadcast(hot), F.col("parts")
+    key = lambda part: F.when(parts.isNull(), F.col("hash")).otherwise(F.xxhash64("hash", part))
+    salted = flat.join(many, "hash", "left").withColumn("key", key(F.pmod(F.xxhash64("doc_id", "place"), parts))).drop("parts", "hash")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)).cast("long") - 1))
+    once = lows.join(many, "hash", "left").withColumn("part", copies).withColumn("key", key(F.col("part"))).drop("parts", "part", "hash").dropDuplicates(["key"])
+    return salted.join(once, "key")
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated passages, wherever they start; see the module's text."""
     plain = docs.drop("n_sentences", "n_removed")
-    doc, text_hash = F.col(id_col).cast("long"), F.xxhash64(plain[text_col])
+    doc, text_hash = F.col(id_col).cast("long"), F.hash(plain[text_col])
     texts = plain.select(doc.alias("doc_id"), text_hash.alias("text_hash"), plain[text_col].alias("text")).where("doc_id is not null and text is not null")
-    spans = save(texts.mapInArrow(_anchors, "doc_id long, text_hash long, hash array<long>, at array<int>"), "anchors")
-    flat = spans.select("doc_id", "text_hash", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("doc_id", "text_hash", "s.hash", "s.at")
-    place = F.struct("doc_id", "text_hash", "at")
-    again = save(flat.groupBy("hash").agg(F.min(place).alias("low"), F.count("*").alias("n")).where("n > 1").select("hash", "low.*"), "again")
-    wanted = again.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hash", "at")).alias("picks"))
-    few = _again(texts, again.select(F.col("doc_id").alias("id")), _kept, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
-    once = few.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-    around = once.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "picks")
-    lows = around.mapInArrow(_around, "hash long, low_doc long, low_text long, low_at int, before binary, after binary")
-    others = flat.join(lows, "hash").where(place > F.struct("low_doc", "low_text", "low_at"))
-    same = (F.col("doc_id") == F.col("low_doc")) & (F.col("text_hash") == F.col("low_text"))
-    repeats = others.select("doc_id", "text_hash", F.struct("at", F.when(same, F.col("low_at")).alias("low_at"), "before", "after").alias("r"))
+    found = Observation()
+    spans = save(texts.mapInArrow(_anchors, "doc_id long, text_hash int, hash array<long>, at array<int>"), "anchors", found, F.sum(F.size("hash")).alias("n"))
+    anchors_ = F.explode(F.arrays_zip("hash", "at")).alias("s")
+    # a place in one number: the text's hash, then the word
+    flat = spans.select("doc_id", "text_hash", anchors_).select("doc_id", (F.shiftleft(F.col("text_hash").cast("long"), 32) + F.col("s.at")).alias("place"), "s.hash")
+    of_text, word = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    again = save(flat.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("low"), F.count("*").alias("n")).where("n > 1").select("hash", "low.*", "n"), "again")
+    least = max(1, -(-(found.get["n"] or 0) // HOT))  # of the anchors, in a hot hash
+    hot = again.where(F.col("n") > least).select("hash", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+    # both joins below have one and the same left side, so the texts are shuffled once
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(plain.columns)]
+    keyed = plain.select(*columns, doc.alias("_own"), text_hash.alias("_own_hash"))
+    match = (F.col("_own") == F.col("_doc")) & (F.col("_own_hash") == F.col("_text_hash"))
+    wanted = again.groupBy("doc_id", of_text.alias("text_hash")).agg(F.collect_list(F.struct("hash", word.alias("at"))).alias("picks")).toDF("_doc", "_text_hash", "picks")
+    at = plain.columns.index(text_col)
+    lows = keyed.join(wanted, match, "left").drop("_doc", "_text_hash").mapInArrow(_around(at), "hash long, low_doc long, low_text int, low_at int, before binary, after binary")
+    same = (F.col("doc_id") == F.col("low_doc")) & (of_text == F.col("low_text"))
+    others = _dealt(flat, hot, lows).where(~same | (word != F.col("low_at")))
+    repeats = others.select("doc_id", of_text.alias("text_hash"), F.struct(word.alias("at"), F.when(same, F.col("low_at")).alias("low_at"), "before", "after").alias("r"))
     own = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("r").alias("_repeats")).toDF("_doc", "_text_hash", "_repeats")
-    columns = plain.columns
-    both = plain.join(own, (doc == F.col("_doc")) & (text_hash == F.col("_text_hash")), "left").select(*[plain[c] for c in columns], "_repeats")
+    both = keyed.join(own, match, "left").drop("_doc", "_text_hash", "_own", "_own_hash")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return both.mapInArrow(_passage_cutter(len(columns), columns.index(text_col), [*columns, "n_sentences", "n_removed"]), schema)
+    return both.mapInArrow(_passage_cutter(len(columns), at, [*plain.columns, "n_sentences", "n_removed"]), schema)

@@ -24,8 +24,8 @@ from .textvec import hashed, text_chunks, word_starts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-REMEMBERED, LONGEST = 1 << 18, 64  # runs in each of two generations, and their greatest length in bytes
-CHUNK = 1 << 20
+REMEMBERED, LONGEST = 1 << 19, 64  # runs in each of two generations, and their greatest length in bytes
+CHUNK = 1 << 21
 MARKS = np.isin(np.arange(256), [*b".,;:!?"])
 LETTERS = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
