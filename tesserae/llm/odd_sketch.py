@@ -3,8 +3,9 @@
 1. One pass over the texts gives each document its set size, a digest of its shingle set, band keys of its MinHash
    samples and an odd sketch: the samples folded into a parity bitmap.
 2. Documents with one and the same set form a class, represented by the smallest doc_id; only representatives go on.
-3. Representatives that share a band key are candidates. First each meets the smallest one of each of its bands; what
-   the sketches don't rule out is confirmed, and confirmed links are joined to components.
+3. Representatives that share a band key are candidates; only their texts are kept, as sets of hashes, after one semi-join.
+   First each meets the smallest one of each of its bands; what the sketches don't rule out is confirmed, and confirmed
+   links are joined to components.
 4. Where a band then still holds several components, its members get larger sketches, of FINE samples. Blocks of at most
    about BLOCK_ROWS members of a band meet; the population count of the XOR of two sketches estimates the similarity, and
    only pairs of different components that may reach the threshold leave the task, each from the first band it shares.
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,6 @@ BITS = 512
 FINE, FINE_BITS = 1024, 4096
 SLACK, FINE_SLACK = 5.0, 4.0  # standard deviations by which a sketch may fall short of the threshold
 BLOCK_ROWS = 2048
-FILTER_BITS = 1 << 24
 
 _rng = np.random.default_rng(7_001)
 _XOR = _rng.integers(0, 2**32, FINE, dtype=np.uint64).astype(np.uint32)
@@ -107,50 +106,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _wanted(batch: pa.RecordBatch, filter_: np.ndarray) -> pa.RecordBatch:
-    """The rows whose slot is set in a bitmap."""
-    slot = batch.column(2).to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array((filter_[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
-
-
-def _sets(bitmap: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (_wanted(b, bitmap.value) for b in batches):
-            found = [own.tobytes() for _, data, off in text_chunks(batch.column(1)) for own in shingle_sets(data, off, WIDTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "set"])
-
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, data, off in text_chunks(batch.column(1)):
+            found = [own.tobytes() for own in shingle_sets(data, off, WIDTH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(found)), pa.array(found, pa.binary())], names=["id", "set"])
 
 
-def _fine(bitmap: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (_wanted(b, bitmap.value) for b in batches):
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
             sizes, sketches, bands = [], [], []
-            for _, data, off in text_chunks(batch.column(1)):
-                for own in shingle_sets(data, off, WIDTH):
-                    sizes.append(len(own))
-                    samples = min_hash(own, FINE) if len(own) else np.zeros(FINE, np.uint32)
-                    sketches.append(odd_sketch(samples, FINE_BITS).tobytes())
-                    bands.append(band_keys(samples).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], names=["rep", "n", "fine", "keys"])
-
-    return run
-
-
-def _again(texts: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
-    """make(bitmap) over the texts of about these ids, read again without a shuffle.
-
-    The bitmap has FILTER_BITS slots by a hash of the id, whatever the number of ids; a text that shares a slot is made
-    for nothing and finds no partner in the joins that follow.
-    """
-    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
-    at = ids.select(F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
-    words = at.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
-        bitmap[row["w"]] = np.array(row["b"]).astype(np.uint64)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    return texts.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(make(shared), schema)
+            for raw in batch.column(1).slice(i, 512):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                sizes.append(len(own))
+                samples = min_hash(own, FINE) if len(own) else np.zeros(FINE, np.uint32)
+                sketches.append(odd_sketch(samples, FINE_BITS).tobytes())
+                bands.append(band_keys(samples).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], names=["rep", "n", "fine", "keys"])
 
 
 def _meet(percent: int):
@@ -244,21 +217,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     hubs = slots.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("band", "hub")
     shared = save(slots.join(hubs, "band"), "bands")  # only bands of several representatives
     first = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    near = save(_confirmed(_sketched(first, reps, percent), texts, percent).unionByName(ties), "links")
+    # all texts are shuffled once, those of representatives that share a band stay; an id has a row for each of its sets
+    some = shared.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
+    sets = save(texts.where("doc_id is not null").join(some, "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary").dropDuplicates(), "sets")
+    near = save(_confirmed(_sketched(first, reps, percent), sets, percent).unionByName(ties), "links")
 
     found = components(near, "a", "b")
     placed = shared.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     split = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     placed = save(placed.join(split, "band").select("band", "rep", "part").distinct(), "split")
-    fine = save(_again(texts, placed.select(F.col("rep").alias("id")), _fine, "rep long, n long, fine binary, keys binary"), "fine").dropDuplicates()
+    late = sets.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    fine = save(late.mapInArrow(_fine, "rep long, n long, fine binary, keys binary"), "fine")
     blocks = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocked = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    # a large band is dealt out before its rows are repeated for the blocks they meet
+    blocked = blocked.hint("rebalance", "band", "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = blocked.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "part", "rep").join(fine, "rep")
     # a document with several texts has several sets, of which only one need be in the band
     met = met.where(F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("keys"), i * 4 + 1, F.lit(4)) == _low_bytes(F.col("band"))))
     met = met.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
     cross = met.mapInArrow(_meet(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = save(_confirmed(cross, texts, percent), "links")
+    more = save(_confirmed(cross, sets, percent), "links")
     # the new links join components, which are few beside the documents
     label = found.select(F.col("node").alias("rep"), "component")
     part = lambda c: more.select("a", "b").join(label.select(F.col("rep").alias(c), F.col("component").alias("p" + c)), c, "left")
@@ -285,10 +264,10 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(sizes & (bits <= most_bits(percent))).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold; only their texts are read again."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
     pairs = save(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = save(_again(texts, ids, _sets, "id long, set binary"), "sets").dropDuplicates()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    own = save(sets.join(ids, "id", "left_semi"), "paired")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
