@@ -1,21 +1,25 @@
 """Embedding near-duplicates by counting collisions in one-dimensional projections.
 
-Vectors are scaled to length 1 and equal vectors are made one class. Each block of classes sorts LINES random
-projections of its rows. A query row's window on a projection holds the rows whose projections lie within HALF of its
-own; windows are centred on the query. The rows that lie in at least `least_count` of a query's windows are its
-candidates; block products drop those clearly below the threshold and cosines in double precision verify the others.
-
-The count is calibrated: two vectors at the threshold differ on a projection by a normal variable whose spread is their
-distance, which gives the chance of one collision, and the binomial law gives the largest count that RECALL of such
-pairs reach. Pairs above the threshold are closer and reach it more often, so at most about one in a million links is
-expected to be lost against the exact SQL.
-
-Every row is a query against all blocks, so blocks meet in pairs, each unordered pair in one task, and a task holds two
-blocks. A task returns link counts a row and only a spanning forest of its links, so n near copies cost n rows; classes
-count their members.
-
-Rows: one per input row. Vectors that are null, zero, hold null or non-finite components or have another length than
-most link with nothing; null ids neither (component null, kept). Rows that repeat an id are one vector, the smallest
+Vectors are scaled to length 1 and equal vectors are made one class. In each of several tables a class goes to one cell:
+of a group of random lines, the one on which its projection lies farthest out, and the side; with many classes, several
+such groups make the cell. Inside a cell the rows are sorted on LINES further projections. A query row's window on a
+projection holds the rows whose projections lie within HALF of its own; windows are centred on the query. The rows that
+lie in at least `least_count` of a query's windows are its candidates; block products drop those clearly below the
+threshold and cosines in double precision verify the others.
+
+Both steps are calibrated for a pair at the threshold, whose projections on a line are two normal variables with the
+threshold as their correlation: `tables` draws such pairs and takes so many tables that they meet in one but for a chance
+of MISS / 2, and the binomial law gives the largest count that all but MISS / 2 of them reach. Pairs above the threshold
+are closer, so at most about MISS of the links is expected to be lost against the exact SQL.
+
+Cells hold CELL rows in the mean whatever the number of rows, so the work grows with the rows. A cell of more than
+BLOCK_ROWS rows is cut into blocks that meet in pairs, each pair of blocks in one task; where most vectors point in one
+narrow direction, that is most of the work and grows with its square. A pair counts in the first table where it meets. A
+task returns link counts a row and only a spanning forest of its links, so n near copies cost n rows; classes count their
+members.
+
+Rows: one per input row. Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of
+different lengths don't link; null ids neither (component null, kept). Rows that repeat an id are one vector, the smallest
 one. Extra columns are ignored.
 """
 
@@ -30,28 +34,54 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import save
-from .vectors import usable, width
+from .textvec import mix
+from .vectors import usable
 
 THRESHOLD = 0.95
-LINES, HALF, RECALL = 64, 0.1, 0.999999
-BLOCK_ROWS = 16384
-STRIP_ROWS, MARGIN = 256, 1e-9
+LINES, HALF, MISS = 48, 0.3, 1e-6
+CELL, BLOCK_ROWS, GROUP = 256, 8192, 64  # rows of a cell in the mean and of a block at most; most lines in a group
+STRIP_PAIRS, MARGIN = 1 << 17, 1e-6
+DRAWS = 1 << 16
 SEED = 5
 
 LINKS = "a long, b long, links long, tree boolean"  # tree: a link of the forest; else the links of a found here
 
 
-def least_count(threshold: float = THRESHOLD, lines: int = LINES, half: float = HALF, recall: float = RECALL) -> int:
-    """The largest count that a pair at the threshold reaches with probability `recall`."""
+def least_count(threshold: float = THRESHOLD, lines: int = LINES, half: float = HALF, miss: float = MISS / 2) -> int:
+    """The largest count that a pair at the threshold reaches but for a probability of `miss`."""
     p = math.erf(half / math.sqrt(2 - 2 * threshold) / math.sqrt(2))
     below = 0.0
     for count in range(lines + 1):
         below += math.comb(lines, count) * p**count * (1 - p) ** (lines - count)
-        if below > 1 - recall:
+        if below > miss:
             return count
     return lines
 
 
+def farthest(projections: np.ndarray) -> np.ndarray:
+    """For each row the line with the largest absolute projection and its side, as one number."""
+    line = np.abs(projections).argmax(axis=-1)
+    side = np.take_along_axis(projections, line[..., None], axis=-1)[..., 0] < 0
+    return line * 2 + side
+
+
+def tables(n: int, threshold: float = THRESHOLD, miss: float = MISS / 2) -> tuple[int, int, int]:
+    """(tables, groups of lines in each, lines in a group) for n classes."""
+    cells = n / CELL
+    if cells <= 2:
+        return 1, 0, 1
+    groups = math.ceil(math.log(cells) / math.log(2 * GROUP))
+    lines = max(2, math.ceil(cells ** (1 / groups) / 2))
+    rng = np.random.default_rng(SEED)
+    hits = 0
+    for _ in range(DRAWS // 4096):
+        x, z = rng.normal(size=(2, 4096, lines))
+        hits += int((farthest(x) == farthest(threshold * x + math.sqrt(1 - threshold**2) * z)).sum())
+    p = hits / DRAWS
+    p = (p - 4 * math.sqrt(p * (1 - p) / DRAWS)) ** groups  # four standard errors on the safe side
+    return math.ceil(math.log(miss) / math.log1p(-p)), groups, lines
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of rows in double precision, summed in one fixed order."""
     dot = np.add.reduce(x * y, axis=1)
@@ -78,52 +108,64 @@ class _Forest:
 
 
 def collide(lines: np.ndarray, x: np.ndarray, y: np.ndarray, half: float, count: int, same: bool):
-    """(i, rows of y) for each row i of x whose windows hold rows of y at least count times; same: only rows after i."""
-    px, py = x @ lines, y @ lines
-    order = np.argsort(py, axis=0, kind="stable")
-    ids = order.T.copy()
-    lo, hi = np.empty(px.shape, np.int64), np.empty(px.shape, np.int64)
-    for j in range(px.shape[1]):
-        line = py[order[:, j], j]
-        lo[:, j], hi[:, j] = np.searchsorted(line, px[:, j] - half, "left"), np.searchsorted(line, px[:, j] + half, "right")
-    n = len(y)
-    for i in range(len(x)):
-        seen = np.bincount(np.concatenate([own[a:b] for own, a, b in zip(ids, lo[i].tolist(), hi[i].tolist(), strict=True)]), minlength=n)
-        at = np.flatnonzero(seen >= count)
+    """(rows of x, rows of y) of the pairs where the window of the first holds the second at least count times, strip by strip.
+
+    same: x and y are the same rows, and the second comes after the first.
+    """
+    px, py = (x @ lines).T, (y @ lines).T
+    n, m, step = len(x), len(y), max(1, STRIP_PAIRS // len(y))
+    kind = np.uint16 if m < 1 << 16 else np.uint32
+    rank = np.empty((len(py), m), kind)  # of each row of y on each line
+    low, size = np.empty((len(px), n), kind), np.empty((len(px), n), kind)  # the first rank of each window and how many it holds
+    for j, (line, own) in enumerate(zip(py, px, strict=True)):
+        order, mine = np.argsort(line, kind="stable"), np.argsort(own)
+        rank[j, order] = np.arange(m)
+        line, own = line[order], own[mine]
+        first = np.searchsorted(line, own - half, "left")
+        low[j, mine], size[j, mine] = first, np.searchsorted(line, own + half, "right") - first
+    for first in range(0, n, step):
+        seen = np.zeros((min(step, n - first), m), np.uint8)
+        for at, lo, held in zip(rank, low[:, first : first + step], size[:, first : first + step], strict=True):
+            seen += at[None, :] - lo[:, None] < held[:, None]  # ranks below the window wrap round
+        a, b = np.nonzero(seen >= count)
+        a = a + first
         if same:
-            at = at[at > i]
-        if len(at):
-            yield i, at
+            a, b = a[b > a], b[b > a]
+        yield a, b
 
 
-def _pairs(threshold: float, dims: int):
-    lines = np.random.default_rng(SEED).normal(size=(dims, LINES))
+def _pairs(threshold: float):
     count = least_count(threshold)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(key[0]), int(key[1])
+        low, high = int(key[1]), int(key[2])
         left = pdf[pdf["block"] == low]
         right = left if low == high else pdf[pdf["block"] == high]
-        names = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if low != high else left["rep"].to_numpy()
-        if not len(left) or not len(right):
+        if not len(left) or not len(right) or low == high and len(left) < 2:
             return pd.DataFrame({"a": [], "b": [], "links": [], "tree": []})
+        names = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if low != high else left["rep"].to_numpy()
+        table = int(left["number"].iloc[0])
         x, y = (np.stack(f["vector"].to_numpy()).astype(np.float64) for f in (left, right))
         ux, uy = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y))
+        cx, cy = (np.stack(f["cells"].to_numpy()) for f in (left, right))
         nx, ny = left["copies"].to_numpy(), right["copies"].to_numpy()
+        lines = np.random.default_rng(SEED).normal(size=(x.shape[1], LINES))
         shift = 0 if low == high else len(left)
         links = np.zeros(len(names), np.int64)
         forest, tree = _Forest(len(names)), []
-        strip, dots = -1, np.zeros((0, len(uy)))
-        for i, at in collide(lines, ux, uy, HALF, count, low == high):
-            if i // STRIP_ROWS != strip:
-                strip = i // STRIP_ROWS
-                dots = ux[strip * STRIP_ROWS : (strip + 1) * STRIP_ROWS] @ uy.T
-            at = at[dots[i % STRIP_ROWS, at] >= threshold - MARGIN]
-            at = at[cosine(np.broadcast_to(x[i], (len(at), dims)), y[at]) >= threshold]
-            if len(at):
-                links[i] += ny[at].sum()
-                links[at + shift] += nx[i]
-                tree += [(i, j + shift) for j in at.tolist() if forest.join(i, j + shift)]
+        for a, b in collide(lines, ux, uy, HALF, count, low == high):
+            for i in range(0, len(a), 1 << 16):
+                p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                near = np.einsum("ij,ij->i", ux[p], uy[q]) >= threshold - MARGIN
+                p, q = p[near], q[near]
+                if table:
+                    new = ~(cx[p, :table] == cy[q, :table]).any(axis=1)  # not met before
+                    p, q = p[new], q[new]
+                real = cosine(x[p], y[q]) >= threshold
+                p, q = p[real], q[real]
+                np.add.at(links, p, ny[q])
+                np.add.at(links, q + shift, nx[p])
+                tree += [(i, j) for i, j in zip(p.tolist(), (q + shift).tolist(), strict=True) if forest.join(i, j)]
         some = np.flatnonzero(links)
         rows = [pd.DataFrame({"a": names[some], "b": names[some], "links": links[some], "tree": False})]
         if tree:
@@ -134,25 +176,56 @@ def _pairs(threshold: float, dims: int):
     return run
 
 
+def _cells(n_tables: int, groups: int, lines: int):
+    """The cells of each vector, a number for each table."""
+
+    def keys(vectors: np.ndarray) -> np.ndarray:
+        drawn = np.random.default_rng(SEED + 1).normal(size=(vectors.shape[1], n_tables * groups * lines))
+        out = np.empty((len(vectors), n_tables), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(0, len(vectors), 1024):
+                at = farthest((vectors[i : i + 1024] @ drawn).reshape(-1, n_tables, groups, lines)).astype(np.uint64)
+                key = np.broadcast_to(np.arange(1, n_tables + 1, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(vectors.shape[1]), at.shape[:2])
+                for g in range(groups):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + at[:, :, g])
+                out[i : i + 1024] = mix(key)
+        return out.view(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def cells(column: pd.Series) -> pd.Series:
+        out, sizes = [None] * len(column), column.map(len).to_numpy()
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            for i, own in zip(at.tolist(), keys(np.stack(column.to_numpy()[at]).astype(np.float64)), strict=True):
+                out[i] = own
+        return pd.Series(out, dtype=object)
+
+    return cells
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors; see the module's text."""
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    dims = width(vectors, vector_col)
     key = F.col("vec_id") == F.coalesce("component_id", "vec_id")
-    if not dims:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = vectors.where(usable(F.col(vector_col)) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
-    one = save(good.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("vector")), "vectors")
+    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    one = save(good.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast(kind)).alias("vector")), "vectors")
     classes = save(one.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    n = max(1, -(-classes.count() // BLOCK_ROWS))
-    blocked = classes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = blocked.withColumn("other", other).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "vector")
-    found = save(met.groupBy("low", "high").applyInPandas(_pairs(threshold, dims), LINKS), "links")
+    n_tables, groups, lines = tables(classes.count(), threshold)
+    celled = classes.withColumn("cells", _cells(n_tables, groups, lines)("vector") if groups else F.array(F.size("vector").cast("long")))
+    placed = save(celled, "cells")
+    dealt = placed.select("*", F.posexplode("cells").alias("number", "cell"))
+    # a row for each cell of more than BLOCK_ROWS rows
+    large = save(placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK_ROWS).select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    blocked = dealt.join(large, "cell", "left").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = blocked.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "number", "rep", "copies", "vector", "cells")
+    found = save(met.groupBy("cell", "low", "high").applyInPandas(_pairs(threshold), LINKS), "links")
     parts = components(found.where("tree"), "a", "b")
     counts = found.where("not tree").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    placed = classes.select("rep", "copies", "vector").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id"))
-    mine = one.join(placed, "vector").select("vec_id", "links", "component_id")
+    joined = classes.select("rep", "copies", "vector").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = joined.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id"))
+    mine = one.join(joined, "vector").select("vec_id", "links", "component_id")
     out = every.join(mine, "vec_id", "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(key, F.lit(True)).alias("kept"))

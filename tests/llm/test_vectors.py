@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tesserae.llm.ann_mih import nearest, shares
-from tesserae.llm.collision_projections import least_count, near_vectors
+from tesserae.llm.collision_projections import HALF, LINES, farthest, least_count, near_vectors, tables
 
 from .helpers import groups
 
@@ -76,10 +76,17 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors(_table(spark, [])).count() == 0 and near_vectors(_table(spark, _odd(3)[:5])).count() == 5
 
 
-def test_least_count_is_calibrated():
+def test_counts_and_tables_are_calibrated():
     rng = np.random.default_rng(3)
-    gap = rng.normal(size=(20_000, 64)) * np.sqrt(0.1)
-    assert (((np.abs(gap) <= 0.1).sum(axis=1)) >= least_count()).mean() >= 0.994
+    gap = rng.normal(size=(20_000, LINES)) * np.sqrt(0.1)
+    apart = rng.normal(size=(20_000, LINES)) * np.sqrt(2)
+    assert (np.abs(gap) <= HALF).sum(axis=1).min() >= least_count()
+    assert ((np.abs(apart) <= HALF).sum(axis=1) >= least_count()).mean() < 0.02  # pairs at random are pruned
+    for n in (10_000, 1_000_000):
+        count, groups, lines = tables(n)
+        x, z = rng.normal(size=(2, 400, count, groups, lines))
+        met = (farthest(x) == farthest(0.95 * x + np.sqrt(1 - 0.95**2) * z)).all(axis=2).any(axis=1)
+        assert met.all() and (2 * lines) ** groups >= n / 512
 
 
 def test_pairs_just_above_the_threshold_are_linked(spark):
@@ -93,3 +100,28 @@ def test_pairs_just_above_the_threshold_are_linked(spark):
     y = 0.95001 * x + np.sqrt(1 - 0.95001**2) * side
     found = {r["vec_id"]: r for r in near_vectors(_table(spark, [*enumerate(x), *enumerate(y, n)])).collect()}
     assert all(found[i]["n_links"] == found[n + i]["n_links"] == 1 and found[n + i]["component_id"] == i for i in range(n))
+
+
+def test_links_among_many_vectors_and_lengths(spark):
+    """20,000 vectors in cells: a third near one direction, planted pairs at the threshold, another length, repeated rows."""
+    rng = np.random.default_rng(8)
+    n, d = 20_000, 32
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1500] = x[0] + rng.normal(size=(1500, d)) * 0.035  # links inside, and some that just miss
+    side = rng.normal(size=(500, d))
+    own = x[2000:2500]
+    side -= (side * own).sum(axis=1)[:, None] * own
+    x[3000:3500] = 0.9501 * own + np.sqrt(1 - 0.9501**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    degree, links = np.zeros(n, int), []
+    for a in range(0, n, 1000):
+        i, j = np.nonzero(u[a : a + 1000] @ u.T >= 0.95)
+        i += a
+        links += [(p, q) for p, q in zip(i.tolist(), j.tolist(), strict=True) if p < q]
+        degree += np.bincount(i[i != j], minlength=n)
+    other = [(n + 5, [1.0, 2.0]), (n + 6, [2.0, 4.0]), (n + 7, [1.0]), (n + 7, [1.0])]
+    found = {r["vec_id"]: r for r in near_vectors(_table(spark, [*enumerate(x), *other])).collect()}
+    assert [found[i]["n_links"] for i in range(n)] == degree.tolist()
+    assert {i: found[i]["component_id"] for i in range(n)} == groups(range(n), links)
+    assert found[n + 5]["n_links"] == found[n + 6]["n_links"] == 1 and found[n + 6]["component_id"] == n + 5 and found[n + 7]["n_links"] == 0
