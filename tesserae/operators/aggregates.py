@@ -68,9 +68,10 @@ def quartile_limit(df: DataFrame, value: Column, coefficient: float = 1.5) -> Da
 
 
 def letter_histogram(df: DataFrame, text: Column) -> DataFrame:
-    """letter, n over all characters of the texts."""
-    letters = df.select(F.explode(F.split(text, "")).alias("letter")).where("letter <> ''")
-    return letters.groupBy("letter").agg(F.count("*").alias("n"))
+    """letter, n over all characters of the texts. Each text is counted before anything is shuffled: a row for each letter it has."""
+    letters = df.select(text.alias("t")).select("t", F.explode(F.array_distinct(F.split("t", ""))).alias("letter")).where("letter <> ''")
+    counted = letters.select("letter", (F.length("t") - F.length(F.replace(F.col("t"), F.col("letter"), F.lit("")))).cast("long").alias("k"))
+    return counted.groupBy("letter").agg(F.sum("k").alias("n"))
 
 
 def byte_histogram(df: DataFrame, value: Column) -> DataFrame:

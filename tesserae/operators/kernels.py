@@ -2,7 +2,8 @@
 
 Rows are sequence positions, columns profile positions. Only the deletion chain runs along a row; as a maximum of
 sums it is a running maximum after subtracting the running sum of its steps, so a row is a fixed number of array
-operations. Scores of many sequences advance side by side; alignments keep all cells of one sequence.
+operations. Many sequences advance side by side; only alignments keep cells, those of a bounded number of short
+sequences or of one long one.
 
 Models: standard; circular (the last column leads back to the first); glocal (entry at the first cell and down the
 first column only); extended (insertions also advance a column). Ties: end before insertion before match before
@@ -11,6 +12,7 @@ deletion; in the extended model deletion comes before insertion and match.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +58,15 @@ class Kernel:
         self.insertion = profile.insertion.T.astype(np.int64).copy()  # residue x (length + 1)
         self.delete = np.concatenate([[0], profile.match[:, DEL]]).astype(np.int64)
         self.chain = np.cumsum(self.delete + np.where(np.arange(self.length + 1) > 0, self.to[D, D], 0))
+        states = range(4)
+        # of the standard model's score rows: what a residue adds on the way from match or insertion to each state
+        self.by_match = np.stack([np.concatenate([np.full((len(self.match), 1), NO), self.match + self.to[M, t][1:]], axis=1) for t in states], axis=1)
+        self.by_insertion = np.stack([self.insertion + self.to[I, t] for t in states], axis=1)
+        self.by_delete = np.stack([self.delete[1:] + self.to[D, t][1:] for t in states])
+        self.enter = np.stack([self.to[X, t] if t != X else np.full(self.length + 1, NLOW) for t in states])
+        # in the row of the last residue other steps lead to the end
+        self.end_match = np.concatenate([np.full((len(self.match), 1), NO), self.match + self.last[1:, M]], axis=1)
+        self.end_insertion, self.end_delete = self.insertion + self.last[:, I], self.delete[1:] + self.last[1:, D]
         self.rank = {D: 0, M: 1, I: 2, X: 3} if self.model != EXTENDED else {M: 0, I: 1, D: 2, X: 3}
 
     def encode(self, text: str) -> np.ndarray:
@@ -129,67 +140,125 @@ class Kernel:
             self._wrap(cells)
         return cells, {"came": came, "enter": enter, "leave": leave, "plain": plain}
 
+    def _groups(self, sequences: list[np.ndarray], cells: int) -> list[list[int]]:
+        """The non-empty sequences, longest first, in groups of lanes; a group has about so many cells, one lane at least."""
+        order = [k for k in np.argsort([-len(s) for s in sequences], kind="stable").tolist() if len(sequences[k])]
+        out, at = [], 0
+        while at < len(order):
+            step = max(1, cells // ((self.length + 1) * (len(sequences[order[at]]) + 1)))
+            out.append(order[at : at + step])
+            at += step
+        return out
+
+    @staticmethod
+    def _padded(sequences: list[np.ndarray], lanes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(residues of the lanes side by side, a row for each position; lengths)."""
+        size = np.array([len(sequences[k]) for k in lanes])
+        padded = np.zeros((size[0], len(lanes)), np.uint8)
+        for i, k in enumerate(lanes):
+            padded[: size[i], i] = sequences[k]
+        return padded, size
+
+    def _score_row(self, m: np.ndarray, i: np.ndarray, residue: np.ndarray, ended: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(match, insertion, end scores) of the standard model after one more residue; the last `ended` lanes are at their end."""
+        before = np.concatenate([m[:, :1], m[:, :-1]], axis=1)
+        cells = np.maximum(before[:, None] + self.by_match[residue], i[:, None] + self.by_insertion[residue])
+        np.maximum(cells, self.enter, out=cells)
+        deletion = self._scan(cells[:, D])
+        np.maximum(cells[:, :, 1:], deletion[:, None, :-1] + self.by_delete, out=cells[:, :, 1:])
+        end = cells[:, X, 1:].max(axis=1)
+        if ended:
+            r = residue[-ended:]
+            own = np.maximum(before[-ended:] + self.end_match[r], i[-ended:] + self.end_insertion[r])[:, 1:]
+            end[-ended:] = np.maximum(np.maximum(own, deletion[-ended:, :-1] + self.end_delete), NLOW).max(axis=1)
+        return cells[:, M], cells[:, I], end
+
     def best_scores(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The best score of each sequence; an empty one has NLOW."""
         out = np.full(len(sequences), NLOW, np.int64)
-        order = np.argsort([-len(s) for s in sequences], kind="stable")
+        order = [k for k in np.argsort([-len(s) for s in sequences], kind="stable").tolist() if len(sequences[k])]
         step = max(1, (1 << 15) // (self.length + 1))
         for first in range(0, len(order), step):
-            lanes = [k for k in order[first : first + step].tolist() if len(sequences[k])]
-            if not lanes:
-                continue
-            size = np.array([len(sequences[k]) for k in lanes])
-            padded = np.zeros((len(lanes), size[0]), np.int64)
-            for i, k in enumerate(lanes):
-                padded[i, : size[i]] = sequences[k]
+            lanes = order[first : first + step]
+            padded, size = self._padded(sequences, lanes)
+            live = np.searchsorted(-size, -np.arange(1, size[0] + 2), "right").tolist()  # lanes that have position i
             cells = self.start(len(lanes))
-            for i in range(size[0]):
-                live = int(np.searchsorted(-size, -(i + 1), "right"))
-                cells, _ = self.row({t: c[:live] for t, c in cells.items()}, padded[:live, i], size[:live] == i + 1)
-                out[lanes[:live]] = np.maximum(out[lanes[:live]], cells[X][:, 1:].max(axis=1))
+            m, i, best = cells[M], cells[I], np.full(len(lanes), NLOW, np.int64)
+            for at in range(size[0]):
+                n = live[at]
+                if self.model == STANDARD:
+                    m, i, end = self._score_row(m[:n], i[:n], padded[at, :n], n - live[at + 1])
+                else:
+                    cells, _ = self.row({t: c[:n] for t, c in cells.items()}, padded[at, :n], size[:n] == at + 1)
+                    end = cells[X][:, 1:].max(axis=1)
+                np.maximum(best[:n], end, out=best[:n])
+            out[lanes] = best
         return out
 
     def matrix(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, moves, wraps) of every cell: rows x columns x states; a move is the state a cell came from."""
-        n = len(sequence)
-        scores = np.full((n + 1, self.length + 1, 4), NLOW, np.int32)
-        moves = np.full((n + 1, self.length + 1, 4), X, np.int8)
-        wraps = np.zeros((n + 1, 4), bool)
-        cells = self.start(1)
-        self._put(scores, moves, wraps, 0, cells, None)
-        for i in range(n):
-            cells, how = self.row(cells, sequence[i : i + 1], np.array([i + 1 == n]))
-            self._put(scores, moves, wraps, i + 1, cells, how)
-        return scores, moves, wraps
+        if len(sequence):
+            return next(self.matrices([sequence]))[1:]
+        scores, moves, wraps = self._empty(1, 0)
+        self._put(scores, moves, wraps, 0, self.start(1), None)
+        return scores[0], moves[0], wraps[0]
+
+    def _empty(self, lanes: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shape = (lanes, n + 1, self.length + 1, 4)
+        return np.full(shape, NLOW, np.int32), np.full(shape, X, np.int8), np.zeros((lanes, n + 1, 4), bool)
+
+    def matrices(self, sequences: list[np.ndarray], cells: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, scores, moves, wraps) of each non-empty sequence, in any order; so many cells are held at once, 20 bytes
+        each, or those of one sequence."""
+        for lanes in self._groups(sequences, cells):
+            padded, size = self._padded(sequences, lanes)
+            scores, moves, wraps = self._empty(len(lanes), size[0])
+            now = self.start(len(lanes))
+            self._put(scores, moves, wraps, 0, now, None)
+            for i in range(size[0]):
+                live = int(np.searchsorted(-size, -(i + 1), "right"))
+                now, how = self.row({t: c[:live] for t, c in now.items()}, padded[i, :live], size[:live] == i + 1)
+                self._put(scores, moves, wraps, i + 1, now, how)
+            for at, k in enumerate(lanes):
+                n = len(sequences[k]) + 1
+                yield k, scores[at, :n], moves[at, :n], wraps[at, :n]
 
     def _put(self, scores: np.ndarray, moves: np.ndarray, wraps: np.ndarray, i: int, cells: dict, how: dict | None) -> None:
+        """Keep row i of the lanes that have one, which come first."""
         order = sorted((M, I, D, X), key=lambda s: self.rank[s])
+        live = len(cells[M])
+        none = np.full((live, 1), NO)
         for t in (M, I, D, X):
-            value = cells[t][0]
-            scores[i, :, t] = np.maximum(value, np.iinfo(np.int32).min // 2)
+            value = cells[t]
+            scores[:live, i, :, t] = np.maximum(value, np.iinfo(np.int32).min // 2)
+            by_delete = np.concatenate([none, cells[D][:, :-1] + self.delete[1:] + self.to[D, t][1:]], axis=1) if t != X else none
             if how is None:
                 if t != X and self.model != GLOCAL:
-                    step = np.concatenate([[NO], cells[D][0, :-1] + self.delete[1:] + self.to[D, t][1:]])
-                    moves[i, :, t] = np.where((value == step) & (value > self.first[:, t]), D, X)
-                    if self.model == CIRCULAR and value[0] > self.first[0, t]:
-                        wraps[i, t], moves[i, 0, t] = True, moves[i, -1, t]
+                    moves[:live, i, :, t] = np.where((value == by_delete) & (value > self.first[:, t]), D, X)
+                    if self.model == CIRCULAR:
+                        over = value[:, 0] > self.first[0, t]
+                        wraps[:live, i, t] = over
+                        moves[:live, i, 0, t] = np.where(over, moves[:live, i, -1, t], moves[:live, i, 0, t])
                 continue
-            options = {s: how["came"][s][0] + (how["leave"][s][0] if t == X else self.to[s, t]) for s in (M, I, D)}
-            options[X] = how["enter"][t][0] if t != X else np.full(self.length + 1, NO)
+            options = {s: how["came"][s] + (how["leave"][s] if t == X else self.to[s, t]) for s in (M, I, D)}
+            options[X] = how["enter"][t] if t != X else np.full((live, self.length + 1), NO)
             if self.model == CIRCULAR and t != X:
-                options[D] = np.concatenate([[NO], cells[D][0, :-1] + self.delete[1:] + self.to[D, t][1:]])
-            move = np.full(self.length + 1, X, np.int8)
+                options[D] = by_delete
+            move = np.full(value.shape, X, np.int8)
             for s in order:  # the last state that reaches the value wins
-                move = np.where(options[s] == value, s, move)
-            moves[i, :, t] = move
+                move[options[s] == value] = s
+            moves[:live, i, :, t] = move
             if self.model == CIRCULAR and t != X:
-                plain = how["plain"][t][0, 0]
-                own = max((s for s in order if s != D and options[s][0] == plain), key=lambda s: self.rank[s], default=X)
-                edge = moves[i, -1, t]
-                if value[0] > plain or how["plain"][t][0, -1] == plain and self.rank[int(edge)] >= self.rank[own]:
-                    wraps[i, t], moves[i, 0, t] = True, edge
-                else:
-                    moves[i, 0, t] = own
+                plain = how["plain"][t]
+                own = np.full(live, X, np.int8)  # what the first column comes from without a wrap
+                for s in order:
+                    if s != D:
+                        own[options[s][:, 0] == plain[:, 0]] = s
+                edge = move[:, -1]
+                rank = np.array([self.rank[s] for s in range(4)])
+                over = (value[:, 0] > plain[:, 0]) | (plain[:, -1] == plain[:, 0]) & (rank[edge] >= rank[own])
+                wraps[:live, i, t] = over
+                moves[:live, i, 0, t] = np.where(over, edge, own)
 
     def trace(self, moves: np.ndarray, wraps: np.ndarray, row: int, col: int, letters: str) -> tuple[int, int, int, int, str, str, int]:
         """(row and column of the entry, cycles, last state, states, aligned text, first state) walking back from an end."""
@@ -228,16 +297,26 @@ class Kernel:
         raise ValueError("an alignment has no entry")
 
     def hits(self, letters: str, bound: int, limit: int | None = None, keep=None) -> list[Alignment]:
-        """Alignments that do not overlap, best first, until a score falls below bound.
+        """The alignments of one text; see many_hits."""
+        return self.many_hits([letters], bound, limit, keep)[0]
+
+    def many_hits(self, texts: list[str], bound: int, limit: int | None = None, keep=None, first: bool = False) -> list[list[Alignment]]:
+        """Of each text the alignments that do not overlap, best first, until a score falls below bound.
 
-        Ties: the last row, then the last column. keep decides which count toward limit; dropped ones still use up their
-        rows, the row of entry included, and an alignment that touches used rows is dropped.
+        Ties: the last row (first: the first row), then the last column. keep decides which count toward limit; dropped
+        ones still use up their rows, the row of entry included, and an alignment that touches used rows is dropped.
+        Scores come first, for all texts side by side; only texts that reach the bound get all their cells.
         """
-        sequence = self.encode(letters)
-        n = len(sequence)
-        if not n:
-            return []
-        scores, moves, wraps = self.matrix(sequence)
+        sequences = [self.encode(t) for t in texts]
+        out: list[list[Alignment]] = [[] for _ in texts]
+        best = self.best_scores(sequences)
+        some = np.flatnonzero((best > NLOW) & (best >= bound)).tolist()
+        for k, scores, moves, wraps in self.matrices([sequences[k] for k in some]):
+            out[some[k]] = self._hits(texts[some[k]], scores, moves, wraps, bound, limit, keep, first)
+        return out
+
+    def _hits(self, letters: str, scores: np.ndarray, moves: np.ndarray, wraps: np.ndarray, bound: int, limit: int | None, keep, first_row: bool) -> list[Alignment]:
+        n = len(scores) - 1
         ends = scores[1:, 1:, X]
         row_best = ends.max(axis=1).astype(np.int64)
         col_best = self.length - 1 - np.argmax(ends[:, ::-1], axis=1)
@@ -248,7 +327,7 @@ class Kernel:
             best = int(open_.max())
             if best <= NLOW or best < bound:
                 return out
-            row = n - 1 - int(np.argmax(open_[::-1])) + 1
+            row = int(np.argmax(open_)) + 1 if first_row else n - int(np.argmax(open_[::-1]))
             col = int(col_best[row - 1]) + 1
             begin, entry, cycles, state, states, aligned, first = self.trace(moves, wraps, row, col, letters)
             overlap = used[begin : row + 1].any()

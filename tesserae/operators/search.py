@@ -61,27 +61,24 @@ def search(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            strands = {1: texts} if not (both_strands or best_strand) else {1: texts, -1: [x[::-1].translate(_SWAP) for x in texts]}
+            made = []
+            for pid, kernel in enumerate(kernels):
+                keep = lambda a, n, c=cutoffs[pid]: accepts(a, n, c, score_range, cycle_range, clip, invert, top is not None)
+                made.append({o: kernel.many_hits(own, bounds[pid], top, keep) for o, own in strands.items()})
             keys, rows = [], []
-            for name, forward in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                strands = [(1, forward)] if forward else []
-                if forward and (both_strands or best_strand):
-                    strands.append((-1, forward[::-1].translate(_SWAP)))
-                for pid, kernel in enumerate(kernels):
-                    found = []
-                    for orientation, letters in strands:
-                        keep = lambda a, n, c=cutoffs[pid]: accepts(a, n, c, score_range, cycle_range, clip, invert, top is not None)
-                        found.append((orientation, kernel.hits(letters, bounds[pid], top, keep)))
+            for i, (name, forward) in enumerate(zip(names, texts, strict=True)):
+                for pid, by_strand in enumerate(made):
+                    found = [(o, own[i]) for o, own in by_strand.items()]
                     if best_strand and len(found) == 2:
                         score = [h[0].score if h else -(1 << 31) for _, h in found]
                         found = [found[1] if score[1] > score[0] else found[0]]
-                    rank = 0
-                    for orientation, hits in found:
-                        for h in hits:
-                            rank += 1
-                            keys.append(name)
-                            rows.append((pid, rank, orientation, *vars(h).values(), len(forward)))
+                    hits = [(o, h) for o, own in found for h in own]
+                    keys += [name] * len(hits)
+                    rows += [(pid, rank, o, *vars(h).values(), len(forward)) for rank, (o, h) in enumerate(hits, 1)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
-            own = pa.array([k.as_py() for k in keys], batch.schema.field(0).type)
+            own = pa.array(keys, batch.schema.field(0).type)
             yield pa.RecordBatch.from_arrays([own, *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], names=[key, *_NAMES])
 
     kind = sequences.schema[key].dataType.simpleString()
@@ -100,10 +97,10 @@ def best_scores(sequences: DataFrame, profiles: Sequence[Profile], both_strands:
         for batch in batches:
             forward = [x or "" for x in batch.column(1).to_pylist()]
             for pid, kernel in enumerate(kernels):
-                for orientation in (1, -1) if both_strands else (1,):
-                    strand = forward if orientation == 1 else [x[::-1].translate(_SWAP) for x in forward]
-                    score = kernel.best_scores([kernel.encode(x) for x in strand])
-                    n = len(forward)
+                n = len(forward)
+                both = forward + [x[::-1].translate(_SWAP) for x in forward] if both_strands else forward
+                scores = kernel.best_scores([kernel.encode(x) for x in both])  # both strands side by side
+                for orientation, score in ((1, scores[:n]), (-1, scores[n:])) if both_strands else ((1, scores),):
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pid] * n, pa.int32()), pa.array([orientation] * n, pa.int32()), pa.array(score, pa.int32())], names=[key, "profile_id", "orientation", "score"])
 
     kind = sequences.schema[key].dataType.simpleString()
@@ -142,17 +139,17 @@ def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None
 
 
 def map_tags(genomes: DataFrame, tags: Sequence[tuple[str, str]], scores: dict = MAP_SCORES, key: str = "seq_id", text: str = "raw") -> DataFrame:
-    """key, tag, begin, end, score: the best place of each whole tag in each sequence; begin and end count from 0."""
+    """key, tag, begin, end, score: the best place of each whole tag in each sequence, the first one on a tie.
+
+    begin and end count from 0.
+    """
     kernels = [(name, Kernel(tag_profile(tag, scores))) for name, tag in tags if tag]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (name.as_py(), tag, h.seq_begin, h.seq_end, h.score)
-                for name, letters in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)
-                for tag, kernel in kernels
-                for h in kernel.hits(letters or "", -(1 << 30), 1)
-            ]
+            names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            found = [(tag, kernel.many_hits(texts, -(1 << 30), 1, first=True)) for tag, kernel in kernels]
+            rows = [(name, tag, h.seq_begin, h.seq_end, h.score) for i, name in enumerate(names) for tag, own in found for h in own[i]]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "tag", "begin", "end", "score"])

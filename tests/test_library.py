@@ -119,7 +119,7 @@ def test_classify_and_map(table):
     found = search.classify(search.search(table, [p]), [simple_profile("TTTT", "ACGT"), simple_profile("ACGT", "ACGT"), simple_profile("ACGT", "ACGT")])
     assert {(r["class_id"], r["class_score"]) for r in found.collect()} == {(1, 12)}
     places = search.map_tags(table, [("t", "ACGT"), ("none", "")]).collect()
-    assert {(r["seq_id"], r["begin"], r["end"], r["score"]) for r in places} == {(1, 8, 11, 16), (2, 1, 4, 16)}
+    assert {(r["seq_id"], r["begin"], r["end"], r["score"]) for r in places} == {(1, 2, 5, 16), (2, 1, 4, 16)}
     assert sequences.load_scores(sequences.dump_scores()) == MAP_SCORES
     with pytest.raises(ValueError, match="unknown parts"):
         sequences.load_scores('{"Other": {}}')
@@ -131,6 +131,15 @@ def test_fasta_batch_stream_and_sniff(spark, tmp_path):
     rows = sequences.read_fasta(spark, str(tmp_path)).select("header", seq.clean(F.col("raw")).alias("s")).collect()
     assert sorted(map(tuple, rows)) == [("only", "ACGT"), ("s1 x", "ACGTAC"), ("s2", ""), ("s3 last", "ACGT")]
     assert {r["format"] for r in sequences.sniff(spark, str(tmp_path / "b.fa")).collect()} == {"fasta"}
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(12):  # small files share a partition
+        (many / f"{k}.fa").write_text(f"junk before {k}\nmore\n>r{k} a\nAC\n>s{k}\nGT\n")
+    found = sequences.read_fasta(spark.newSession(), str(many)).select("header", seq.clean(F.col("raw")).alias("s")).collect()
+    assert sorted(map(tuple, found)) == sorted([(f"r{k} a", "AC") for k in range(12)] + [(f"s{k}", "GT") for k in range(12)])
+    with open(tmp_path / "sparse.bin", "wb") as f:
+        f.truncate(3 << 30)
+    assert [r["format"] for r in sequences.sniff(spark, str(tmp_path / "sparse.bin")).collect()] == ["unknown"]
     (tmp_path / "c.bin").write_bytes(b"\x89HDF\r\n")
     assert sequences.sniff(spark, str(tmp_path / "c.bin")).first()["format"] == "hdf5"
     folder = tmp_path / "in"
