@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def histogram(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
@@ -51,20 +54,64 @@ def _cells(x: int) -> list[tuple[str, Column]]:
     return [("tp", positive & true), ("fp", positive & ~true), ("tn", ~positive & ~true), ("fn", ~positive & true)]
 
 
+BUCKETS = 1000
+
+
+def range_bucket(df: DataFrame, order: str) -> Column:
+    """A number from 0 to BUCKETS for each row, rising with a numeric or time column, from its approximate percentiles; null is -1.
+
+    Rows of one value share a bucket; other types have one bucket, 0. Percentiles are bounded in number and only place the edges,
+    so results don't depend on how exact they are.
+    """
+    kind, column = df.schema[order].dataType, F.col(order)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        number = column.cast("timestamp").cast("double")
+    else:
+        number = column.cast("double") if isinstance(kind, T.NumericType) else None
+    steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    edges = np.unique(df.agg(F.percentile_approx(number, steps, 10 * BUCKETS)).first()[0] or []) if number is not None else []
+    if not len(edges):
+        return F.when(column.isNull(), -1).otherwise(0)
+
+    @F.pandas_udf("int")
+    def bucket(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, values.to_numpy(), "left").astype(np.int32))
+
+    return F.when(column.isNull(), -1).otherwise(bucket(number))
+
+
+def running_total(df: DataFrame, group: str | None, order: str, size: str, name: str) -> DataFrame:
+    """df and, as `name`, the sum of the sizes that come before a row in its group, in two steps.
+
+    Sums of range buckets are added up first, at most BUCKETS + 2 a group; then a window runs inside each bucket, so no
+    task holds a whole group.
+    """
+    keys = [group] if group else []
+    rows = df.withColumn("_bucket", range_bucket(df, order))
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(k).alias("_group") for k in keys], F.col("_bucket").alias("_place"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_bucket") == F.col("_place")
+    if group:
+        same &= F.col(group).eqNullSafe(F.col("_group"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(base, same).withColumn(name, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).select(*df.columns, name)
+
+
 def quartile_limit(df: DataFrame, value: Column, coefficient: float = 1.5) -> DataFrame:
     """q25, q75, bound and the largest value up to the bound of upper quartile + coefficient * interquartile range.
 
-    A quartile is the first whole value whose cumulative count exceeds a quarter or three quarters of all. The window
-    runs over distinct values, a histogram, not over rows.
+    A quartile is the first whole value whose cumulative count exceeds a quarter or three quarters of all. Cumulative counts
+    run over the distinct values, bucket by bucket.
     """
     counts = df.select(value.cast("long").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    run = counts.crossJoin(total).withColumn("below", F.sum("n").over(Window.orderBy("v")))
+    run = running_total(counts, None, "v", "n", "before").crossJoin(F.broadcast(total)).withColumn("below", F.col("before") + F.col("n"))
     q = run.agg(
         F.min(F.when(F.col("below") * 4 > F.col("total"), F.col("v"))).alias("q25"),
         F.min(F.when(F.col("below") * 4 > F.col("total") * 3, F.col("v"))).alias("q75"),
     ).withColumn("bound", F.col("q75") + coefficient * (F.col("q75") - F.col("q25")))
-    return counts.join(q, counts["v"] <= q["bound"]).groupBy("q25", "q75", "bound").agg(F.max("v").alias("limit"))
+    return counts.join(F.broadcast(q), counts["v"] <= q["bound"]).groupBy("q25", "q75", "bound").agg(F.max("v").alias("limit"))
 
 
 def letter_histogram(df: DataFrame, text: Column) -> DataFrame:

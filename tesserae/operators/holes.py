@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import running_total
+
 ZMW = "hole int, x smallint, y smallint, status tinyint, bases string, regions array<struct<type:string,start:int,stop:int,quality:int>>"
 HQ_QUALITY = 750
 
@@ -56,8 +58,7 @@ def stitch(parts: DataFrame, key: str = "hole", order: str = "start", text: str
 
 def running_offset(df: DataFrame, group: str | None, order: str, size: str) -> DataFrame:
     """offset: the sizes that come before a row in its group."""
-    window = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(size).over(window), F.lit(0)))
+    return running_total(df, group, order, size, "offset")
 
 
 def pulses(pre: Column, width: Column) -> Column:

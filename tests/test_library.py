@@ -198,3 +198,22 @@ def test_entry_and_some_queries(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_running_totals_in_buckets(spark):
+    rng = random.Random(9)
+    rows = [(k % 3 if k % 7 else None, k if k % 50 else None, rng.randint(0, 9)) for k in range(3000)]
+    table = spark.createDataFrame(rows, "g long, o long, n long").where("o is not null")
+    for group in (None, "g"):
+        found = holes.running_offset(table, group, "o", "n").collect()
+        seen: dict = {}
+        for r in sorted(found, key=lambda r: r["o"]):
+            key = r["g"] if group else 0
+            assert r["offset"] == seen.get(key, 0)
+            seen[key] = r["offset"] + r["n"]
+        assert len(found) == table.count()
+    assert holes.running_offset(table.limit(0), None, "o", "n").count() == 0
+    own = [rng.randint(0, 500) for _ in range(2000)]
+    r = aggregates.quartile_limit(spark.createDataFrame([(x,) for x in own], "v long"), F.col("v")).first()
+    own.sort()
+    assert r["q25"] == own[500] and r["q75"] == own[1500] and r["limit"] == max(x for x in own if x <= r["bound"])
