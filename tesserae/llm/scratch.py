@@ -14,10 +14,16 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests), one temporary folder per process."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset: in local mode, as in tests, one temporary folder per process; on a cluster, a folder in the
+    warehouse, which all executors share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tesserae"
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="tesserae-shared-"))
     return _OWN[0]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tesserae.llm import feistel_output
-from tesserae.llm.bm25_packing import Index, pack
+from tesserae.llm.bm25_packing import Index, keys, pack, pack_shard, ranks
 from tesserae.llm.feistel_output import Feistel, materialise
 from tesserae.llm.tokens import Encoder, WORD_BPE, encoder
 
@@ -121,3 +121,58 @@ def test_a_damaged_shard_is_found(spark, tmp_path):
     shard.write_bytes(bytes(raw))
     with pytest.raises(Exception, match="differs from what was written"):
         made.verified().collect()
+
+
+def test_windows_take_the_best_unused_neighbours():
+    """pack_shard against a plain replay: the seed, then neighbours by score until the window is full."""
+    rng = random.Random(11)
+    data = [np.array([rng.randrange(40) for _ in range(rng.randint(1, 30))]) for _ in range(60)]
+    window, index = 32, Index(data)
+    expected, left, queue, sequence = [], list(range(len(data))), None, 0
+    while left or queue:
+        seed, start = queue or (left.pop(0), 0)
+        queue, own, used = None, [(seed, start)], 0
+        ranked = sorted(left, key=lambda d: (-index.scores(seed)[d], d))
+        pieces = []
+        while used < window and (own or ranked):
+            if not own:
+                own = [(ranked.pop(0), 0)]
+                left.remove(own[0][0])
+            d, begin = own.pop()
+            n = min(window - used, len(data[d]) - begin)
+            pieces.append((d, begin, n, sequence, used))
+            used += n
+            queue = (d, begin + n) if begin + n < len(data[d]) else None
+        if used < window:
+            break
+        expected += pieces
+        sequence += 1
+    found = list(pack_shard(data, window))
+    assert [p for p in found if p[3] < sequence] == expected
+    rest = [p for p in found if p[3] >= sequence]
+    assert sum(p[2] for p in rest) == sum(map(len, data)) - window * sequence
+
+
+def test_keys_are_the_least_ranks():
+    rng = random.Random(12)
+    data = [np.array([rng.randrange(50) for _ in range(rng.randint(1, 20))], np.uint16) for _ in range(40)]
+    df = np.array([sum(t in set(d.tolist()) for d in data) for t in range(60)])
+    rank = ranks(df, len(data))
+    assert sorted(rank.tolist()) == list(range(60))
+    single = [t for t in range(60) if df[t] <= 1 or 2 * df[t] > len(data)]
+    assert min((rank[t] for t in single), default=60) >= 60 - len(single)
+    found = keys(np.concatenate(data), np.cumsum([0, *map(len, data)]), rank)
+    for d, own in zip(data, found.tolist(), strict=True):
+        least = sorted({int(rank[t]) for t in d.tolist()})[:4]
+        assert own == least + [60] * (4 - len(least))
+
+
+def test_a_shard_has_a_slot_for_each_sequence(spark):
+    """Tokens, padding and partition ends: a partition's sequences are full but for its last."""
+    rows = [(i, "word " * (3 * i)) for i in range(40)]
+    made = materialise(docs(spark, rows).repartition(3), length=16, shard_slots=8)
+    tokens = [len(_ids(t)) for _, t in rows]
+    blocks = [np.frombuffer(r["ids"], "<u2") for r in made.read().collect()]
+    assert len(blocks) == made.n and all(len(b) == 16 for b in blocks)
+    padded = [b for b in blocks if b[-1] == 0]
+    assert len(padded) <= 3 and sum(int((b != 0).sum()) for b in blocks) == sum(tokens)
