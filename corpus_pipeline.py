@@ -13,18 +13,21 @@ from tesserae.llm.scratch import save
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier rejects go."""
+    """Documents that the line classifier rejects go; without any labels none does."""
     return crf_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
-    gone = odd_sketch.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay.
+
+    Null, empty and very long texts, repeated rows and ties are as `odd_sketch` says; columns may have any names.
+    """
+    gone = odd_sketch.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; n_chars follows the text."""
+    """Passages that an earlier document has are cut out; n_chars follows the text. Null ids and texts stay as they are."""
     cut = sentence_spans.dedup_passages(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -32,7 +35,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes the document."""
+    """A row for each time the mix takes the document; null and empty texts, of size 0, are taken as any other."""
     taken = mixing.mix(docs.select(*docs.columns), keep=docs.columns)
     names = [f"_{i}" for i in range(len(docs.columns))]
     own = taken.toDF(*["_id", "_size", "_source_size", "_target", "_taken", "_copies", *names])
@@ -40,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences."""
+    """The pieces of the sequences; a repeated row is a document of its own."""
     return bm25_packing.pack(docs)
 
 
