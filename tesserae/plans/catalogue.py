@@ -14,6 +14,7 @@ from ..functions import sequence as seq
 from ..operators import aggregates, holes, native, search
 from ..sources import sinks
 from ..sources.profiles import parse_profiles, simple_profile
+from . import alignment_sql
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOTIF = simple_profile("VCP", "CEPSV", cutoff=5)
@@ -141,7 +142,9 @@ def k1_best_events_kernel(spark, sf_dir):
     return search.best_scores(symbols(spark, sf_dir), [MOTIF], key="user_id").select("user_id", F.col("score").cast("long").alias("score"))
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"SELECT doc_id, {i} AS profile_id, 1 AS orientation, score FROM ({alignment_sql.best_by_reduction(_CLEAN, 'doc_id', w, 'seq')})" for i, w in enumerate(("THAT", "WITH"))
+))
 def k1_best_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return search.best_scores(docs, WORDS, key="doc_id", text="text")
@@ -227,7 +230,10 @@ def fasta_wrap(spark, sf_dir):
     return cleaned(spark, sf_dir).select("doc_id", seq.wrap(F.col("seq")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, " + ", ".join(f"""
+  array_to_string(list_transform(regexp_extract_all(substr(seq, {f + 1}), '...'), lambda c: CASE WHEN regexp_matches(c, '[^TCAG]') THEN 'X'
+    ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * strpos('TCAG', c[1]) + 4 * strpos('TCAG', c[2]) + strpos('TCAG', c[3]) - 20, 1) END), '') AS frame_{f}"""
+    for f in range(3)) + f" FROM ({_CLEAN})")
 def translate_frames(spark, sf_dir):
     return cleaned(spark, sf_dir).select("doc_id", *[seq.translate_frame(F.col("seq"), f).alias(f"frame_{f}") for f in range(3)])
 
@@ -334,104 +340,172 @@ def dr_state_counts(spark, sf_dir):
 
 # Hits and what is made of them.
 
+_ENDS = alignment_sql.ends(_SYMBOLS, "user_id", alignment_sql.Model("VCP", "CASE {x} WHEN '{c}' THEN 3 ELSE -1 END"))
+_PLACES = """SELECT user_id, "rank", 1 AS orientation, score, 0 AS cycles, "begin" AS seq_begin, "row" - 1 AS seq_end, entry AS prf_begin, col - 1 AS prf_end, states, aligned FROM"""
 
-@query()
+
+_CYCLES = alignment_sql.circular_ends(_SYMBOLS, "user_id", "VC", 4, -6, -9)
+
+
+def _hits_sql(bound: int, keep: str = "true", ends: str = _ENDS) -> str:
+    places = _PLACES.replace("0 AS cycles", "cycles") if ends is _CYCLES else _PLACES
+    return f"{places} ({alignment_sql.hits(ends, 'user_id', bound, keep)})"
+
+
+_FOUND = alignment_sql.hits(_ENDS, "user_id", 5)
+
+
+@query(_hits_sql(5))
 def hits_nonoverlap(spark, sf_dir):
     return hits(spark, sf_dir).select(*PLACES)
 
 
-@query()
+@query(_hits_sql(12, ends=_CYCLES))
 def hits_circular(spark, sf_dir):
     return cycle_hits(spark, sf_dir).select(*PLACES)
 
 
-@query()
+@query(f"{_hits_sql(-9000)} WHERE \"rank\" = 1")
 def optimal_hit(spark, sf_dir):
     return hits(spark, sf_dir, top=1).select(*PLACES)
 
 
-@query()
+@query(_hits_sql(5, "score BETWEEN 5 AND 6"))
 def score_range(spark, sf_dir):
     return hits(spark, sf_dir, score_range=(5, 6)).select(*PLACES)
 
 
-@query()
+@query(_hits_sql(5, "score NOT BETWEEN 5 AND 6"))
 def not_range(spark, sf_dir):
     return hits(spark, sf_dir, score_range=(5, 6), invert=True).select(*PLACES)
 
 
-@query()
+@query(_hits_sql(4, 'score BETWEEN 4 AND 9 AND "begin" >= 5 AND "row" - 1 + 5 <= length(raw)'))
 def border_clip(spark, sf_dir):
     return hits(spark, sf_dir, score_range=(4, 9), clip=(5, 5)).select(*PLACES)
 
 
-@query()
+@query(_hits_sql(8, "score BETWEEN 8 AND 1000 AND cycles BETWEEN 2 AND 9", _CYCLES))
 def cycle_range(spark, sf_dir):
     return cycle_hits(spark, sf_dir, cycle_range=(2, 9), score_range=(8, 1000)).select(*PLACES)
 
 
-@query()
+@query("SELECT doc_id, profile_id, max(orientation) AS orientation, any_value(score) AS score FROM (SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS profile_id, {o} AS orientation, score FROM ({alignment_sql.best_by_reduction(c, 'doc_id', w, 'seq')})"
+    for i, w in enumerate(("THAT", "WITH"))
+    for o, c in ((1, _CLEAN), (-1, f"SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM ({_CLEAN})"))
+) + ") QUALIFY rank() OVER (PARTITION BY doc_id, profile_id ORDER BY score DESC) = 1) GROUP BY doc_id, profile_id")
 def best_strand(spark, sf_dir):
     return search.best_strand(search.best_scores(cleaned(spark, sf_dir), WORDS, both_strands=True, key="doc_id", text="seq"), "doc_id")
 
 
+_EXTRACTS = {
+    "source": f"SELECT DISTINCT user_id, 0 AS profile_id, 1 AS part, raw AS text FROM ({_FOUND})",
+    "before": f"""SELECT user_id, 0 AS profile_id, "rank" AS part, left(raw, greatest("begin" - 1, 0)) AS text FROM ({_FOUND})""",
+    "after": f"""SELECT user_id, 0 AS profile_id, "rank" AS part, substr(raw, "row" + 1) AS text FROM ({_FOUND})""",
+    "between": f"""
+WITH h AS (SELECT user_id, raw, "begin" AS b, "row" AS e, row_number() OVER w::INTEGER AS n, coalesce(lag("row") OVER w, 0) AS a, lead("row") OVER w IS NULL AS final
+  FROM ({_FOUND}) WINDOW w AS (PARTITION BY user_id ORDER BY "begin", "rank"))
+SELECT user_id, 0 AS profile_id, n AS part, substr(raw, a + 1, b - a) AS text FROM h WHERE b > a
+UNION ALL SELECT user_id, 0, n + 1, substr(raw, e + 1) FROM h WHERE final AND length(raw) > e""",
+}
+
+
 def _extracted(what: str):
     def run(spark, sf_dir):
         return search.extract(symbols(spark, sf_dir), hits(spark, sf_dir), what, key="user_id")
 
     run.__name__ = f"extract_{what}"
-    return query()(run)
+    return query(_EXTRACTS[what])(run)
 
 
 for _what in ("source", "before", "after", "between"):
     _extracted(_what)
 
 
+# Aligned texts are a few letters and stay on one line; the only level is 0, at 5.
+_PRINTED = f"""
+SELECT *, 'user|' || user_id AS id, 'user|' || user_id || ' events' AS header, (0.1 * score)::FLOAT::DOUBLE AS norm, entry AS cb, greatest(entry - 1, 1) AS ipmb, col - 4 AS ipme,
+  length(raw) AS size, chr(10) || aligned AS below FROM ({_FOUND})"""
+_SCAN = "printf('>%s L=%d %8.3f %6d pos. %8d -%8d [%5d, %5d] XX00000|VCP', {}, {}, norm, score, \"begin\", \"row\", ipmb, ipme) || below"
+_FORMATS = {
+    "default": "printf('%7.3f %7d pos. %7d - %7d > %s %s', norm, score, \"begin\", \"row\", header, aligned)",
+    "tsv": "concat_ws(chr(9), 'XX00000', id, \"begin\", \"row\", score, printf('%f', norm), aligned)",
+    "one_line": "concat_ws(chr(9), 'VCP', id, '+', score, printf('%f', norm), cb, col, 3, \"begin\", \"row\" - 1, size)",
+    "extended": "printf('>%s/%d-%d motif=XX00000|VCP norm_score=%.3f raw_score=%d level_tag=0 seq_end=%d motif_start=%d motif_end=%d', id, \"begin\", \"row\", norm, score, \"row\" - 1 - size, ipmb, ipme) || below",
+    "fasta": "'>' || header || below",
+    "simple": "printf('%s %d %f', id, score, norm) || below",
+    "matched": "printf('>%s/%d-%d motif=XX00000|VCP norm_score=%.3f raw_score=%d motif_start=%d motif_end=%d', id, \"begin\", \"row\", norm, score, ipmb, ipme) || below",
+    "maker": "printf('>%s %8.3f %6d pos. %8d -%8d %s', user_id::VARCHAR, norm, score, \"begin\", \"row\", header) || below",
+    "scan": _SCAN.format("id", "0"),
+    "scan_line": "printf('L=%d %8.3f %6d pos. %8d - %7d XX00000|VCP %s', 0, norm, score, \"begin\", \"row\", id)",
+    "scan_strict": _SCAN.format("id", "CASE WHEN score > 5 THEN 0 ELSE -1 END"),
+    "scan_numbered": _SCAN.format("id || '_' || \"rank\"", "0"),
+    "codons": """printf('ID %s\nIR %d\nIS 1\nSR %d\nSN %.3f\nCB %d\nCS %d\nSA ', id, "rank", score, norm, cb, col) || upper(replace(aligned, '-', '')) || chr(10) || 'SD '
+  || array_to_string(list_transform(regexp_extract_all(upper(aligned), '[A-Z]'), lambda c: CASE c WHEN 'C' THEN 'TGY' WHEN 'E' THEN 'GAR' WHEN 'P' THEN 'CCN' WHEN 'S' THEN 'WSN' ELSE 'GTN' END), '')""",
+}
+
+
 def _formatted(name: str):
     def run(spark, sf_dir):
         found = search.with_norm(hits(spark, sf_dir), MOTIF).withColumn("header", F.concat(F.lit("user|"), F.col("user_id"), F.lit(" events")))
         return sinks.lines(found, MOTIF, name)
 
     run.__name__ = f"format_{name}"
-    return query()(run)
+    return query(f"SELECT {_FORMATS[name]} AS text FROM ({_PRINTED})")(run)
 
 
 for _name in sinks.FORMATS:
     _formatted(_name)
 
 
-@query()
+_MATRIX = alignment_sql.matrix(_SYMBOLS, "user_id", "VCP")
+
+
+@query(f"SELECT concat_ws(chr(9), seq, prf, match, insertion, deletion) AS text FROM ({_MATRIX})")
 def matrix_tab(spark, sf_dir):
     return sinks.tab(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"))
 
 
-@query()
+@query(f"SELECT user_id, seq, list(CASE WHEN match <= -16383 THEN -32767 ELSE match END ORDER BY prf) AS \"values\" FROM ({_MATRIX}) GROUP BY user_id, seq")
 def matrix_rows(spark, sf_dir):
     return sinks.rows_of(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"), "match", "user_id")
 
 
-@query()
+@query(f"SELECT user_id, {', '.join(f'{f}({c}) AS {f}_{c}' for c in ('match', 'insertion', 'deletion') for f in ('min', 'max'))} FROM ({_MATRIX}) GROUP BY user_id")
 def matrix_extrema(spark, sf_dir):
     return aggregates.matrix_extrema(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"), "user_id")
 
 
-@query()
+@query(f"""
+SELECT user_id, "rank", array_to_string(list_transform(regexp_extract_all(states, 'X+|M+|I+|-+'), lambda r: r[1] || length(r)), '') AS runs FROM ({_FOUND})""")
 def run_length_states(spark, sf_dir):
     return hits(spark, sf_dir).select("user_id", "rank", seq.run_lengths(F.col("states")).alias("runs"))
 
 
-@query()
+@query(alignment_sql.heuristic_by_reduction(_CLEAN, 'doc_id', 'THAT', 'seq'))
 def heuristic_documents(spark, sf_dir):
     return search.heuristic_scores(table(spark, sf_dir, "documents"), WORDS[0], key="doc_id", text="text")
 
 
-@query()
+@query(f"""
+WITH h AS MATERIALIZED (SELECT user_id, "rank", {{'u': user_id, 'r': "rank"}} AS k, upper(replace(aligned, '-', '')) AS raw FROM ({_FOUND})),
+s AS ({" UNION ALL ".join(f"SELECT k, {i} AS class_id, score FROM ({alignment_sql.best_by_reduction('SELECT * FROM h', 'k', w)})" for i, w in enumerate(("VCP", "VC", "CPS")))})
+SELECT k.u AS user_id, k.r AS "rank", class_id, score AS class_score FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, class_id) = 1""")
 def classify_hits(spark, sf_dir):
     parts = [simple_profile(w, "CEPSV") for w in ("VCP", "VC", "CPS")]
     return search.classify(hits(spark, sf_dir), parts, "user_id").select("user_id", "rank", "class_id", "class_score")
 
 
-@query()
+_NAMES = "SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS raw FROM part"
+_TAG_LETTER = "CASE WHEN {x} = 'N' THEN 0 WHEN {x} NOT IN ('A', 'C', 'G', 'T') THEN -1 WHEN '{c}' = 'N' OR {x} = '{c}' THEN 3 ELSE -1 END"
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT p_partkey, '{name}' AS tag, "begin", "row" - 1 AS "end", score FROM ({alignment_sql.ends(_NAMES, 'p_partkey', alignment_sql.Model(tag, _TAG_LETTER, 1, -15, -3, 0, -1, False))})
+  QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, "row") = 1)"""
+    for name, tag in (("ring", "RING"), ("bolt", "BALT"), ("n", "WNDGET"))
+))
 def map_reads(spark, sf_dir):
     return search.map_tags(table(spark, sf_dir, "part"), [("ring", "RING"), ("bolt", "BALT"), ("n", "WNDGET")], key="p_partkey", text="p_name")
 

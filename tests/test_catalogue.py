@@ -29,6 +29,8 @@ def duck():
 def _cell(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
+    if isinstance(v, list):
+        return tuple(map(_cell, v))
     return round(float(v), 6) if isinstance(v, float) else v
 
 
