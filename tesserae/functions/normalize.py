@@ -40,6 +40,11 @@ def heuristic_cutoff(cutoff: Column, r: Sequence[float]) -> Column:
     return (cutoff * r[1] + r[0] + 0.5).cast("int")
 
 
+def average_weights(profile) -> list[int]:
+    """Each letter's match scores summed over a profile's positions, by alphabet position from 0 (undeclared letters)."""
+    return [int(x) for x in profile.match[:, : 1 + len(profile.alphabet)].sum(axis=0)]
+
+
 def average_score(encoded: Column, weights: Sequence[int]) -> Column:
     """Mean over a sequence of its letters' weights; encoded: alphabet positions, weights by position from 0. Empty: 0."""
     w = F.array(*[F.lit(float(x)) for x in weights])

@@ -18,6 +18,9 @@ IUPAC_CODON = {
 }
 
 
+_SWAP = str.maketrans("ACGT", "TGCA")
+
+
 def clean_keep_case(raw: Column) -> Column:
     """Letters only, as they are."""
     return F.regexp_replace(raw, "[^A-Za-z]", "")
@@ -61,26 +64,35 @@ def short_identifier(header: Column) -> Column:
 
 
 def wrap(text: Column, width: int = 80) -> Column:
-    """Line breaks after every `width` characters, none at the end; empty stays empty."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(width))
-    return F.array_join(F.transform(starts, lambda i: F.substring(text, i, F.lit(width))), "\n")
+    """Line breaks after every `width` characters, none at the end; empty stays empty. One pass, whatever the length."""
+    return F.regexp_replace(text, f"(?s)(.{{{width}}})(?=.)", "$1\n")
+
+
+def _amino(codons: Column, complement: bool) -> Column:
+    """The amino acids of codons; one that ends in N is that of all its readings if they agree. Codons with other letters are X."""
+    code = {a + b + c: GENETIC_CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+    for start in {c[:2] for c in code}:
+        readings = {code[start + c] for c in "TCAG"}
+        if len(readings) == 1:
+            code[start + "N"] = readings.pop()
+    if complement:
+        code = {codon.translate(_SWAP): amino for codon, amino in code.items()}
+    table = F.create_map(*[F.lit(x) for pair in code.items() for x in pair])
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+
 
+def translate_frame(seq: Column, frame: int = 0, complement: bool = False, backwards: bool = False) -> Column:
+    """Amino acids of the codons of a frame 0, 1 or 2; stops are *, codons with other letters X, a rest is dropped.
 
-def translate_frame(seq: Column, frame: int = 0) -> Column:
-    """Amino acids of the codons of a frame 0, 1 or 2; stops are *, codons with other letters X, a rest is dropped."""
-    codons = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
-    code = F.create_map(*[F.lit(x) for pair in zip(codons, GENETIC_CODE, strict=True) for x in pair])
-    count = F.floor((F.length(seq) - frame) / 3).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(code, F.substring(seq, i * 3 + frame + 1, F.lit(3))), F.lit("X"))), "")
+    complement: letters stand for their partners; backwards: the sequence is read from its end. Both: the other strand.
+    """
+    own = F.reverse(seq) if backwards else seq
+    return _amino(F.regexp_extract_all(F.substring(own, frame + 1, 2147483647), F.lit("(?s)..."), F.lit(0)), complement)
 
 
 def interleaved_translation(seq: Column) -> Column:
     """One amino acid for each position that starts a codon, all three frames in turn."""
-    codons = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
-    code = F.create_map(*[F.lit(x) for pair in zip(codons, GENETIC_CODE, strict=True) for x in pair])
-    starts = F.when(F.length(seq) >= 3, F.sequence(F.lit(1), F.length(seq) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(code, F.substring(seq, i, F.lit(3))), F.lit("X"))), "")
+    return _amino(F.regexp_extract_all(seq, F.lit("(?s)(?=(...))"), F.lit(1)), False)
 
 
 def amino_to_codons(seq: Column) -> Column:

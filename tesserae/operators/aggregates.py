@@ -32,6 +32,14 @@ def cycle_histogram(df: DataFrame, score: Column, cycles: Column, low: int, high
     return histogram(df, value, low, high)
 
 
+def near_border(begin: Column, end: Column, length: Column, clip: tuple[int, int]) -> Column:
+    """Whether a histogram leaves out an alignment for lying at a border: begin <= clip[0] or end + clip[1] >= length.
+
+    The border clip of hits is another one, which keeps what lies exactly at the distance.
+    """
+    return (begin <= clip[0]) | (end + clip[1] >= length)
+
+
 def density(df: DataFrame, score: Column, cycles: Column, scores: tuple[int, int], counts: tuple[int, int]) -> DataFrame:
     """score, cycles, n over two half-open ranges, zeros included."""
     spark = df.sparkSession

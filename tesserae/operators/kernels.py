@@ -381,12 +381,16 @@ def heuristic_table(profile: Profile) -> np.ndarray:
 
 
 def heuristic_score(table: np.ndarray, sequence: np.ndarray) -> int:
-    """Sum over positions of the best ungapped run that ends there; runs restart at 0 after the first residue."""
+    """Sum over positions of the best ungapped run that ends there; runs restart at 0 after the first residue.
+
+    All residues at once, a step for each position of the profile.
+    """
     if not len(sequence):
         return 0
-    v = table[:, sequence[0]].copy()
-    best = v.copy()
-    for s in sequence[1:]:
-        v = np.maximum(np.concatenate([[0], v[:-1]]) + table[:, s], 0)
-        best = np.maximum(best, v)
-    return int(best.sum())
+    total, run = 0, np.zeros(len(sequence), np.int64)
+    for scores in table:
+        own = scores[sequence]
+        own[1:] = np.maximum(own[1:] + run[:-1], 0)
+        run = own
+        total += int(run.max())
+    return total

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
-from ..operators import aggregates, holes, native, search
+from ..operators import aggregates, holes, native, search, table_function
 from ..sources import sinks
 from ..sources.profiles import parse_profiles, simple_profile
 from . import alignment_sql
@@ -510,6 +510,47 @@ def map_reads(spark, sf_dir):
     return search.map_tags(table(spark, sf_dir, "part"), [("ring", "RING"), ("bolt", "BALT"), ("n", "WNDGET")], key="p_partkey", text="p_name")
 
 
+@query(f"""SELECT user_id, "rank", score, 0 AS cycles, "begin" AS seq_begin, "row" - 1 AS seq_end, states, aligned FROM ({_FOUND})""")
+def udtf_hits(spark, sf_dir):
+    table_function.register(spark, [MOTIF])
+    found = "SELECT s.user_id, h.* FROM {rows} s, LATERAL profile_search(s.raw, 0) h"
+    return spark.sql(found, rows=symbols(spark, sf_dir))
+
+
+@query(f"""
+SELECT b.bin, count(h.score)::BIGINT AS n FROM (SELECT unnest(range(0, 10))::BIGINT AS bin) b
+LEFT JOIN ({_hits_sql(-9000)}) h ON h.score = b.bin AND h."rank" = 1 AND NOT (h.seq_begin <= 8 OR h.seq_end + 8 >= (SELECT length(raw) FROM ({_SYMBOLS}) s WHERE s.user_id = h.user_id)) GROUP BY 1""")
+def hist_border_clip(spark, sf_dir):
+    inside = ~aggregates.near_border(F.col("seq_begin"), F.col("seq_end"), F.col("seq_len"), (8, 8))
+    return aggregates.histogram(hits(spark, sf_dir, top=1).where(inside), F.col("score"), 0, 9)
+
+
+@query(f"""SELECT user_id, concat_ws(chr(9), score, 0, length(aligned), aligned) AS text FROM ({_hits_sql(-9000)}) WHERE "rank" = 1""")
+def data_summary(spark, sf_dir):
+    return hits(spark, sf_dir, top=1).select("user_id", sinks.data_summary().alias("text"))
+
+
+@query(f"""
+SELECT user_id, round((-3 * length(raw) + 4 * length(regexp_replace(raw, '[^CPV]', '', 'g'))) / length(raw), 4)::DOUBLE AS average FROM ({_SYMBOLS})""")
+def profile_average(spark, sf_dir):
+    weights = normalize.average_weights(MOTIF)
+    return symbols(spark, sf_dir).select("user_id", F.round(normalize.average_score(seq.encode(F.col("raw"), MOTIF.alphabet), weights), 4).alias("average"))
+
+
+_BASES = f"SELECT doc_id, regexp_replace(seq, '[^ACGTN]', '', 'g') AS seq FROM ({_CLEAN})"
+_OTHER_STRAND = f"SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM ({_BASES})"
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(seq, '...'), lambda c: CASE WHEN c IN ('CTN', 'GTN', 'TCN', 'CCN', 'ACN', 'GCN', 'CGN', 'GGN')
+  THEN substr('LVSPTARG', (strpos('CTNGTNTCNCCNACNGCNCGNGGN', c) + 2) // 3, 1) WHEN contains(c, 'N') THEN 'X'
+  ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * strpos('TCAG', c[1]) + 4 * strpos('TCAG', c[2]) + strpos('TCAG', c[3]) - 20, 1) END), '') AS amino
+FROM ({_OTHER_STRAND})""")
+def translate_other_strand(spark, sf_dir):
+    bases = F.regexp_replace("seq", "[^ACGTN]", "")
+    return cleaned(spark, sf_dir).select("doc_id", seq.translate_frame(bases, complement=True, backwards=True).alias("amino"))
+
+
 # Holes.
 
 _ZMW = """

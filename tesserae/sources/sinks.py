@@ -24,6 +24,9 @@ def _sign(minus: str, plus: str) -> Column:
     return F.when(_c("orientation") == -1, minus).otherwise(plus)
 
 
+# The format strings of this module; a format's readers rely on them.
+
+
 def default(p: Profile, cycles: bool = False) -> Column:
     more = ("%7d ", [_c("cycles")]) if cycles else ("", [])
     return F.format_string("%7.3f %7d " + more[0] + "pos. %7d - %7d %s %s %s", _c("norm_score"), _c("score"), *more[1], _c("row_begin"), _c("row_end"), _sign("<", ">"), _c("header"), _c("aligned"))
@@ -87,6 +90,11 @@ def codons(p: Profile) -> Column:
     return F.concat(head, F.lit("\nSA "), letters, F.lit("\nSD "), amino_to_codons(letters))
 
 
+def data_summary() -> Column:
+    """Score, cycles, length and text of an alignment, with tabs."""
+    return F.concat_ws("\t", "score", "cycles", F.length("aligned"), "aligned")
+
+
 def highlighted(p: Profile, sequence: Column) -> Column:
     """The whole sequence with the hit in colour."""
     begin, end = _c("seq_begin"), _c("seq_end")
