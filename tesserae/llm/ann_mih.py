@@ -16,9 +16,11 @@ The radius is calibrated: exact neighbours of CALIBRATION queries, found by brut
 it with TARGET recall. Queries that find fewer than k rows search again with every code in reach, so a result is short
 only if there are fewer candidates. The query set is stated: it grows with the table and meets blocks of rows.
 
-Rows: k a query, ties to the smaller id. Vectors that are null, zero, hold null or non-finite components or have another
-length than most take no part; null ids neither. Rows that repeat an id: the smallest vector counts. Extra columns are
-ignored.
+Rows: k a query, ties to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part;
+null ids neither. Vectors of different lengths have no inner product: each length is searched on its own, with its own
+codes. Every row is a candidate, those that repeat an id too; rows that repeat id and vector travel as one row with their
+number, and their query is answered once, with that number as query_rows. Its own row is one of them; the others are its
+candidates. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import save
-from .vectors import usable, width
+from .vectors import usable, widths
 
 K = 20
 BITS = 64  # four substrings of 16
@@ -40,7 +42,7 @@ CALIBRATION, TARGET = 128, 0.975
 BLOCK_ROWS = 32768
 SEED = 11
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_hash long, vec_id long, score double"
 
 
 class Coder:
@@ -75,6 +77,11 @@ def shares(radius: int, parts: int) -> list[int]:
     return [whole if i <= rest else whole - 1 for i in range(parts)]
 
 
+def _codes(column: pd.Series) -> np.ndarray:
+    """Codes that travelled as bytes."""
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
@@ -101,17 +108,19 @@ def _probe(coder: Coder, radius: int, k: int):
         if len(queries) and len(rows):
             part = int(key[0])
             x, q = _matrix(rows["vector"]), _matrix(queries["vector"])
-            ids, code, asked = rows["vec_id"].to_numpy(), coder.code(x), coder.code(q)
+            ids, code, asked = rows["vec_id"].to_numpy(), _codes(rows["code"]), _codes(queries["code"])
+            mark, copies = rows["hash"].to_numpy(), rows["copies"].to_numpy()
             norm = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
             order = np.argsort(code[:, part], kind="stable")  # the index of this block: rows by substring value
-            x, ids, code = x[order], ids[order], code[order]
+            x, ids, code, mark, copies = x[order], ids[order], code[order], mark[order], copies[order]
             values, first = np.unique(code[:, part], return_index=True)
             size = np.diff(np.append(first, len(code)))
             whole, asked_whole, rough = code.view(np.uint64), asked.view(np.uint64), x.astype(np.float32)
-            for i, query_id in enumerate(queries["query_id"].to_numpy()):
+            for i, (query_id, query_mark) in enumerate(zip(queries["query_id"].to_numpy(), queries["query_hash"].to_numpy(), strict=True)):
                 at = np.flatnonzero(np.repeat(around[values ^ asked[i, part]] <= reach[part], size))
                 at = at[np.bitwise_count(whole[at] ^ asked_whole[i]).sum(axis=1, dtype=np.uint16) <= radius]
-                keep = ids[at] != query_id
+                own = (ids[at] == query_id) & (mark[at] == query_mark)
+                keep = ~own | (copies[at] > 1)
                 for j in range(part):
                     keep &= np.bitwise_count(code[at, j] ^ asked[i, j]) > reach[j]
                 at = at[keep]
@@ -120,35 +129,37 @@ def _probe(coder: Coder, radius: int, k: int):
                     at = at[near >= np.partition(near, -k)[-k] - 1e-4 * norm[i]]
                 if len(at):
                     score = inner(x[at], q[i])
+                    others = copies[at] - ((ids[at] == query_id) & (mark[at] == query_mark))
                     top = best(score, ids[at], k)
-                    out.append((np.full(len(top), query_id), ids[at][top], score[top]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+                    top = np.repeat(top, np.minimum(others[top], k))[:k]
+                    out.append((np.full(len(top), query_id), np.full(len(top), query_mark), ids[at][top], score[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "query_hash", "vec_id", "score"), columns, strict=True)))
 
     return run
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _calibrate(rows: DataFrame, coder: Coder, k: int) -> int:
     """The radius within which TARGET of the exact neighbours of CALIBRATION queries lie."""
     spark = rows.sparkSession
-    asked = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(CALIBRATION).toPandas()
-    q, names = _matrix(asked["vector"]), asked["vec_id"].to_numpy()
-    given = spark.sparkContext.broadcast((q, names, coder.code(q)))
+    asked = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "hash").limit(CALIBRATION).toPandas()
+    q, names, marks = _matrix(asked["vector"]), asked["vec_id"].to_numpy(), asked["hash"].to_numpy()
+    given = spark.sparkContext.broadcast((q, names, marks, coder.code(q)))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, own_ids, own_code = given.value
+        own, own_ids, own_marks, own_code = given.value
         for pdf in batches:
-            x, ids = _matrix(pdf["vector"]), pdf["vec_id"].to_numpy()
+            x, ids, mark = _matrix(pdf["vector"]), pdf["vec_id"].to_numpy(), pdf["hash"].to_numpy()
             score, code = own @ x.T, coder.code(x)
             for i, name in enumerate(own_ids):
-                at = np.flatnonzero(ids != name)
+                at = np.flatnonzero((ids != name) | (mark != own_marks[i]))
                 top = at[best(score[i, at], ids[at], k)]
-                yield pd.DataFrame({"query_id": name, "vec_id": ids[top], "score": score[i, top], "apart": np.bitwise_count(code[top] ^ own_code[i]).sum(axis=1).astype(np.int32)})
+                yield pd.DataFrame({"query_id": name, "query_hash": own_marks[i], "vec_id": ids[top], "score": score[i, top], "apart": np.bitwise_count(code[top] ^ own_code[i]).sum(axis=1).astype(np.int32)})
 
     near = _top(rows.mapInPandas(exact, FOUND + ", apart int"), k)
     by = sorted((r["apart"], r["count"]) for r in near.groupBy("apart").count().collect())
@@ -162,60 +173,75 @@ def _calibrate(rows: DataFrame, coder: Coder, k: int) -> int:
 
 def _search(queries: DataFrame, rows: DataFrame, coder: Coder, radius: int, k: int, n_rows: int) -> DataFrame:
     """query_id, vec_id, score of at most k rows for each query and block."""
-    parts = coder.bits // 16
+    reach = shares(radius, coder.bits // 16)
+    parts = next((j + 1 for j, r in enumerate(reach) if r >= 16), len(reach))  # a part that allows all values finds every row
     lead = max(0, min(16, (max(n_rows, 1) // BLOCK_ROWS).bit_length()))
-    reach = shares(radius, parts)
 
-    def keyed(name: str) -> Column:
-        @F.pandas_udf("array<int>")
-        def values(column: pd.Series) -> pd.Series:
-            return pd.Series(list((coder.code(_matrix(column)).astype(np.int32) >> (16 - lead)))) if len(column) else pd.Series([], dtype=object)
+    @F.pandas_udf("binary")
+    def coded(column: pd.Series) -> pd.Series:
+        return pd.Series([c.tobytes() for c in coder.code(_matrix(column))] if len(column) else [], dtype=object)
 
-        return values(F.col(name))
+    @F.pandas_udf("array<int>")
+    def leads(column: pd.Series) -> pd.Series:
+        return pd.Series(list(_codes(column)[:, :parts].astype(np.int32) >> (16 - lead)) if len(column) else [], dtype=object)
 
-    index = rows.withColumn("leads", keyed("vector")).select("vec_id", "vector", F.posexplode("leads").alias("part", "lead"))
+    given = ["vec_id", "hash", "copies", "vector", "code"]
+    index = rows.withColumn("code", coded("vector")).withColumn("leads", leads("code")).select(*given, F.posexplode("leads").alias("part", "lead"))
     # at most parts * 2**lead list sizes, which grow by one for BLOCK_ROWS rows and parts
     sizes = index.groupBy("part", "lead").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     blocks = save(sizes, "lists")
-    index = index.join(blocks, ["part", "lead"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
-    sent = queries.withColumn("leads", keyed("vector")).select("query_id", "vector", F.posexplode("leads").alias("part", "own"))
+    index = index.join(blocks, ["part", "lead"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "hash"), "blocks"))
+    sent = queries.withColumn("code", coded("vector")).withColumn("leads", leads("code")).select("query_id", "query_hash", "vector", "code", F.posexplode("leads").alias("part", "own"))
     may = F.array(*[F.lit(r) for r in reach])
     sent = sent.withColumn("lead", F.explode(F.sequence(F.lit(0), F.lit((1 << lead) - 1))))
     sent = sent.where(F.bit_count(F.col("own").bitwiseXOR(F.col("lead"))) <= F.element_at(may, F.col("part") + 1))
     sent = sent.join(blocks, ["part", "lead"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # queries also in chunks, so that a task's queries are bounded as its rows are
     chunks = max(1, -(-queries.count() // BLOCK_ROWS))
-    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("query_id", "query_hash"), F.lit(chunks)))
     index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     key = ["part", "lead", "block", "chunk"]
-    return sent.select(*key, "query_id", "vector").groupBy(*key).cogroup(index.select(*key, "vec_id", "vector").groupBy(*key)).applyInPandas(_probe(coder, radius, k), FOUND)
+    asked = sent.select(*key, "query_id", "query_hash", "vector", "code")
+    return asked.groupBy(*key).cogroup(index.select(*key, *given).groupBy(*key)).applyInPandas(_probe(coder, radius, k), FOUND)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors but itself.
+    """query_id, rank, vec_id, score, query_rows: for each row of queries its k nearest rows of vectors but itself.
 
     Both tables have id_col and vector_col; bits is a multiple of 64. See the module's text.
     """
-    n = width(vectors, vector_col)
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
-
-    def clean(df: DataFrame, name: str) -> DataFrame:
-        good = df.where(usable(F.col(vector_col)) & (F.size(vector_col) == n) & F.col(id_col).isNotNull())
-        return good.groupBy(F.col(id_col).cast("long").alias(name)).agg(F.min(F.col(vector_col).cast("array<double>")).alias("vector"))
-
-    rows, asked = save(clean(vectors, "vec_id"), "vectors"), save(clean(queries, "query_id"), "queries")
-    n_rows = rows.count()
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED + 1), "vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
+
+    def clean(df: DataFrame, name: str, mark: str, number: str) -> DataFrame:
+        good = df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
+        good = good.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<double>").alias("vector"))
+        # a zero's sign makes no difference to an inner product but would to a hash
+        good = good.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x)))
+        own = F.xxhash64("vector")
+        return good.groupBy(name, own.alias(mark)).agg(F.first("vector").alias("vector"), F.count("*").alias(number))
+
+    rows, asked = save(clean(vectors, "vec_id", "hash", "copies"), "vectors"), save(clean(queries, "query_id", "query_hash", "query_rows"), "queries")
+    out = [_of_width(rows.where(F.size("vector") == n), asked.where(F.size("vector") == n), k, bits) for n in widths(asked, "vector")]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_rows long")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.join(asked.select("query_id", "query_hash", "query_rows"), ["query_id", "query_hash"]).select("query_id", F.col("rank").cast("int"), "vec_id", "score", "query_rows")
+
+
+def _of_width(rows: DataFrame, asked: DataFrame, k: int, bits: int) -> DataFrame:
+    """query_id, query_hash, vec_id, score, rank of queries and rows whose vectors have one length."""
+    n_rows, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    sample = rows.orderBy(F.xxhash64(F.lit(SEED + 1), "vec_id"), "vec_id", "hash").limit(SAMPLE).select("vector").toPandas()
+    if not len(sample):
+        return asked.limit(0).selectExpr("query_id", "query_hash", "query_id AS vec_id", "0D AS score", "1 AS rank")
     coder = Coder(_matrix(sample["vector"]), bits)
     radius = _calibrate(rows, coder, k)
     found = save(_top(_search(asked, rows, coder, radius, k, n_rows), k), "found")
-    want = min(k, n_rows - 1)
-    full = found.groupBy("query_id").count().where(F.col("count") >= want)
-    short = save(asked.join(full, "query_id", "left_anti"), "short")
+    want = min(k, n_all - 1)
+    full = found.groupBy("query_id", "query_hash").count().where(F.col("count") >= want)
+    short = save(asked.join(full, ["query_id", "query_hash"], "left_anti"), "short")
     if want > 0 and not short.isEmpty():
         again = _top(_search(short, rows, coder, bits, k, n_rows), k)
-        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        found = found.join(short.select("query_id", "query_hash"), ["query_id", "query_hash"], "left_anti").unionByName(again)
+    return found

@@ -14,10 +14,6 @@ def usable(column: Column) -> Column:
     return F.coalesce(good & some, F.lit(False))
 
 
-def width(vectors: DataFrame, column: str) -> int:
-    """The number of components that most usable vectors have (the smaller number on a tie); 0 without any.
-
-    Vectors of other lengths have no inner product with these and take no part.
-    """
-    row = vectors.where(usable(F.col(column))).groupBy(F.size(column).alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    return int(row["w"]) if row else 0
+def widths(vectors: DataFrame, column: str) -> list[int]:
+    """The lengths that usable vectors have, in order."""
+    return [r["w"] for r in vectors.where(usable(F.col(column))).select(F.size(column).alias("w")).distinct().orderBy("w").collect()]

@@ -50,11 +50,24 @@ def test_nearest_against_brute_force(spark):
 
 def test_few_candidates(spark):
     table = _table(spark, [(0, [1, 0]), (1, [0.5, 0]), (20, [-1, 0.1]), (20, [-1, 0.1]), (None, [1, 1]), *_odd(2)[:5]])
-    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(table, table.where("vec_id % 20 = 0"), k=20).collect())
-    assert found == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["query_rows"]) for r in nearest(table, table.where("vec_id % 20 = 0"), k=20).collect())
+    assert found == [(0, 1, 1, 1), (0, 2, 20, 1), (0, 3, 20, 1), (20, 1, 20, 2), (20, 2, 1, 2), (20, 3, 0, 2)]
     assert nearest(_table(spark, []), _table(spark, [])).count() == 0
 
 
+def test_every_row_and_every_length_takes_part(spark):
+    table = _table(spark, [(0, [1, 0]), (0, [2, 0]), (1, [3, 0]), (20, [1, 1, 1]), (2, [1, 1, 2]), (40, [1, 1, 1, 1]), (3, [0, 1])])
+    found = nearest(table, table.where("vec_id % 20 = 0"), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(0, 1, 1, 3.0), (0, 1, 1, 6.0), (0, 2, 0, 2.0), (0, 2, 0, 2.0), (20, 1, 2, 4.0)]
+
+
+def test_many_copies_of_one_row(spark):
+    table = _table(spark, [(20, [1, 0])] * 30 + [(5, [2, 0])] * 3 + [(0, [1, 1])])
+    found = nearest(table, table.where("vec_id % 20 = 0"), k=5).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["query_rows"]) for r in found) == [
+        *[(0, i, 5, 1) for i in (1, 2, 3)], (0, 4, 20, 1), (0, 5, 20, 1), *[(20, i, 5, 30) for i in (1, 2, 3)], (20, 4, 0, 30), (20, 5, 20, 30)]
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 24))
