@@ -47,7 +47,7 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_archives(folder, manifest, payloads=False).drop("payload", "target_uri")
+    return warc.read_archives(folder, manifest, payloads=False).drop("payload", "target_uri", "record_id")
 
 
 def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

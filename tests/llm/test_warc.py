@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
 
 import pytest
 
-from tesserae.llm.warc import make_record, members, page_of, parse, read_archives, write_archives
+from tesserae.llm.warc import list_archives, make_record, members, page_of, parse, read_archives, write_archives
 
 
 def test_round_trip(spark, tmp_path):
@@ -46,3 +47,36 @@ def test_framing_and_digests():
         parse(plain + b"more")
     with pytest.raises(ValueError, match="payload differs"):
         page_of(parse(gzip.decompress(make_record(1, "u", b"payload", "0" * 64, None))))
+
+
+def _foreign(kind, block, **headers):
+    lines = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0a1b>", f"Content-Length: {len(block)}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]]
+    return gzip.compress("\r\n".join(["WARC/1.0", *lines]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    plain = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    sha1 = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nhel\r\n2;x=1\r\nlo\r\n0\r\n\r\n"
+    own = [
+        _foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\n\r\n"),
+        _foreign("response", plain, WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=response"),
+        _foreign("response", plain, WARC_Payload_Digest=f"sha1:{sha1}", WARC_Block_Digest=f"sha1:{base64.b32encode(hashlib.sha1(plain).digest()).decode()}"),
+        _foreign("response", chunked),
+        _foreign("response", plain[:-2], WARC_Truncated="length", WARC_Payload_Digest="odd:1"),
+        _foreign("resource", b"hello", Content_Type="text/plain"),
+        _foreign("revisit", b"", WARC_Payload_Digest=f"sha1:{sha1}", WARC_Refers_To="<urn:uuid:0c>"),
+        _foreign("response", b""),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(own))
+    (tmp_path / "b.txt").write_bytes(b"no archive")
+    found = read_archives(f"file://{tmp_path}", list_archives(spark, f"file://{tmp_path}")).collect()
+    whole = hashlib.sha256(b"hello").hexdigest()
+    texts = [None if r["payload"] is None else bytes(r["payload"]) for r in found]
+    assert texts == [b"hello", b"hello", b"hello", b"hel", b"hello", None, b""]
+    assert [r["payload_digest"] for r in found[:3]] == [whole] * 3
+    assert (found[5]["payload_digest"], found[5]["payload_bytes"], found[5]["record_type"]) == (sha1, None, "revisit")
+    assert {(r["page_id"], r["refers_to"], r["record_id"]) for r in found} == {(None, None, "<urn:uuid:0a1b>")}
+    with pytest.raises(ValueError, match="payload differs"):
+        page_of(parse(gzip.decompress(_foreign("response", plain, WARC_Payload_Digest="sha1:" + "A" * 32))))
