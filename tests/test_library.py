@@ -30,7 +30,9 @@ def test_transforms(spark):
         (seq.short_identifier, "a|b|c d e", "c"),
         (lambda c: seq.wrap(c, 3), "ABCDEFG", "ABC\nDEF\nG"),
         (lambda c: seq.wrap(c, 3), "", ""),
-        (seq.translate_frame, "ATGTAAGGNA", "M*X"),
+        (seq.translate_frame, "ATGTAAGGNATNNGGA", "M*GXX"),
+        (lambda c: seq.translate_frame(c, complement=True), "TACATTCCNA", "M*G"),
+        (lambda c: seq.translate_frame(c, complement=True, backwards=True), "NCCTTACAT", "M*G"),
         (lambda c: seq.translate_frame(c, 1), "AATG", "M"),
         (seq.translate_frame, "AT", ""),
         (seq.interleaved_translation, "ATGG", "MW"),
