@@ -7,7 +7,8 @@ over so that the rest of the target is met as nearly as possible. Documents of a
 seeded hash, and ties of the hash by doc_id.
 
 A histogram holds one row per distinct length, so it is bounded by the longest document, not by the rows. The seeded
-pick ranks documents inside hash slots of a length, so a length that a third of all rows have is not one task.
+pick ranks documents inside hash slots of a length, whose number grows with the rows, so of a length that a third of all
+rows have one task ranks at most about a million, however large the table.
 
 Rows: one per input row. Null text has size 0 and gives 0. A null source is a source of its own, ordered last. Rows that
 repeat a doc_id are separate documents as long as the rows differ in anything that orders them; the number of repeats
@@ -29,7 +30,7 @@ from .scratch import save
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
-SLOTS = 64  # hash slots of a length; bounds the share of a hot length that one task ranks
+SLOTS, SLOT_ROWS = 64, 1_000_000  # hash slots of a length, one more for each SLOT_ROWS rows beyond: what one task ranks of a hot length
 SEED = 20240601
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,11 +134,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = SHARE_
     """
     spark = docs.sparkSession
     key = ["source_key", "size", "slot"]
+    slots_of = max(SLOTS, docs.count() // SLOT_ROWS)
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source_key"),  # null is ""
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLOTS)).alias("slot"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(slots_of)).alias("slot"),
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
     fine = save(base.groupBy(*key).agg(F.count("*").alias("n")), "lengths")
