@@ -39,7 +39,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 FILTERS: dict[str, Callable[[Column, Column], Column]] = {
     "A": lambda text, words: F.size(words) < 100,
     "B": lambda text, words: 100 * F.size(F.array_distinct(words)) < 80 * F.size(words),
-    "C": lambda text, words: 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")) > 10 * F.length(text),
+    "C": lambda text, words: 100 * (F.size(F.split(text, "[A-Z]")) - 1) > 10 * F.length(text),
     "D": lambda text, words: text.rlike("[#$%&*|]"),
 }
 DUPLICATE = "E"
