@@ -2,8 +2,8 @@
 
 Rows are sequence positions, columns profile positions. Only the deletion chain runs along a row; as a maximum of
 sums it is a running maximum after subtracting the running sum of its steps, so a row is a fixed number of array
-operations. Many sequences advance side by side; only alignments keep cells, those of a bounded number of short
-sequences or of one long one.
+operations. Many sequences, and stretches of long ones, advance side by side (see stretches); cells are kept only where
+they are asked for.
 
 Models: standard; circular (the last column leads back to the first); glocal (entry at the first cell and down the
 first column only); extended (insertions also advance a column). Ties: end before insertion before match before
@@ -12,14 +12,15 @@ deletion; in the extended model deletion comes before insertion and match.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from ..sources.profiles import DEL, MLOW, NLOW, D, I, M, Profile, X
+from .stretches import NO, Stretches
 
-NO = np.int64(-(1 << 40))
 STANDARD, CIRCULAR, GLOCAL, EXTENDED = "standard", "circular", "glocal", "extended"
 MODELS = (STANDARD, CIRCULAR, GLOCAL, EXTENDED)
 
@@ -159,41 +160,56 @@ class Kernel:
             padded[: size[i], i] = sequences[k]
         return padded, size
 
-    def _score_row(self, m: np.ndarray, i: np.ndarray, residue: np.ndarray, ended: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(match, insertion, end scores) of the standard model after one more residue; the last `ended` lanes are at their end."""
+    def advance(self, m: np.ndarray, i: np.ndarray, residue: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(match, insertion, end scores by column) after one more residue; ended: the lanes that are at their end."""
+        if self.model != STANDARD:
+            last = np.zeros(len(residue), bool)
+            last[ended] = True
+            cells, _ = self.row({M: m, I: i}, residue, last)
+            return cells[M], cells[I], cells[X][:, 1:]
         before = np.concatenate([m[:, :1], m[:, :-1]], axis=1)
         cells = np.maximum(before[:, None] + self.by_match[residue], i[:, None] + self.by_insertion[residue])
         np.maximum(cells, self.enter, out=cells)
         deletion = self._scan(cells[:, D])
         np.maximum(cells[:, :, 1:], deletion[:, None, :-1] + self.by_delete, out=cells[:, :, 1:])
-        end = cells[:, X, 1:].max(axis=1)
-        if ended:
-            r = residue[-ended:]
-            own = np.maximum(before[-ended:] + self.end_match[r], i[-ended:] + self.end_insertion[r])[:, 1:]
-            end[-ended:] = np.maximum(np.maximum(own, deletion[-ended:, :-1] + self.end_delete), NLOW).max(axis=1)
+        end = cells[:, X, 1:]
+        if len(ended):
+            r = residue[ended]
+            own = np.maximum(before[ended] + self.end_match[r], i[ended] + self.end_insertion[r])[:, 1:]
+            end[ended] = np.maximum(np.maximum(own, deletion[ended, :-1] + self.end_delete), NLOW)
         return cells[:, M], cells[:, I], end
 
+    def gain(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """What an alignment may add at most to a match or an insertion score of a row before it ends; standard model only.
+
+        Columns never fall and only insertions stay in one, so one pass from the last column finds it.
+        """
+        if self.model != STANDARD:
+            return None
+        size = self.length + 1
+        m, i, d = (np.full(size + 1, NO) for _ in range(3))
+        match, insertion = self.by_match.max(axis=0), self.by_insertion.max(axis=0)
+        for j in range(self.length, -1, -1):
+            if j < self.length:
+                onward = (m[j + 1], i[j + 1], np.int64(0))
+                d[j] = max(self.delete[j + 1] + self.to[D, D][j + 1] + d[j + 1], self.end_delete[j], *(self.by_delete[t, j] + v for t, v in zip((M, I, X), onward, strict=True)))
+                m[j] = max(match[D, j + 1] + d[j + 1], self.end_match[:, j + 1].max(), *(match[t, j + 1] + v for t, v in zip((M, I, X), onward, strict=True)))
+            i[j] = max(insertion[M, j] + m[j], insertion[D, j] + d[j], insertion[X, j], self.end_insertion[:, j].max())
+            if insertion[I, j] > 0:
+                i[j] = -NO  # grows without end
+        return m[:-1], i[:-1]
+
+    def silent(self) -> Kernel:
+        """The same kernel without any entry: what comes out is carried from the row before."""
+        out = copy.copy(self)
+        no = np.full(self.length + 1, NO)
+        out.to = {k: no if k[0] == X else v for k, v in self.to.items()}
+        out.enter = np.full_like(self.enter, NO)
+        return out
+
     def best_scores(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The best score of each sequence; an empty one has NLOW."""
-        out = np.full(len(sequences), NLOW, np.int64)
-        order = [k for k in np.argsort([-len(s) for s in sequences], kind="stable").tolist() if len(sequences[k])]
-        step = max(1, (1 << 15) // (self.length + 1))
-        for first in range(0, len(order), step):
-            lanes = order[first : first + step]
-            padded, size = self._padded(sequences, lanes)
-            live = np.searchsorted(-size, -np.arange(1, size[0] + 2), "right").tolist()  # lanes that have position i
-            cells = self.start(len(lanes))
-            m, i, best = cells[M], cells[I], np.full(len(lanes), NLOW, np.int64)
-            for at in range(size[0]):
-                n = live[at]
-                if self.model == STANDARD:
-                    m, i, end = self._score_row(m[:n], i[:n], padded[at, :n], n - live[at + 1])
-                else:
-                    cells, _ = self.row({t: c[:n] for t, c in cells.items()}, padded[at, :n], size[:n] == at + 1)
-                    end = cells[X][:, 1:].max(axis=1)
-                np.maximum(best[:n], end, out=best[:n])
-            out[lanes] = best
-        return out
+        return Stretches(self, sequences).best()
 
     def matrix(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, moves, wraps) of every cell: rows x columns x states; a move is the state a cell came from."""
@@ -225,20 +241,27 @@ class Kernel:
 
     def _put(self, scores: np.ndarray, moves: np.ndarray, wraps: np.ndarray, i: int, cells: dict, how: dict | None) -> None:
         """Keep row i of the lanes that have one, which come first."""
+        live = len(cells[M])
+        for t in (M, I, D, X):
+            scores[:live, i, :, t] = np.maximum(cells[t], np.iinfo(np.int32).min // 2)
+        moves[:live, i], wraps[:live, i] = self.moves(cells, how)
+
+    def moves(self, cells: dict[int, np.ndarray], how: dict | None) -> tuple[np.ndarray, np.ndarray]:
+        """(moves, wraps) of a row of each lane; how is None for the row before the first residue."""
         order = sorted((M, I, D, X), key=lambda s: self.rank[s])
         live = len(cells[M])
+        moves, wraps = np.full((live, self.length + 1, 4), X, np.int8), np.zeros((live, 4), bool)
         none = np.full((live, 1), NO)
         for t in (M, I, D, X):
             value = cells[t]
-            scores[:live, i, :, t] = np.maximum(value, np.iinfo(np.int32).min // 2)
             by_delete = np.concatenate([none, cells[D][:, :-1] + self.delete[1:] + self.to[D, t][1:]], axis=1) if t != X else none
             if how is None:
                 if t != X and self.model != GLOCAL:
-                    moves[:live, i, :, t] = np.where((value == by_delete) & (value > self.first[:, t]), D, X)
+                    moves[:, :, t] = np.where((value == by_delete) & (value > self.first[:, t]), D, X)
                     if self.model == CIRCULAR:
                         over = value[:, 0] > self.first[0, t]
-                        wraps[:live, i, t] = over
-                        moves[:live, i, 0, t] = np.where(over, moves[:live, i, -1, t], moves[:live, i, 0, t])
+                        wraps[:, t] = over
+                        moves[:, 0, t] = np.where(over, moves[:, -1, t], moves[:, 0, t])
                 continue
             options = {s: how["came"][s] + (how["leave"][s] if t == X else self.to[s, t]) for s in (M, I, D)}
             options[X] = how["enter"][t] if t != X else np.full((live, self.length + 1), NO)
@@ -247,7 +270,7 @@ class Kernel:
             move = np.full(value.shape, X, np.int8)
             for s in order:  # the last state that reaches the value wins
                 move[options[s] == value] = s
-            moves[:live, i, :, t] = move
+            moves[:, :, t] = move
             if self.model == CIRCULAR and t != X:
                 plain = how["plain"][t]
                 own = np.full(live, X, np.int8)  # what the first column comes from without a wrap
@@ -257,8 +280,9 @@ class Kernel:
                 edge = move[:, -1]
                 rank = np.array([self.rank[s] for s in range(4)])
                 over = (value[:, 0] > plain[:, 0]) | (plain[:, -1] == plain[:, 0]) & (rank[edge] >= rank[own])
-                wraps[:live, i, t] = over
-                moves[:live, i, 0, t] = np.where(over, edge, own)
+                wraps[:, t] = over
+                moves[:, 0, t] = np.where(over, edge, own)
+        return moves, wraps
 
     def trace(self, moves: np.ndarray, wraps: np.ndarray, row: int, col: int, letters: str) -> tuple[int, int, int, int, str, str, int]:
         """(row and column of the entry, cycles, last state, states, aligned text, first state) walking back from an end."""
@@ -300,46 +324,26 @@ class Kernel:
         """The alignments of one text; see many_hits."""
         return self.many_hits([letters], bound, limit, keep)[0]
 
-    def many_hits(self, texts: list[str], bound: int, limit: int | None = None, keep=None, first: bool = False) -> list[list[Alignment]]:
+    def many_hits(self, texts: list[str], bound: int, limit: int | None = None, keep=None, first: bool = False, paths: bool = True) -> list[list[Alignment]]:
         """Of each text the alignments that do not overlap, best first, until a score falls below bound.
 
         Ties: the last row (first: the first row), then the last column. keep decides which count toward limit; dropped
         ones still use up their rows, the row of entry included, and an alignment that touches used rows is dropped.
-        Scores come first, for all texts side by side; only texts that reach the bound get all their cells.
+        Scores come first, for all texts side by side; for those that reach the bound, the best end of each row and
+        where its alignment begins; and for the alignments taken, the way between (paths: else states and text are
+        empty). No pass keeps the cells of a text.
         """
         sequences = [self.encode(t) for t in texts]
         out: list[list[Alignment]] = [[] for _ in texts]
-        best = self.best_scores(sequences)
+        scored = Stretches(self, sequences)
+        best = scored.best(bound, top=limit == 1 and keep is None)
         some = np.flatnonzero((best > NLOW) & (best >= bound)).tolist()
-        for k, scores, moves, wraps in self.matrices([sequences[k] for k in some]):
-            out[some[k]] = self._hits(texts[some[k]], scores, moves, wraps, bound, limit, keep, first)
+        for ends in scored.ends(some):
+            picked = ends.pick(bound, limit, keep, first)
+            ways = scored.paths(ends.sequence, picked, texts[ends.sequence]) if paths else [("", "")] * len(picked)
+            out[ends.sequence] = [a.alignment(self, *way) for a, way in zip(picked, ways, strict=True)]
         return out
 
-    def _hits(self, letters: str, scores: np.ndarray, moves: np.ndarray, wraps: np.ndarray, bound: int, limit: int | None, keep, first_row: bool) -> list[Alignment]:
-        n = len(scores) - 1
-        ends = scores[1:, 1:, X]
-        row_best = ends.max(axis=1).astype(np.int64)
-        col_best = self.length - 1 - np.argmax(ends[:, ::-1], axis=1)
-        used = np.zeros(n + 1, bool)
-        out: list[Alignment] = []
-        while True:
-            open_ = np.where(used[1:], NO, row_best)
-            best = int(open_.max())
-            if best <= NLOW or best < bound:
-                return out
-            row = int(np.argmax(open_)) + 1 if first_row else n - int(np.argmax(open_[::-1]))
-            col = int(col_best[row - 1]) + 1
-            begin, entry, cycles, state, states, aligned, first = self.trace(moves, wraps, row, col, letters)
-            overlap = used[begin : row + 1].any()
-            used[begin : row + 1] = True
-            if overlap:
-                continue
-            found = Alignment(best, cycles, begin, row, entry, col, begin, row - 1, entry - 1 if state == I else entry, col - 1, max(entry - 1, 1), col - self.length - 1, states, aligned)
-            if keep is None or keep(found, n):
-                out.append(found)
-                if limit and len(out) >= limit:
-                    return out
-
 
 def tag_profile(tag: str, scores: dict | None = None) -> Profile:
     """The profile that maps a whole tag anywhere in a sequence; an N in the tag matches all, one in the sequence is 0."""

@@ -48,16 +48,20 @@ def search(
     model: str | None = None,
     key: str = "seq_id",
     text: str = "raw",
+    paths: bool = True,
 ) -> DataFrame:
     """Alignments of every sequence with every profile: the key, one row for each, best first.
 
     cutoff: by default each profile's level 0. top: the most alignments of a strand; without ranges it also lifts the
     cut-off. both_strands: the reverse complement too, its ranks going on. best_strand: only the strand that scores
-    more, forward on a tie. Null or empty sequences give no row.
+    more, forward on a tie. paths: without them only the places are found, begins being carried beside the scores, and
+    states and aligned are empty. Null or empty sequences give no row. The key may not bear the name of a result column.
     """
+    _own_name(key)
     kernels = [Kernel(p, model) for p in profiles]
     cutoffs = [p.level(0)["score"] if cutoff is None else cutoff for p in profiles]
     bounds = [score_range[0] if score_range else (-(1 << 30) if top else c) for c in cutoffs]
+    ranges = score_range is not None or cycle_range is not None or clip is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +70,7 @@ def search(
             made = []
             for pid, kernel in enumerate(kernels):
                 keep = lambda a, n, c=cutoffs[pid]: accepts(a, n, c, score_range, cycle_range, clip, invert, top is not None)
-                made.append({o: kernel.many_hits(own, bounds[pid], top, keep) for o, own in strands.items()})
+                made.append({o: kernel.many_hits(own, bounds[pid], top, keep if ranges else None, paths=paths) for o, own in strands.items()})
             keys, rows = [], []
             for i, (name, forward) in enumerate(zip(names, texts, strict=True)):
                 for pid, by_strand in enumerate(made):
@@ -86,11 +90,17 @@ def search(
     return rows.mapInArrow(run, f"`{key}` {kind}, {_HIT}")
 
 
+def _own_name(key: str, names: Sequence[str] = tuple(_NAMES)) -> None:
+    if key in names:
+        raise ValueError(f"a key named {key!r} meets a result column of that name; rename it")
+
+
 _SWAP = str.maketrans("ACGT", "TGCA")
 
 
 def best_scores(sequences: DataFrame, profiles: Sequence[Profile], both_strands: bool = False, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
     """key, profile_id, orientation, score: the best score alone, many sequences side by side; no cells are kept."""
+    _own_name(key, ("profile_id", "orientation", "score"))
     kernels = [Kernel(p, model) for p in profiles]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +132,7 @@ def with_norm(hits: DataFrame, profile: Profile, mode: int = 1, length: Column |
 
 def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
     """key, seq, prf, match, insertion, deletion: every cell of each sequence's matrix."""
+    _own_name(key, ("seq", "prf", "match", "insertion", "deletion"))
     kernel = Kernel(profile, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +152,15 @@ def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None
 def map_tags(genomes: DataFrame, tags: Sequence[tuple[str, str]], scores: dict = MAP_SCORES, key: str = "seq_id", text: str = "raw") -> DataFrame:
     """key, tag, begin, end, score: the best place of each whole tag in each sequence, the first one on a tie.
 
-    begin and end count from 0.
+    begin and end count from 0. Begins are carried beside the scores, so no cells are kept.
     """
+    _own_name(key, ("tag", "begin", "end", "score"))
     kernels = [(name, Kernel(tag_profile(tag, scores))) for name, tag in tags if tag]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            found = [(tag, kernel.many_hits(texts, -(1 << 30), 1, first=True)) for tag, kernel in kernels]
+            found = [(tag, kernel.many_hits(texts, -(1 << 30), 1, first=True, paths=False)) for tag, kernel in kernels]
             rows = [(name, tag, h.seq_begin, h.seq_end, h.score) for i, name in enumerate(names) for tag, own in found for h in own[i]]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int32())
