@@ -338,10 +338,11 @@ class Kernel:
         scored = Stretches(self, sequences)
         best = scored.best(bound, top=limit == 1 and keep is None)
         some = np.flatnonzero((best > NLOW) & (best >= bound)).tolist()
-        for ends in scored.ends(some):
-            picked = ends.pick(bound, limit, keep, first)
-            ways = scored.paths(ends.sequence, picked, texts[ends.sequence]) if paths else [("", "")] * len(picked)
-            out[ends.sequence] = [a.alignment(self, *way) for a, way in zip(picked, ways, strict=True)]
+        for group in scored.ends(some):
+            picked = {e.sequence: e.pick(bound, limit, keep, first) for e in group}
+            ways = scored.paths(picked, texts) if paths else {k: [("", "")] * len(own) for k, own in picked.items()}
+            for k, own in picked.items():
+                out[k] = [p.alignment(self, *way) for p, way in zip(own, ways[k], strict=True)]
         return out
 
 

@@ -34,6 +34,12 @@ def accepts(found: Alignment, n: int, cutoff: int, score_range: tuple[int, int]
     return good != invert
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows of few files out to all cores by their key; an alignment costs far more than moving its sequence."""
+    cores, files = rows.sparkSession.sparkContext.defaultParallelism, len(rows.inputFiles())
+    return rows.repartition(4 * cores, key) if 0 < files < cores else rows
+
+
 def search(
     sequences: DataFrame,
     profiles: Sequence[Profile],
@@ -86,7 +92,7 @@ def search(
             yield pa.RecordBatch.from_arrays([own, *[pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]], names=[key, *_NAMES])
 
     kind = sequences.schema[key].dataType.simpleString()
-    rows = sequences.select(F.col(key), clean(F.col(text)).alias("_seq"))
+    rows = spread(sequences.select(F.col(key), clean(F.col(text)).alias("_seq")), key)
     return rows.mapInArrow(run, f"`{key}` {kind}, {_HIT}")
 
 
@@ -114,7 +120,8 @@ def best_scores(sequences: DataFrame, profiles: Sequence[Profile], both_strands:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pid] * n, pa.int32()), pa.array([orientation] * n, pa.int32()), pa.array(score, pa.int32())], names=[key, "profile_id", "orientation", "score"])
 
     kind = sequences.schema[key].dataType.simpleString()
-    return sequences.select(F.col(key), clean(F.col(text)).alias("_seq")).mapInArrow(run, f"`{key}` {kind}, profile_id int, orientation int, score int")
+    rows = spread(sequences.select(F.col(key), clean(F.col(text)).alias("_seq")), key)
+    return rows.mapInArrow(run, f"`{key}` {kind}, profile_id int, orientation int, score int")
 
 
 def best_strand(scores: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -167,7 +174,7 @@ def map_tags(genomes: DataFrame, tags: Sequence[tuple[str, str]], scores: dict =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "tag", "begin", "end", "score"])
 
     kind = genomes.schema[key].dataType.simpleString()
-    return genomes.select(F.col(key), clean(F.col(text)).alias("_seq")).mapInArrow(run, f"`{key}` {kind}, tag string, begin int, end int, score int")
+    return spread(genomes.select(F.col(key), clean(F.col(text)).alias("_seq")), key).mapInArrow(run, f"`{key}` {kind}, tag string, begin int, end int, score int")
 
 
 def heuristic_scores(sequences: DataFrame, profile: Profile, key: str = "seq_id", text: str = "raw") -> DataFrame:

@@ -27,7 +27,7 @@ if TYPE_CHECKING:
     from .kernels import Alignment, Kernel
 
 NO = np.int64(-(1 << 40))
-STRETCH, LANES, CELLS = 512, 1 << 15, 1 << 20
+STRETCH, LANES, CELLS = 512, 1 << 13, 1 << 20
 OPEN_ROUNDS, MATRIX_BYTES = 2, 1 << 26
 BAD = np.int64(-(1 << 62))
 
@@ -337,8 +337,8 @@ class Stretches:
             place[head], cycles[head] = own, turns
         return place, cycles
 
-    def ends(self, some: list[int]) -> Iterator[Ends]:
-        """The best end of each row of some sequences; ties of a row go to the last column."""
+    def ends(self, some: list[int]) -> Iterator[list[Ends]]:
+        """The best end of each row of some sequences, a group of them at once; ties of a row go to the last column."""
         k, columns = self.kernel, self.kernel.length + 1
         circular = k.model == "circular"
         for group in self._together(some):
@@ -365,11 +365,12 @@ class Stretches:
                     named = np.flatnonzero((what < 0) & (what > BAD))
                     name = -1 - what[named]
                     what[named], n[named] = before[name], n[named] + before_turns[name]
-            at = 0
+            at, out = 0, []
             for s in group:
                 a, b = int(start[at]), int(start[at + self.head[s + 1] - self.head[s]])
-                yield Ends(s, score[a:b], col[a:b], place[a:b], turns[a:b] if circular else np.zeros(b - a, np.int64), columns)
+                out.append(Ends(s, score[a:b], col[a:b], place[a:b], turns[a:b] if circular else np.zeros(b - a, np.int64), columns))
                 at += int(self.head[s + 1] - self.head[s])
+            yield out
 
     def _together(self, some: list[int]) -> Iterator[list[int]]:
         """Sequences in order, in groups of about CELLS residues."""
@@ -383,41 +384,42 @@ class Stretches:
         if group:
             yield group
 
-    def paths(self, sequence: int, picked: list[Place], letters: str) -> list[tuple[str, str]]:
-        """(states, aligned text) of alignments of a sequence, which do not overlap."""
-        walks = [Walk(self.kernel, p) for p in picked]
-        if not walks:
-            return []
-        low, high = int(self.head[sequence]), int(self.head[sequence + 1])
-        edge = self.end[low:high]
-        need = np.zeros(high - low + 1, np.int64)  # stretches that an alignment touches
-        for p in picked:
-            need[np.searchsorted(edge, max(p.begin, 1))] += 1
-            need[np.searchsorted(edge, p.row) + 1] -= 1
-        pieces = low + np.flatnonzero(np.cumsum(need)[:-1])
-        order = sorted(range(len(walks)), key=lambda w: -picked[w].row)
-        step = max(1, CELLS // (int(self.size[pieces].max()) * (self.kernel.length + 1)))
-        opened, at = [], 0
-        for cut in range(len(pieces), 0, -step):
-            own = pieces[max(0, cut - step) : cut]
+    def paths(self, picked: dict[int, list[Place]], texts: list[str]) -> dict[int, list[tuple[str, str]]]:
+        """(states, aligned text) of the alignments taken in each sequence, which do not overlap."""
+        walks = {s: [Walk(self.kernel, p) for p in own] for s, own in picked.items()}
+        need = np.zeros(len(self.owner) + 1, np.int64)  # stretches that an alignment touches
+        ends: dict[int, list[Walk]] = {}
+        for s, own in walks.items():
+            low, edge = int(self.head[s]), self.end[self.head[s] : self.head[s + 1]]
+            for p, walk in zip(picked[s], own, strict=True):
+                last = low + int(np.searchsorted(edge, p.row))
+                need[low + np.searchsorted(edge, max(p.begin, 1))] += 1
+                need[last + 1] -= 1
+                ends.setdefault(last, []).append(walk)
+        pieces = np.flatnonzero(np.cumsum(need)[:-1])
+        opened: list[Walk] = []
+        for own in self._back(pieces):
             lanes = own[np.argsort(-self.size[own], kind="stable")]
-            lane_of = {int(p): j for j, p in enumerate(lanes)}
             moves = np.zeros((len(lanes), int(self.size[lanes[0]]) + 1, self.kernel.length + 1, 4), np.int8)
             wraps = np.zeros((len(lanes), moves.shape[1], 4), bool)
             for pos, live, _, _, m, w in self._moves(lanes):
                 moves[:live, pos + 1], wraps[:live, pos + 1] = m, w
-            if self.first[own[0]]:
-                moves[lane_of[int(own[0])], 0], wraps[lane_of[int(own[0])], 0] = (x[0] for x in self.kernel.moves(self.kernel.start(1), None))
-            while at < len(order) and picked[order[at]].row > self.begin[own[0]]:
-                opened.append(walks[order[at]])
-                at += 1
-            for piece in own[::-1].tolist():
-                base, lane = int(self.begin[piece]), lane_of[piece]
+            head = np.flatnonzero(self.first[lanes])
+            if len(head):
+                moves[head, 0], wraps[head, 0] = self.kernel.moves(self.kernel.start(1), None)
+            for lane in np.argsort(-lanes).tolist():
+                piece = int(lanes[lane])
+                opened = [w for w in opened if not w.over] + ends.get(piece, [])
                 for walk in opened:
-                    if not walk.over and walk.row <= self.end[piece]:
-                        walk.go(moves[lane], wraps[lane], base, letters)
-                opened = [w for w in opened if not w.over]
-        return [walk.text() for walk in walks]
+                    walk.go(moves[lane], wraps[lane], int(self.begin[piece]), texts[self.owner[piece]])
+        return {s: [walk.text() for walk in own] for s, own in walks.items()}
+
+    def _back(self, pieces: np.ndarray) -> Iterator[np.ndarray]:
+        """Stretches from the last to the first, in groups of about CELLS cells."""
+        cells = np.cumsum((self.size[pieces[::-1]] * (self.kernel.length + 1)))
+        group = cells // CELLS
+        for g in np.unique(group).tolist():
+            yield pieces[::-1][group == g]
 
 
 class Walk:
