@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import to_normalized
 from ..functions.sequence import clean, reverse_complement
-from ..sources.profiles import Profile
+from ..sources.profiles import I, M, Profile
 from .kernels import MAP_SCORES, Alignment, Kernel, heuristic_score, heuristic_table, tag_profile
+from .stretches import NO, Stretches, settle
 
 _HIT = "profile_id int, rank int, orientation int, score int, cycles int, row_begin int, row_end int, col_begin int, col_end int, seq_begin int, seq_end int, prf_begin int, prf_end int, ipmb int, ipme int, states string, aligned string, seq_len int"
 _NAMES = [x.split()[0] for x in _HIT.split(", ")]
@@ -124,6 +126,62 @@ def best_scores(sequences: DataFrame, profiles: Sequence[Profile], both_strands:
     return rows.mapInArrow(run, f"`{key}` {kind}, profile_id int, orientation int, score int")
 
 
+def long_scores(sequences: DataFrame, profile: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw", size: int = 1 << 18) -> DataFrame:
+    """key, score: as best_scores of one profile, with sequences cut into stretches of so many letters over all tasks.
+
+    A stretch first runs from no alignment, and hands the row after it to the next, which runs again from there until its
+    rows are those it had. Only if a row after changes again is a sequence scored in one task. Null and empty sequences
+    have NLOW; keys must be distinct and not null.
+    """
+    _own_name(key, ("score",))
+    kernel = Kernel(profile, model)
+    wide = 2 * (kernel.length + 1)
+    kind = sequences.schema[key].dataType.simpleString()
+    rows = sequences.select(F.col(key).alias("_k"), F.coalesce(clean(F.col(text)), F.lit("")).alias("_seq"))
+    count = F.greatest(F.ceil(F.length("_seq") / F.lit(size)).cast("int"), F.lit(1))
+    pieces = rows.select("_k", count.alias("_n"), F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("_seq"), i * size + 1, F.lit(size)))).alias("_piece", "_part"))
+    schema = f"_k {kind}, _piece int, _last boolean, _part string, best long, after binary, before binary"
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, len(big), 64):
+                batch = big.slice(at, 64)
+                n, piece = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_n", "_piece"))
+                parts = batch.column("_part").to_pylist()
+                own = [kernel.encode(x) for x in parts]
+                starts = np.full((len(own), 2, kernel.length + 1), NO)
+                starts[piece == 0] = [kernel.start(1)[s][0] for s in (M, I)]
+                run = Stretches(kernel, own, None, starts, piece == n - 1)
+                best = run.best()
+                after = run.after().reshape(len(own), wide)
+                names, last = batch.column("_k"), piece == n - 1
+                blob = [a.astype("<i8").tobytes() for a in after]
+                yield pa.RecordBatch.from_arrays([names, pa.array(piece, pa.int32()), pa.array(last), pa.array(parts, pa.string()), pa.array(best, pa.int64()), pa.array(blob, pa.binary()), pa.nulls(len(own), pa.binary())], names=["_k", "_piece", "_last", "_part", "best", "after", "before"])
+                on = np.flatnonzero(~last)
+                none = pa.nulls(len(on))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(on)), pa.array(piece[on] + 1, pa.int32()), none.cast(pa.bool_()), none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([blob[j] for j in on.tolist()], pa.binary())], names=["_k", "_piece", "_last", "_part", "best", "after", "before"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, len(big), 64):
+                batch = big.slice(at, 64)
+                best, last = batch.column("best").to_numpy(zero_copy_only=False).copy(), batch.column("_last").to_numpy(zero_copy_only=False).astype(bool)
+                later = np.flatnonzero(batch.column("before").is_valid().to_numpy(zero_copy_only=False))
+                changed = np.zeros(len(best), bool)
+                if len(later):
+                    parts = batch.column("_part").take(pa.array(later)).to_pylist()
+                    before, after = (np.stack([np.frombuffer(x, "<i8") for x in batch.column(c).take(pa.array(later)).to_pylist()]).reshape(len(later), 2, -1) for c in ("before", "after"))
+                    best[later], changed[later] = settle(kernel, [kernel.encode(x) for x in parts], before, after, last[later], best[later])
+                yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(best, pa.int64()), pa.array(changed & ~last)], names=["_k", "best", "open"])
+
+    cores = sequences.sparkSession.sparkContext.defaultParallelism
+    made = pieces.repartition(4 * cores, "_k", "_piece").mapInArrow(fresh, schema)
+    joined = made.groupBy("_k", "_piece").agg(*[F.max(c).alias(c) for c in ("_last", "_part", "best", "after", "before")])
+    found = joined.mapInArrow(again, f"_k {kind}, best long, open boolean").groupBy("_k").agg(F.max("best").alias("score"), F.max("open").alias("open")).persist()
+    rest = best_scores(rows.join(found.where("open").select("_k"), "_k", "left_semi"), [profile], model=model, key="_k", text="_seq")
+    return found.where("not open").select(F.col("_k").alias(key), F.col("score").cast("int").alias("score")).unionByName(rest.select(F.col("_k").alias(key), "score"))
+
+
 def best_strand(scores: DataFrame, key: str = "seq_id") -> DataFrame:
     """The better strand of each sequence and profile; forward wins ties."""
     order = F.struct(F.col("score"), F.col("orientation"))

@@ -100,8 +100,10 @@ class _Kept:
 class Stretches:
     """Sequences cut into stretches of nearly equal length, and the rows between them once `best` has run."""
 
-    def __init__(self, kernel: Kernel, sequences: list[np.ndarray], stretch: int | None = None):
-        self.kernel, self.sequences = kernel, sequences
+    def __init__(self, kernel: Kernel, sequences: list[np.ndarray], stretch: int | None = None, starts: np.ndarray | None = None, whole: np.ndarray | None = None):
+        """starts: the (match, insertion) rows before each sequence, by default the first rows of the kernel; whole: which
+        end where they end, by default all."""
+        self.kernel, self.sequences, self.starts = kernel, sequences, starts
         size = np.array([len(s) for s in sequences], np.int64)
         want = np.maximum(stretch or max(STRETCH, 8 * kernel.length), 0 if stretch else np.sqrt(size).astype(np.int64))
         count = -(-size // want)
@@ -111,27 +113,30 @@ class Stretches:
         total, of = size[self.owner], count[self.owner]
         self.begin, self.end = number * total // of, (number + 1) * total // of
         self.size = self.end - self.begin
-        self.first, self.last = number == 0, number == of - 1
+        self.first, self.last = number == 0, (number == of - 1) & (True if whole is None else whole[self.owner])
         self.out_m = self.out_i = None  # the rows after each stretch
 
     def _before(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows before stretches, as the stretches before them left them."""
         before = np.maximum(pieces - 1, 0)
         m, i = self.out_m[before], self.out_i[before]
-        head = self.first[pieces]
-        if head.any():
+        self._head(pieces, m, i)
+        return m, i
+
+    def _head(self, pieces: np.ndarray, m: np.ndarray, i: np.ndarray) -> None:
+        """Put the rows before sequences in place."""
+        head = np.flatnonzero(self.first[pieces])
+        if len(head) and self.starts is not None:
+            m[head], i[head] = self.starts[self.owner[pieces[head]]].transpose(1, 0, 2)
+        elif len(head):
             start = self.kernel.start(1)
             m[head], i[head] = start[M][0], start[I][0]
-        return m, i
 
     def _fresh(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """No alignment; before a sequence's first residue, its own first row."""
         m = np.full((len(pieces), self.kernel.length + 1), NO)
         i = m.copy()
-        head = self.first[pieces]
-        if head.any():
-            start = self.kernel.start(1)
-            m[head], i[head] = start[M][0], start[I][0]
+        self._head(pieces, m, i)
         return m, i
 
     def _groups(self, pieces: np.ndarray, cells: int = LANES, each: int = 1) -> Iterator[np.ndarray]:
@@ -175,6 +180,13 @@ class Stretches:
         np.maximum.at(out, self.owner, best)
         return out
 
+    def after(self) -> np.ndarray:
+        """The (match, insertion) rows after each sequence, once `best` has run; after an empty one, none."""
+        out = np.full((len(self.sequences), 2, self.kernel.length + 1), NO)
+        some = np.flatnonzero(np.diff(self.head))
+        out[some, 0], out[some, 1] = self.out_m[self.head[1:][some] - 1], self.out_i[self.head[1:][some] - 1]
+        return out
+
     def _run(self, kernel: Kernel, lanes: np.ndarray, m: np.ndarray, i: np.ndarray, best: np.ndarray | None) -> None:
         """Advance lanes to their ends, keep their last rows and their best scores."""
         padded = self._padded(lanes)
@@ -422,6 +434,21 @@ class Stretches:
             yield pieces[::-1][group == g]
 
 
+def settle(kernel: Kernel, sequences: list[np.ndarray], starts: np.ndarray, after: np.ndarray, whole: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best scores, whether the rows after change) of stretches that ran from none, now from the rows before them.
+
+    A stretch is left as soon as its rows are those of the run from none, which had the given scores and rows after.
+    """
+    own = Stretches(kernel, sequences, max(map(len, sequences), default=1), starts, whole)
+    own.out_m, own.out_i = after[:, 0].copy(), after[:, 1].copy()
+    found, fresh = best.copy(), Stretches(kernel, sequences, max(map(len, sequences), default=1), np.full_like(starts, NO), whole)
+    own._fresh = fresh._fresh
+    changed = np.zeros(len(sequences), bool)
+    for lanes in own._groups(np.arange(len(sequences)), LANES // 2):
+        changed[own._again(lanes, found, best, kernel.gain())] = True
+    return found, changed
+
+
 class Walk:
     """The way back from an end, stretch by stretch."""
 

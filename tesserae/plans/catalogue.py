@@ -150,6 +150,12 @@ def k1_best_documents(spark, sf_dir):
     return search.best_scores(docs, WORDS, key="doc_id", text="text")
 
 
+@query(f"SELECT doc_id, score FROM ({alignment_sql.best_by_reduction(_CLEAN, 'doc_id', 'THAT', 'seq')})")
+def k1_long_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.long_scores(docs, WORDS[0], key="doc_id", text="text", size=1 << 14)
+
+
 # Transforms of records.
 
 
