@@ -56,6 +56,46 @@ def stitch(parts: DataFrame, key: str = "hole", order: str = "start", text: str
     return parts.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias(text))
 
 
+def stitch_sources(reads: DataFrame, fill: str = "N", status: str = "zmw_type") -> DataFrame:
+    """The table zmw from subreads and scraps beside each other: rows of hole, start, stop, kind, bases, accuracy, zmw_type.
+
+    The parts of a hole follow each other by start; `fill` stands for bases between them that no row has, and bases that
+    an earlier part already gave are not repeated. Every part with a kind is a region, Insert for subreads. The region of
+    high quality comes from those of low quality: all if there is none; what one leaves at either end (none if it leaves
+    both); of more, every gap before one of them. Its quality is the first accuracy given. status is 0 if no zmw_type
+    says otherwise than N. A hole's reads are few and meet in one row; parts with a null hole, start or stop are left out.
+    """
+    own = reads.where("hole is not null and start is not null and stop is not null")
+    part = F.struct("start", "stop", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("bases", F.lit("")).alias("bases"), "accuracy", F.col(status).alias("type"))
+    rows = own.groupBy("hole").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    first = F.col("p")[0]["start"]
+    zero = F.struct(first.alias("at"), F.lit("").alias("text"))
+
+    def grow(a: Column, x: Column) -> Column:
+        new = F.concat(F.repeat(F.lit(fill), F.greatest(x["start"] - a["at"], F.lit(0))), F.substring(x["bases"], F.greatest(a["at"] - x["start"], F.lit(0)) + 1, F.length(x["bases"])))
+        return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), F.concat(a["text"], new).alias("text"))
+
+    region = lambda kind, a, b, q: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), a.alias("start"), b.alias("stop"), q.alias("quality"))
+    rows = rows.withColumn("_text", F.aggregate("p", zero, grow, lambda a: a["text"])).withColumn("_end", F.array_max(F.transform("p", lambda x: x["stop"])))
+    rows = rows.withColumn("_low", F.filter("p", lambda x: x["kind"] == "LQRegion")).withColumn("_q", F.coalesce(F.filter("p", lambda x: x["accuracy"].isNotNull())[0]["accuracy"], F.lit(0)))
+    low = F.col("_low")
+    every = region("HQRegion", first, F.col("_end"), F.col("_q"))
+    one = F.when(low[0]["start"] == first, F.array(region("HQRegion", low[0]["stop"], F.col("_end"), F.col("_q")))).when(low[0]["stop"] == F.col("_end"), F.array(region("HQRegion", first, low[0]["start"], F.col("_q"))))
+    gaps = F.transform(low, lambda x, i: region("HQRegion", F.when(i == 0, first).otherwise(low[F.greatest(i - 1, F.lit(0))]["stop"]), x["start"], F.col("_q")))
+    high = F.when(F.size(low) == 0, F.array(every)).when(F.size(low) == 1, F.coalesce(one, F.slice(F.array(every), 1, 0))).otherwise(F.filter(gaps, lambda g: g["stop"] > g["start"]))
+    others = F.transform(F.filter("p", lambda x: x["kind"] != ""), lambda x: region(x["kind"], x["start"], x["stop"], F.lit(0)))
+    regions = F.concat(others, high)
+    shifted = F.transform(regions, lambda r: region(r["type"], r["start"] - first, r["stop"] - first, r["quality"]))
+    normal = F.forall("p", lambda x: F.coalesce(x["type"] == "N", F.lit(True)))
+    return rows.select("hole", F.shiftright("hole", 16).cast("smallint").alias("x"), F.col("hole").bitwiseAND(0xFFFF).cast("int").alias("y"), F.when(normal, 0).otherwise(1).cast("tinyint").alias("status"), F.col("_text").alias("bases"), shifted.alias("regions"))
+
+
+def region_listing(zmw: DataFrame) -> DataFrame:
+    """hole, region, type, start, stop, quality: a line for each region of each hole, in order."""
+    flat = zmw.select("hole", F.posexplode("regions").alias("region", "r"))
+    return flat.select("hole", "region", "r.type", "r.start", "r.stop", "r.quality")
+
+
 def running_offset(df: DataFrame, group: str | None, order: str, size: str) -> DataFrame:
     """offset: the sizes that come before a row in its group."""
     return running_total(df, group, order, size, "offset")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
 from ..operators import aggregates, holes, native, search, table_function
-from ..sources import sinks
+from ..sources import bam, fasta_index, ranges, sinks
 from ..sources.profiles import parse_profiles, simple_profile
 from . import alignment_sql
 
@@ -610,6 +610,65 @@ def cum_frames(spark, sf_dir):
     return flat.select("x.event_id", F.col("x.f.start").cast("long").alias("start"), F.col("x.f.end").cast("long").alias("end"))
 
 
+#: Lines of an order as parts of a molecule: those returned are of low quality; what lies between parts is N.
+_MOLECULES = """
+WITH l AS (
+  SELECT l_orderkey AS hole, l_linenumber * 100 AS s, l_linenumber * 100 + 2 * max(l_quantity)::INT AS e, min(l_returnflag) AS f
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+g AS (
+  SELECT hole, s - min(s) OVER h AS s, e - min(s) OVER h AS e, f, coalesce(s - lag(e) OVER (PARTITION BY hole ORDER BY s), 0) AS gap,
+    max(e) OVER h - min(s) OVER h AS n
+  FROM l WINDOW h AS (PARTITION BY hole)),
+low AS (
+  SELECT hole, s, e, n, row_number() OVER w AS i, count(*) OVER (PARTITION BY hole) AS lows, coalesce(lag(e) OVER w, 0) AS before
+  FROM g WHERE f = 'R' WINDOW w AS (PARTITION BY hole ORDER BY s)),
+high AS (
+  SELECT hole, 0 AS i, CASE WHEN s = 0 THEN e || '-' || n WHEN e = n THEN '0-' || s END AS h FROM low WHERE lows = 1
+  UNION ALL SELECT hole, i, before || '-' || s FROM low WHERE lows > 1 AND s > before
+  UNION ALL SELECT hole, 0, '0-' || max(n) FROM g GROUP BY hole HAVING count(*) FILTER (f = 'R') = 0),
+best AS (SELECT hole, string_agg(h, ',' ORDER BY i) AS high FROM high GROUP BY hole),
+bases AS (SELECT hole, string_agg(repeat('N', gap) || repeat(f, e - s), '' ORDER BY s) AS bases FROM g GROUP BY hole)
+SELECT hole::INT AS hole, bases, coalesce(high, '') AS high FROM bases LEFT JOIN best USING (hole)
+"""
+
+
+def molecule_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, kind = F.col("l_linenumber") * 100, F.create_map(F.lit("R"), F.lit("LQRegion"), F.lit("A"), F.lit("Adapter"), F.lit("N"), F.lit("Insert"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("f"))
+    return lines.select(F.col("l_orderkey").cast("int").alias("hole"), start.cast("int").alias("start"), (start + 2 * F.col("q")).cast("int").alias("stop"), kind[F.col("f")].alias("kind"), F.expr("repeat(f, 2 * q)").alias("bases"), F.lit(900).alias("accuracy"), F.lit("N").alias("zmw_type"))
+
+
+def stitched(parts: DataFrame) -> DataFrame:
+    """hole, bases and the regions of high quality as text."""
+    high = F.transform(F.filter("regions", lambda r: r["type"] == "HQRegion"), lambda r: F.concat_ws("-", r["start"], r["stop"]))
+    return holes.stitch_sources(parts).select("hole", "bases", F.array_join(high, ",").alias("high"))
+
+
+@query(_MOLECULES)
+def stitch_molecules(spark, sf_dir):
+    return stitched(molecule_parts(spark, sf_dir))
+
+
+@query(_MOLECULES)
+def bam_molecules(spark, sf_dir):
+    """The same through BAM files: written by tasks, read by ranges of bytes, stitched."""
+    folder = ranges.shared_folder(spark, "bam")
+    parts = bam.make_records(molecule_parts(spark, sf_dir)).repartitionByRange("hole").sortWithinPartitions("hole", "start")
+    bam.write_bam(parts, folder)
+    return stitched(bam.molecules(bam.read_bam(spark, folder, 1 << 20)))
+
+
+@query("SELECT p_partkey, strlen('>' || p_partkey || ' part' || chr(10) || p_name || chr(10))::BIGINT AS bytes, p_name AS raw FROM part")
+def fasta_index_records(spark, sf_dir):
+    """Parts as FASTA files, their index, and every record read by its place."""
+    folder = ranges.shared_folder(spark, "fasta")
+    table(spark, sf_dir, "part").select(F.concat(F.lit(">"), "p_partkey", F.lit(" part\n"), "p_name").alias("value")).write.text(folder)
+    fasta_index.write_index(fasta_index.index_fasta(spark, folder, 1 << 16), f"{folder}-index")
+    index = fasta_index.read_index(spark, f"{folder}-index")
+    read = fasta_index.read_records(index)
+    return index.join(read, "seq_id").select(F.col("name").cast("long").alias("p_partkey"), F.col("length").alias("bytes"), "raw")
+
+
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def stitch(spark, sf_dir):
     return holes.stitch(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")

@@ -6,6 +6,7 @@ it needs and no more.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from urllib.parse import urlsplit
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 64 << 20
+_OWN = f"tesserae-shared-{uuid.uuid4().hex}"
 
 
 def file_ranges(spark: SparkSession, path: str | list[str], block: int = BLOCK) -> DataFrame:
@@ -35,12 +37,13 @@ def open_file(name: str):
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all tasks can reach: in the folder of spark.checkpoint.dir, else in the warehouse.
 
-    In local mode both may be on this machine; on a cluster a warehouse on the driver's own disk is refused.
+    Without the former, local mode takes a temporary folder, and a cluster refuses a warehouse on the driver's own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
+        root = f"file://{tempfile.gettempdir()}/{_OWN}"
+    elif not root:
         root = spark.conf.get("spark.sql.warehouse.dir")
-        if not spark.sparkContext.master.startswith("local") and urlsplit(root).scheme in ("", "file"):
+        if urlsplit(root).scheme in ("", "file"):
             raise ValueError("set spark.checkpoint.dir to a folder that executors share")
-        root = f"{root.rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
