@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
-from ..operators import aggregates, holes, native, search, table_function
+from ..operators import aggregates, holes, mapping, native, search, table_function
 from ..sources import bam, fasta_index, ranges, sinks
 from ..sources.profiles import parse_profiles, simple_profile
 from . import alignment_sql
@@ -516,6 +516,24 @@ def map_reads(spark, sf_dir):
     return search.map_tags(table(spark, sf_dir, "part"), [("ring", "RING"), ("bolt", "BALT"), ("n", "WNDGET")], key="p_partkey", text="p_name")
 
 
+@query("""
+WITH r AS (SELECT item_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS raw FROM benchmark),
+t AS (SELECT page_id, regexp_replace(upper(url), '[^ACGT]', '', 'g') AS tag FROM pages),
+d AS (SELECT DISTINCT tag FROM t WHERE tag <> ''),
+w AS (
+  SELECT item_id, tag, i, list_sum(list_transform(range(1, length(tag) + 1), lambda k: CASE WHEN substr(raw, i + k - 1, 1) <> substr(tag, k, 1) THEN 1 ELSE 0 END)) AS wrong
+  FROM r, d, LATERAL (SELECT unnest(range(1, length(raw) - length(tag) + 2)) AS i)),
+best AS (SELECT item_id, tag, min(wrong) AS wrong, arg_min(i, wrong * 1000000000 + i) AS i FROM w WHERE wrong <= 1 GROUP BY item_id, tag)
+SELECT item_id, page_id, (i - 1)::INT AS "begin", (i - 2 + length(tag))::INT AS "end", (4 * length(tag) - 4 * wrong)::INT AS score FROM best JOIN t USING (tag)
+""")
+def map_tables(spark, sf_dir):
+    """Tags of pages in benchmark texts, at most one mismatch's worth below their full score."""
+    letters = lambda c: F.regexp_replace(F.upper(c), "[^ACGT]", "")
+    refs = table(spark, sf_dir, "benchmark").select("item_id", letters("text").alias("raw"))
+    tags = table(spark, sf_dir, "pages").select("page_id", letters("url").alias("tag"))
+    return mapping.map_tables(refs, tags, 4, key="item_id", tag_key="page_id")
+
+
 @query(f"""SELECT user_id, "rank", score, 0 AS cycles, "begin" AS seq_begin, "row" - 1 AS seq_end, states, aligned FROM ({_FOUND})""")
 def udtf_hits(spark, sf_dir):
     table_function.register(spark, [MOTIF])
