@@ -106,3 +106,26 @@ def run_lengths(states: Column) -> Column:
     """Runs of equal letters as letter and length, such as M12I2."""
     runs = F.regexp_extract_all(states, F.lit(r"((.)\2*)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.concat(F.substring(r, 1, 1), F.length(r).cast("string"))), "")
+
+
+#: The code of each operation and how many fit.
+CIGAR_CODES = {"M": 0xA, "I": 0xB, "D": 0xC}
+CIGAR_SIZE = 124
+
+
+def packed_cigar(states: Column) -> Column:
+    """The operations of an alignment as whole numbers: code A, B or C (match, insertion, deletion) in bits 12 on, length below.
+
+    Entry and exit are left out; runs longer than 4095 are several operations. Null where more than 124 do not fit, or
+    for states that have no code (wraps).
+    """
+    runs = F.regexp_extract_all(F.translate(F.replace(states, F.lit("X"), F.lit("")), "-", "D"), F.lit(r"((.)\2{0,4094})"), F.lit(1))
+    code = F.create_map(*[F.lit(x) for pair in CIGAR_CODES.items() for x in pair])
+    packed = F.transform(runs, lambda r: F.try_element_at(code, F.substring(r, 1, 1)) * 4096 + F.length(r))
+    return F.when((F.size(runs) <= CIGAR_SIZE) & ~F.exists(packed, lambda c: c.isNull()), packed)
+
+
+def cigar_text(packed: Column) -> Column:
+    """Packed operations as text, such as 12M2I."""
+    letter = F.create_map(*[F.lit(x) for c, v in CIGAR_CODES.items() for x in (v, c)])
+    return F.array_join(F.transform(packed, lambda c: F.concat((c % 4096).cast("string"), F.try_element_at(letter, F.shiftright(c, 12)))), "")

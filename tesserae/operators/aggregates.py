@@ -65,27 +65,37 @@ def _cells(x: int) -> list[tuple[str, Column]]:
 BUCKETS = 1000
 
 
+def _number(column: Column, kind: T.DataType) -> Column | None:
+    """A number that never falls where a column rises: its value, the first bytes of a text, that of a struct's first field."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return column.cast("timestamp").cast("double")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return column.cast("double") if isinstance(kind, T.NumericType) else column.cast("int").cast("double")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.StructType) and kind.fields:
+        return _number(column.getField(kind.fields[0].name), kind.fields[0].dataType)
+    return None
+
+
 def range_bucket(df: DataFrame, order: str) -> Column:
-    """A number from 0 to BUCKETS for each row, rising with a numeric or time column, from its approximate percentiles; null is -1.
+    """A number from 0 to BUCKETS for each row that never falls where a column rises, from approximate percentiles; null is -1.
 
-    Rows of one value share a bucket; other types have one bucket, 0. Percentiles are bounded in number and only place the edges,
-    so results don't depend on how exact they are.
+    Rows of one value share a bucket, so do texts of equal first bytes and structs of equal first fields; arrays and maps
+    have one bucket, 0. Percentiles are bounded in number and only place the edges, so results don't depend on how exact
+    they are; they are found at once, as every use of the buckets must see the same edges.
     """
-    kind, column = df.schema[order].dataType, F.col(order)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        number = column.cast("timestamp").cast("double")
-    else:
-        number = column.cast("double") if isinstance(kind, T.NumericType) else None
+    number = _number(F.col(order), df.schema[order].dataType)
     steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     edges = np.unique(df.agg(F.percentile_approx(number, steps, 10 * BUCKETS)).first()[0] or []) if number is not None else []
     if not len(edges):
-        return F.when(column.isNull(), -1).otherwise(0)
+        return F.lit(0)
 
     @F.pandas_udf("int")
     def bucket(values: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, values.to_numpy(), "left").astype(np.int32))
 
-    return F.when(column.isNull(), -1).otherwise(bucket(number))
+    return F.when(number.isNull(), -1).otherwise(bucket(number))
 
 
 def running_total(df: DataFrame, group: str | None, order: str, size: str, name: str) -> DataFrame:

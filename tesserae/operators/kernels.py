@@ -44,9 +44,10 @@ class Alignment:
 
 
 class Kernel:
-    """A profile's tables, ready for rows of scores."""
+    """A profile's tables, ready for rows of scores; insertion_wraps: whether cycles count wraps from an insertion."""
 
-    def __init__(self, profile: Profile, model: str | None = None):
+    def __init__(self, profile: Profile, model: str | None = None, insertion_wraps: bool = True):
+        self.insertion_wraps = insertion_wraps
         self.model = model or (CIRCULAR if profile.circular else STANDARD)
         if self.model not in MODELS:
             raise ValueError(f"model {self.model!r}")

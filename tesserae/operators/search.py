@@ -38,6 +38,8 @@ def accepts(found: Alignment, n: int, cutoff: int, score_range: tuple[int, int]
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Deal rows of few files out to all cores by their key; an alignment costs far more than moving its sequence."""
+    if rows.isStreaming:
+        return rows
     cores, files = rows.sparkSession.sparkContext.defaultParallelism, len(rows.inputFiles())
     return rows.repartition(4 * cores, key) if 0 < files < cores else rows
 
@@ -182,6 +184,25 @@ def long_scores(sequences: DataFrame, profile: Profile, model: str | None = None
     return found.where("not open").select(F.col("_k").alias(key), F.col("score").cast("int").alias("score")).unionByName(rest.select(F.col("_k").alias(key), "score"))
 
 
+def best_cycles(sequences: DataFrame, profile: Profile, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """key, score, cycles, begin, end: the best alignment, the last one on a tie; wraps from an insertion count as no cycle.
+
+    begin and end are rows of the matrix: the residues begin to end - 1. Null and empty sequences give no row.
+    """
+    _own_name(key, ("score", "cycles", "begin", "end"))
+    kernel = Kernel(profile, insertion_wraps=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = kernel.many_hits([x or "" for x in batch.column(1).to_pylist()], -(1 << 30), 1, paths=False)
+            rows = [(i, h.score, h.cycles, h.row_begin, h.row_end) for i, own in enumerate(found) for h in own]
+            at, *columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int32()) for c in columns]], names=[key, "score", "cycles", "begin", "end"])
+
+    kind = sequences.schema[key].dataType.simpleString()
+    return spread(sequences.select(F.col(key), clean(F.col(text)).alias("_seq")), key).mapInArrow(run, f"`{key}` {kind}, score int, cycles int, begin int, end int")
+
+
 def best_strand(scores: DataFrame, key: str = "seq_id") -> DataFrame:
     """The better strand of each sequence and profile; forward wins ties."""
     order = F.struct(F.col("score"), F.col("orientation"))
@@ -202,12 +223,12 @@ def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, letters in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for row, letters in enumerate(batch.column(1).to_pylist()):
                 cells, _, _ = kernel.matrix(kernel.encode(letters or ""))
                 rows, columns = cells.shape[:2]
                 flat = cells.reshape(-1, 4)
-                own = pa.array([name.as_py()] * len(flat), batch.schema.field(0).type)
-                at = [pa.array([i for i in range(rows) for _ in range(columns)], pa.int32()), pa.array(list(range(columns)) * rows, pa.int32())]
+                own = batch.column(0).take(pa.array(np.full(len(flat), row)))
+                at = [pa.array(np.repeat(np.arange(rows), columns), pa.int32()), pa.array(np.tile(np.arange(columns), rows), pa.int32())]
                 yield pa.RecordBatch.from_arrays([own, *at, *[pa.array(flat[:, s], pa.int32()) for s in (2, 3, 0)]], names=[key, "seq", "prf", "match", "insertion", "deletion"])
 
     kind = sequences.schema[key].dataType.simpleString()

@@ -319,7 +319,7 @@ class Stretches:
             move = moves[over, 0, state]
             by_insertion, inside = move == I, (move == M) | (move == D)
             new[over[by_insertion], 0, state[by_insertion]] = place[over[by_insertion], -1, I]
-            count[over[by_insertion], 0, state[by_insertion]] = cycles[over[by_insertion], -1, I] + 1
+            count[over[by_insertion], 0, state[by_insertion]] = cycles[over[by_insertion], -1, I] + k.insertion_wraps
             to[over[inside], 0, state[inside]] = (columns - 1) * 4 + move[inside]
             extra[over[inside], 0, state[inside]] = 1
         bad = to < 0

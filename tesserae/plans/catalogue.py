@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
-from ..operators import aggregates, holes, mapping, native, search, table_function
-from ..sources import bam, fasta_index, ranges, sinks
+from ..operators import aggregates, dispatch, holes, mapping, native, search, table_function
+from ..sources import bam, fasta_index, heatmap, ranges, sinks
 from ..sources.profiles import parse_profiles, simple_profile
 from . import alignment_sql
 
@@ -288,6 +288,30 @@ def score_hist(spark, sf_dir):
     return aggregates.histogram(k1_best_events(spark, sf_dir), F.col("score"), -5, 15)
 
 
+@query("""
+WITH best AS (SELECT l_orderkey, max(l_quantity)::BIGINT AS score FROM lineitem GROUP BY l_orderkey)
+SELECT b.bin::BIGINT AS bin, count(best.score)::BIGINT AS n FROM (SELECT unnest(range(20, 51)) AS bin) b LEFT JOIN best ON best.score = b.bin GROUP BY 1""")
+def zmw_score_hist(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    scores = lines.select(F.col("l_orderkey").alias("hole"), F.col("l_linenumber").alias("region"), F.col("l_quantity").cast("int").alias("score"))
+    return dispatch.zmw_histogram(scores, 20, 50)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS hole, l_linenumber AS k, max(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2),
+r AS (
+  SELECT hole, 'Insert' AS type, (k * 100)::INT AS start, (k * 100 + q * 2)::INT AS stop, 0 AS quality, 0 AS o FROM l
+  UNION ALL SELECT DISTINCT hole, 'HQRegion', 130, ((hole % 9) * 90)::INT, ((hole * 37) % 1001)::INT, 1 FROM l)
+SELECT hole, (row_number() OVER (PARTITION BY hole ORDER BY o, start, stop) - 1)::INT AS region, type, start, stop, quality FROM r""")
+def region_listing(spark, sf_dir):
+    return holes.region_listing(zmw(spark, sf_dir))
+
+
+@query(f"WITH k AS ({_K1.strip()}) SELECT b.bin, count(k.score)::BIGINT AS n FROM (SELECT unnest(range(-5, 16))::BIGINT AS bin) b LEFT JOIN k ON k.score = b.bin GROUP BY 1")
+def report_histogram(spark, sf_dir):
+    return dispatch.report(symbols(spark, sf_dir), MOTIF, "histogram", score_range=(-5, 15), key="user_id")
+
+
 @query("""
 SELECT s.s::BIGINT AS score, c.c::BIGINT AS cycles, count(l.l_orderkey)::BIGINT AS n
 FROM (SELECT unnest(range(0, 50)) AS s) s CROSS JOIN (SELECT unnest(range(1, 6)) AS c) c
@@ -483,12 +507,27 @@ def matrix_extrema(spark, sf_dir):
     return aggregates.matrix_extrema(search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id"), "user_id")
 
 
+@query(f"SELECT user_id, zoom::INT AS zoom, (seq >> zoom)::INT AS y, (prf >> zoom)::INT AS x, max(greatest(match, -99)) AS value FROM ({_MATRIX}), (SELECT unnest(range(0, 4)) AS zoom) z GROUP BY 1, 2, 3, 4")
+def heat_pixels(spark, sf_dir):
+    cells = search.cell_matrix(symbols(spark, sf_dir), MOTIF, key="user_id")
+    return heatmap.pixels(cells, F.greatest("match", F.lit(-99)), 4, "user_id").withColumnRenamed("_key", "user_id")
+
+
 @query(f"""
 SELECT user_id, "rank", array_to_string(list_transform(regexp_extract_all(states, 'X+|M+|I+|-+'), lambda r: r[1] || length(r)), '') AS runs FROM ({_FOUND})""")
 def run_length_states(spark, sf_dir):
     return hits(spark, sf_dir).select("user_id", "rank", seq.run_lengths(F.col("states")).alias("runs"))
 
 
+@query(f"""
+WITH r AS (SELECT user_id, "rank", regexp_extract_all(states, 'M+|I+|-+') AS runs FROM ({_FOUND}))
+SELECT user_id, "rank", array_to_string(list_transform(runs, lambda r: (CASE r[1] WHEN 'M' THEN 10 WHEN 'I' THEN 11 ELSE 12 END * 4096 + length(r))::VARCHAR), ',') AS packed,
+  array_to_string(list_transform(runs, lambda r: length(r) || CASE r[1] WHEN '-' THEN 'D' ELSE r[1] END), '') AS cigar FROM r""")
+def cigar_states(spark, sf_dir):
+    packed = hits(spark, sf_dir).select("user_id", "rank", seq.packed_cigar(F.col("states")).alias("p"))
+    return packed.select("user_id", "rank", F.array_join(F.col("p").cast("array<string>"), ",").alias("packed"), seq.cigar_text(F.col("p")).alias("cigar"))
+
+
 @query(alignment_sql.heuristic_by_reduction(_CLEAN, 'doc_id', 'THAT', 'seq'))
 def heuristic_documents(spark, sf_dir):
     return search.heuristic_scores(table(spark, sf_dir, "documents"), WORDS[0], key="doc_id", text="text")
