@@ -19,8 +19,9 @@ task returns link counts a row and only a spanning forest of its links, so n nea
 members.
 
 Rows: one per input row. Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of
-different lengths don't link; null ids neither (component null, kept). Rows that repeat an id are one vector, the smallest
-one. Extra columns are ignored.
+different lengths don't link; null ids neither (component null, kept). Different vectors of one id are vectors of their
+own, which may link with each other; rows that repeat id and vector are one vector, each with its result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ LINES, HALF, MISS = 48, 0.3, 1e-6
 CELL, BLOCK_ROWS, GROUP = 256, 8192, 64  # rows of a cell in the mean and of a block at most; most lines in a group
 STRIP_PAIRS, MARGIN = 1 << 17, 1e-6
 DRAWS = 1 << 16
-SEED = 5
+SEED, SALT = 5, 16
 
 LINKS = "a long, b long, links long, tree boolean"  # tree: a link of the forest; else the links of a found here
 
@@ -100,12 +101,25 @@ class _Forest:
             i = self.up[i]
         return i
 
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        self.up = up.tolist()
+        return up
+
     def join(self, i: int, j: int) -> bool:
         i, j = self.root(i), self.root(j)
         if i != j:
             self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """The links among (a, b) that join two trees; most of a dense group's fall out at once."""
+        root = self.roots()
+        new = root[a] != root[b]
+        return [(i, j) for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True) if self.join(i, j)]
+
 
 def collide(lines: np.ndarray, x: np.ndarray, y: np.ndarray, half: float, count: int, same: bool):
     """(rows of x, rows of y) of the pairs where the window of the first holds the second at least count times, strip by strip.
@@ -143,11 +157,11 @@ def _pairs(threshold: float):
         right = left if low == high else pdf[pdf["block"] == high]
         if not len(left) or not len(right) or low == high and len(left) < 2:
             return pd.DataFrame({"a": [], "b": [], "links": [], "tree": []})
-        names = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if low != high else left["rep"].to_numpy()
+        names = np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()]) if low != high else left["node"].to_numpy()
         table = int(left["number"].iloc[0])
         x, y = (np.stack(f["vector"].to_numpy()).astype(np.float64) for f in (left, right))
         ux, uy = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y))
-        cx, cy = (np.stack(f["cells"].to_numpy()) for f in (left, right))
+        cx, cy = (np.stack(f["before"].to_numpy()) for f in (left, right)) if table else (None, None)
         nx, ny = left["copies"].to_numpy(), right["copies"].to_numpy()
         lines = np.random.default_rng(SEED).normal(size=(x.shape[1], LINES))
         shift = 0 if low == high else len(left)
@@ -159,13 +173,13 @@ def _pairs(threshold: float):
                 near = np.einsum("ij,ij->i", ux[p], uy[q]) >= threshold - MARGIN
                 p, q = p[near], q[near]
                 if table:
-                    new = ~(cx[p, :table] == cy[q, :table]).any(axis=1)  # not met before
+                    new = ~(cx[p] == cy[q]).any(axis=1)  # not met before
                     p, q = p[new], q[new]
                 real = cosine(x[p], y[q]) >= threshold
                 p, q = p[real], q[real]
                 np.add.at(links, p, ny[q])
                 np.add.at(links, q + shift, nx[p])
-                tree += [(i, j) for i, j in zip(p.tolist(), (q + shift).tolist(), strict=True) if forest.join(i, j)]
+                tree += forest.spanning(p, q + shift) if len(p) else []
         some = np.flatnonzero(links)
         rows = [pd.DataFrame({"a": names[some], "b": names[some], "links": links[some], "tree": False})]
         if tree:
@@ -205,27 +219,33 @@ def _cells(n_tables: int, groups: int, lines: int):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors; see the module's text."""
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     key = F.col("vec_id") == F.coalesce("component_id", "vec_id")
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     kind = vectors.schema[vector_col].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
-    one = save(good.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(F.col(vector_col).cast(kind)).alias("vector")), "vectors")
-    classes = save(one.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    one = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
+    # nodes are numbered: an id may have several vectors, and so several classes
+    classes = save(one.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
     n_tables, groups, lines = tables(classes.count(), threshold)
     celled = classes.withColumn("cells", _cells(n_tables, groups, lines)("vector") if groups else F.array(F.size("vector").cast("long")))
-    placed = save(celled, "cells")
+    placed = save(celled.select("node", "copies", "vector", "cells"), "cells")
+    # a row takes along 32 bits of each cell that it had in earlier tables
     dealt = placed.select("*", F.posexplode("cells").alias("number", "cell"))
+    dealt = dealt.withColumn("before", F.transform(F.slice("cells", F.lit(1), F.col("number")), lambda c: F.shiftright(c, 32).cast("int"))).drop("cells")
     # a row for each cell of more than BLOCK_ROWS rows
     large = save(placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > BLOCK_ROWS).select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "large")
     blocks = F.coalesce("blocks", F.lit(1))
-    blocked = dealt.join(large, "cell", "left").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = blocked.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "number", "rep", "copies", "vector", "cells")
+    blocked = dealt.join(large, "cell", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = blocked.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "number", "node", "copies", "vector", "before")
     found = save(met.groupBy("cell", "low", "high").applyInPandas(_pairs(threshold), LINKS), "links")
-    parts = components(found.where("tree"), "a", "b")
-    counts = found.where("not tree").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = classes.select("rep", "copies", "vector").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    joined = joined.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id"))
+    parts = components(found.where("tree"), "a", "b").join(classes.select("node", "rep"), "node")
+    # a component's smallest id, back to its members in SALT parts
+    least = parts.groupBy("component").agg(F.min("rep").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    labelled = parts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(least, ["component", "salt"]).select("node", "least")
+    counts = found.where("not tree").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    joined = classes.join(counts, "node", "left").join(labelled, "node", "left")
+    joined = joined.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "rep").alias("component_id"))
     mine = one.join(joined, "vector").select("vec_id", "links", "component_id")
-    out = every.join(mine, "vec_id", "left")
+    alone = vectors.where(~(usable(F.col(vector_col)) & F.col(id_col).isNotNull())).select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component_id"))
+    out = mine.unionByName(alone)
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(key, F.lit(True)).alias("kept"))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
 from tesserae.llm.ann_mih import nearest, shares
-from tesserae.llm.collision_projections import HALF, LINES, farthest, least_count, near_vectors, tables
+from tesserae.llm.collision_projections import HALF, LINES, _Forest, farthest, least_count, near_vectors, tables
 
 from .helpers import groups
 
@@ -89,6 +91,21 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors(_table(spark, [])).count() == 0 and near_vectors(_table(spark, _odd(3)[:5])).count() == 5
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.001]), (5, [0.0, -1.0]), (5, [0.0, -1.0])]
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(_table(spark, rows)).collect())
+    assert found == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True), (5, 0, 5, True)]
+
+
+def test_a_dense_group_makes_a_spanning_forest_at_once():
+    forest = _Forest(4096)
+    a, b = np.triu_indices(4096, 1)
+    begun, tree = time.perf_counter(), []
+    for i in range(0, len(a), 1 << 16):
+        tree += forest.spanning(a[i : i + (1 << 16)], b[i : i + (1 << 16)])
+    assert len(tree) == 4095 and time.perf_counter() - begun < 5
+
+
 def test_counts_and_tables_are_calibrated():
     rng = np.random.default_rng(3)
     gap = rng.normal(size=(20_000, LINES)) * np.sqrt(0.1)
