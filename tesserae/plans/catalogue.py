@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
 from ..operators import aggregates, dispatch, holes, mapping, native, search, table_function
-from ..sources import bam, fasta_index, heatmap, ranges, sinks
+from ..sources import bam, fasta_index, hdf5, heatmap, ranges, sinks
 from ..sources.profiles import parse_profiles, simple_profile
 from . import alignment_sql
 
@@ -695,15 +695,24 @@ def molecule_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").cast("int").alias("hole"), start.cast("int").alias("start"), (start + 2 * F.col("q")).cast("int").alias("stop"), kind[F.col("f")].alias("kind"), F.expr("repeat(f, 2 * q)").alias("bases"), F.lit(900).alias("accuracy"), F.lit("N").alias("zmw_type"))
 
 
-def stitched(parts: DataFrame) -> DataFrame:
+def high_quality(zmw: DataFrame) -> DataFrame:
     """hole, bases and the regions of high quality as text."""
     high = F.transform(F.filter("regions", lambda r: r["type"] == "HQRegion"), lambda r: F.concat_ws("-", r["start"], r["stop"]))
-    return holes.stitch_sources(parts).select("hole", "bases", F.array_join(high, ",").alias("high"))
+    return zmw.select("hole", "bases", F.array_join(high, ",").alias("high"))
 
 
 @query(_MOLECULES)
 def stitch_molecules(spark, sf_dir):
-    return stitched(molecule_parts(spark, sf_dir))
+    return high_quality(holes.stitch_sources(molecule_parts(spark, sf_dir)))
+
+
+@query(_MOLECULES)
+def hdf5_molecules(spark, sf_dir):
+    """The same through HDF5 files of base calls, read by ranges of holes."""
+    folder = ranges.shared_folder(spark, "calls")
+    zmw = holes.stitch_sources(molecule_parts(spark, sf_dir)).withColumn("regions", F.filter("regions", lambda r: r["type"].isin(*hdf5.REGION_TYPES)))
+    hdf5.write_calls(zmw.repartitionByRange("hole").sortWithinPartitions("hole"), folder)
+    return high_quality(hdf5.read_zmw(spark, folder))
 
 
 @query(_MOLECULES)
@@ -712,7 +721,7 @@ def bam_molecules(spark, sf_dir):
     folder = ranges.shared_folder(spark, "bam")
     parts = bam.make_records(molecule_parts(spark, sf_dir)).repartitionByRange("hole").sortWithinPartitions("hole", "start")
     bam.write_bam(parts, folder)
-    return stitched(bam.molecules(bam.read_bam(spark, folder, 1 << 20)))
+    return high_quality(holes.stitch_sources(bam.molecules(bam.read_bam(spark, folder, 1 << 20))))
 
 
 @query("SELECT p_partkey, strlen('>' || p_partkey || ' part' || chr(10) || p_name || chr(10))::BIGINT AS bytes, p_name AS raw FROM part")
