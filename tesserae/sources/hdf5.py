@@ -23,7 +23,7 @@ from .ranges import open_file
 #: The file's first bytes, an address that leads nowhere, kinds of messages and filters.
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
 NOWHERE = (1 << 64) - 1
-SPACE, TYPE, LAYOUT, FILTERS, CONTINUED, GROUP = 1, 3, 8, 11, 16, 17
+SPACE, TYPE, LAYOUT, FILTERS, ATTRIBUTE, CONTINUED, GROUP = 1, 3, 8, 11, 12, 16, 17
 DEFLATE, SHUFFLE, CHECKSUM = 1, 2, 3
 
 BASE_CALLS, CONSENSUS, REGIONS = "PulseData/BaseCalls", "PulseData/ConsensusBaseCalls", "PulseData/Regions"
@@ -109,20 +109,39 @@ class File:
         at = self.find(path)
         return None if at is None else Dataset(self, dict(self.messages(at)))
 
+    def attribute(self, path: str, name: str) -> np.ndarray | None:
+        """The numbers of an attribute of an object."""
+        at = self.find(path)
+        for kind, data in self.messages(at) if at is not None else []:
+            if kind != ATTRIBUTE or data[0] != 1:
+                continue
+            sizes = struct.unpack_from("<HHH", data, 2)
+            start = [8]
+            for n in sizes:
+                start.append(start[-1] + (n + 7) // 8 * 8)
+            if data[start[0] : start[0] + sizes[0]].split(b"\0")[0].decode() == name:
+                shape, number = _shape(data[start[2] :]), _number(data[start[1] :])
+                return np.frombuffer(data, number, int(np.prod(shape, dtype=np.int64)), start[3]).reshape(shape)
+        return None
+
+
+def _shape(space: bytes) -> tuple[int, ...]:
+    return struct.unpack_from(f"<{space[1]}Q", space, 8 if space[0] == 1 else 4)
+
+
+def _number(kind: bytes) -> np.dtype:
+    if kind[0] & 15 not in (0, 1):
+        raise ValueError("only numbers")
+    letter = "f" if kind[0] & 15 == 1 else "i" if kind[1] & 8 else "u"
+    return np.dtype(f"{'>' if kind[1] & 1 else '<'}{letter}{struct.unpack_from('<I', kind, 4)[0]}")
+
 
 class Dataset:
     """Rows of a dataset: its first dimension is read by ranges, the others whole."""
 
     def __init__(self, file: File, messages: dict[int, bytes]):
         self.file = file
-        space, kind, layout = messages[SPACE], messages[TYPE], messages[LAYOUT]
-        at = 8 if space[0] == 1 else 4
-        self.shape = struct.unpack_from(f"<{space[1]}Q", space, at)
-        size = struct.unpack_from("<I", kind, 4)[0]
-        if kind[0] & 15 not in (0, 1):
-            raise ValueError("only numbers")
-        letter = "f" if kind[0] & 15 == 1 else "i" if kind[1] & 8 else "u"
-        self.kind = np.dtype(f"{'>' if kind[1] & 1 else '<'}{letter}{size}")
+        layout, self.shape, self.kind = messages[LAYOUT], _shape(messages[SPACE]), _number(messages[TYPE])
         if layout[0] != 3:
             raise ValueError("only layouts of version 3")
         self.compact = self.chunk = None
@@ -294,6 +313,36 @@ def read_calls(index: DataFrame, group: str = BASE_CALLS) -> DataFrame:
     return spread.mapInArrow(run, CALLS)
 
 
+def read_traces(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
+    """hole, channel, trace: the frames of each channel of each hole, decoded by the file's table less its bias if it has one.
+
+    A task reads some holes of a file at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = opened(name)
+                holes, traces = file.dataset("TraceData/HoleNumber").rows(start, start + rows).ravel(), file.dataset("TraceData/Traces").rows(start, start + rows)
+                table, bias = file.dataset("TraceData/Codec/Decode"), file.attribute("TraceData/Codec/Decode", "Bias")
+                values = traces.astype(np.float64)
+                if table is not None:
+                    values = table.rows(0, table.shape[0]).astype(np.float64)[traces] - (0 if bias is None else float(bias.ravel()[0]))
+                n, channels = traces.shape[:2]
+                columns = [np.repeat(holes, channels).astype(np.int32), np.tile(np.arange(channels, dtype=np.int32), n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(values.reshape(n * channels, -1).astype(np.float32)), pa.list_(pa.float32()))], names=["hole", "channel", "trace"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                found = opened(name).dataset("TraceData/HoleNumber")
+                starts = list(range(0, found.shape[0] if found else 0, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts), pa.string()), pa.array(starts, pa.int64())], names=["file", "start"])
+
+    listed = _names(spark, path).mapInArrow(parts, "file string, start long").repartition(4 * spark.sparkContext.defaultParallelism, "file", "start")
+    return listed.mapInArrow(run, "hole int, channel int, trace array<float>")
+
+
 def read_zmw(spark: SparkSession, path: str, types: tuple[str, ...] = REGION_TYPES) -> DataFrame:
     """The table zmw of files of base calls: their holes with bases, qualities, frames and regions in the file's order of start."""
     regions = region_index(spark, path, types).groupBy(F.col("hole").alias("_hole"))
@@ -303,8 +352,9 @@ def read_zmw(spark: SparkSession, path: str, types: tuple[str, ...] = REGION_TYP
     return calls.join(regions, F.col("hole") == F.col("_hole"), "left").withColumn("regions", own).drop("_hole", "r")
 
 
-def make_file(tree: dict, chunk: int = 0) -> bytes:
-    """A file of nested dicts of arrays; chunk: rows of a chunk, shuffled and deflated, else contiguous."""
+def make_file(tree: dict, chunk: int = 0, attributes: dict[str, dict[str, int]] | None = None) -> bytes:
+    """A file of nested dicts of arrays; chunk: rows of a chunk, shuffled and deflated, else contiguous; attributes: whole numbers by
+    the name of a dataset."""
     out = bytearray(96)
 
     def put(data: bytes) -> int:
@@ -317,7 +367,14 @@ def make_file(tree: dict, chunk: int = 0) -> bytes:
         body = b"".join(struct.pack("<HHBxxx", kind, len(d) + -len(d) % 8, 0) + d + bytes(-len(d) % 8) for kind, d in messages)
         return put(struct.pack("<BBHIIxxxx", 1, 0, len(messages), 1, len(body)) + body)
 
-    def dataset(a: np.ndarray) -> int:
+    def noted(name: str) -> list[tuple[int, bytes]]:
+        out = []
+        for key, value in (attributes or {}).get(name, {}).items():
+            kind, text = struct.pack("<BBBBIHH4x", 0x10, 8, 0, 0, 8, 0, 64), key.encode() + b"\0"
+            out.append((ATTRIBUTE, struct.pack("<BxHHH", 1, len(text), 12, 8) + text + bytes(-len(text) % 8) + kind + struct.pack("<BBB5x", 1, 0, 0) + struct.pack("<q", value)))
+        return out
+
+    def dataset(a: np.ndarray, name: str) -> int:
         space = struct.pack("<BBB5x", 1, a.ndim, 0) + struct.pack(f"<{a.ndim}Q", *a.shape)
         size = a.dtype.itemsize
         if a.dtype.kind == "f":
@@ -325,7 +382,7 @@ def make_file(tree: dict, chunk: int = 0) -> bytes:
             kind = struct.pack("<BBBBIHHBBBBI", 0x11, 0x20, size * 8 - 1, 0, size, 0, size * 8, widths[0], widths[1], 0, widths[2], widths[3])
         else:
             kind = struct.pack("<BBBBIHH", 0x10, 8 if a.dtype.kind == "i" else 0, 0, 0, size, 0, size * 8)
-        messages = [(SPACE, space), (TYPE, kind)]
+        messages = [(SPACE, space), (TYPE, kind), *noted(name)]
         if not chunk or not a.size:
             at = put(a.tobytes()) if a.size else NOWHERE
             return header([*messages, (LAYOUT, struct.pack("<BBQQ", 3, 1, at, a.nbytes))])
@@ -344,7 +401,7 @@ def make_file(tree: dict, chunk: int = 0) -> bytes:
         return header([*messages, (FILTERS, filters), (LAYOUT, layout)])
 
     def group(members: dict) -> int:
-        places = {name: group(v) if isinstance(v, dict) else dataset(np.ascontiguousarray(v)) for name, v in members.items()}
+        places = {name: group(v) if isinstance(v, dict) else dataset(np.ascontiguousarray(v), name) for name, v in members.items()}
         names, text = {}, bytearray(8)
         for name in sorted(places):
             names[name] = len(text)

@@ -90,6 +90,35 @@ def codons(p: Profile) -> Column:
     return F.concat(head, F.lit("\nSA "), letters, F.lit("\nSD "), amino_to_codons(letters))
 
 
+def codon_blocks(p: Profile, width: int = WIDTH) -> Column:
+    """A record of a hit: numbered lines of tags, then blocks of four lines (consensus, states, amino acids, codons), three letters
+    for each aligned one; a block ends with the letter that passes width - 4. Insertions are in small letters."""
+    from ..functions.sequence import IUPAC_CODON
+
+    code = F.create_map(*[F.lit(x) for pair in IUPAC_CODON.items() for x in pair])
+    letters = F.filter(F.split("aligned", ""), lambda c: c != "")
+    word = F.lit(p.consensus)
+    framed = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    zero = F.struct((_c("ipmb") - 1).alias("at"), F.array().cast("array<struct<ex:string,as:string,sa:string,sd:string>>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        codon = F.coalesce(F.try_element_at(code, F.upper(c)), F.lit("NNN"))
+        inserted, gone = c.rlike("[a-z]"), c == "-"
+        expected = F.when(inserted, "   ").otherwise(framed(F.substring(word, a["at"] + 1, F.lit(1))))
+        state = F.when(inserted, "III").when(gone, "DDD").otherwise("MMM")
+        letter = F.when(inserted, F.lower(codon)).when(gone, "---").otherwise(codon)
+        item = F.struct(expected.alias("ex"), state.alias("as"), framed(c).alias("sa"), letter.alias("sd"))
+        return F.struct((a["at"] + F.when(inserted, 0).otherwise(1)).alias("at"), F.concat(a["out"], F.array(item)).alias("out"))
+
+    items = F.aggregate(letters, zero, step, lambda a: a["out"])
+    each = max(1, (width - 4) // 3 + 1)  # letters of a block
+    line = lambda own, name: F.array_join(F.transform(own, lambda x: x[name]), "")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)), F.lit(each)), lambda i: i <= F.size(letters))
+    blocks = F.transform(starts, lambda i: F.concat(*[x for n in ("ex", "as", "sa", "sd") for x in (F.lit(f"\n{n.upper()}\t"), line(F.slice(items, i, F.lit(each)), n))], F.lit("\n")))
+    head = F.format_string("ID\t%d\nIR\t" + p.identification.replace("%", "%%") + "\nIS\t%s\nSR\t%d\nSN\t%f\nCB\t%d %d %d\nCS\t%d %d %d\n**", F.lit(1), identifier(_c("header")), _c("score"), _c("norm_score").cast("double"), _c("ipmb"), F.lit(p.length + 1) + _c("ipme"), F.lit(p.length), _c("row_begin"), _c("row_end"), _c("seq_len"))
+    return F.concat(head, F.array_join(blocks, ""), F.lit("**\n//"))
+
+
 def data_summary() -> Column:
     """Score, cycles, length and text of an alignment, with tabs."""
     return F.concat_ws("\t", "score", "cycles", F.length("aligned"), "aligned")
@@ -101,11 +130,32 @@ def highlighted(p: Profile, sequence: Column) -> Column:
     return F.concat(F.lit(">"), _c("header"), F.lit("\n"), F.substring(sequence, F.lit(1), begin), F.lit(RED), F.substring(sequence, begin + 1, end - begin + 1), F.lit(PLAIN), F.substring(sequence, end + 2, F.length(sequence)))
 
 
+#: What a terminal shows for a letter left out, and for the border of two cycles.
+GONE, TURN = "\x1b[97-\x1b[31m", "\x1b[92m|\x1b[31m"
+
+
+def highlighted_cycles(p: Profile, sequence: Column) -> Column:
+    """The strand of a hit with the hit in colour, insertions in small letters, and marks for deletions and borders of cycles."""
+    begin = _c("seq_begin")
+    zero = F.struct((begin + 1).alias("at"), F.lit("").alias("text"))
+
+    def step(a: Column, c: Column) -> Column:
+        letter = F.substring(sequence, a["at"], F.lit(1))
+        shown = F.when(c == "M", letter).when(c == "I", F.lower(letter)).when(c.isin("D", "-"), GONE).when(c == "R", TURN).otherwise("")
+        return F.struct((a["at"] + F.when(c.isin("M", "I"), 1).otherwise(0)).alias("at"), F.concat(a["text"], shown).alias("text"))
+
+    # after a wrap from an insertion the state is not named but its letter is used up
+    body = F.aggregate(F.split("states", ""), zero, step, lambda a: a["text"])
+    turns = F.length("states") - F.length(F.replace(_c("states"), F.lit("R"), F.lit("")))
+    head = F.format_string(">%s direction=%s, raw_score=%d motif_start=%d motif_end=%d cycle=%d\n", _c("header"), _sign("<", ">"), _c("score"), _c("ipmb"), _c("ipme"), turns)
+    return F.concat(head, F.substring(sequence, F.lit(1), begin), F.lit(RED + "\x1b[4m"), body, F.lit(PLAIN), F.substring(sequence, _c("seq_end") + 2, F.length(sequence)))
+
+
 def mapping(sequence: Column) -> Column:
     return F.format_string("Sequence %s : %s %d-%d %d", sequence, _c("tag"), _c("begin"), _c("end"), _c("score"))
 
 
-FORMATS = {"default": default, "tsv": tsv, "one_line": one_line, "extended": extended, "fasta": fasta, "simple": simple, "matched": matched, "maker": maker, "scan": scan, "scan_line": scan_line, "scan_strict": lambda p: scan(p, strict=True), "scan_numbered": lambda p: scan(p, numbered=True), "codons": codons}
+FORMATS = {"default": default, "tsv": tsv, "one_line": one_line, "extended": extended, "fasta": fasta, "simple": simple, "matched": matched, "maker": maker, "scan": scan, "scan_line": scan_line, "scan_strict": lambda p: scan(p, strict=True), "scan_numbered": lambda p: scan(p, numbered=True), "codons": codons, "codon_blocks": codon_blocks}
 
 
 def lines(hits: DataFrame, profile: Profile, name: str, **options) -> DataFrame:
@@ -126,6 +176,13 @@ def rows_of(cells: DataFrame, state: str, key: str = "seq_id", by: str = "seq")
     return cells.groupBy(key, by).agg(F.transform(listed, lambda r: r["v"]).alias("values"))
 
 
+def write_counts(counts: DataFrame, path: str) -> None:
+    """A histogram or density as one text file, its bins in order: numbers with tabs. Bins are as many as their range says."""
+    *bins, n = counts.columns
+    ordered = counts.coalesce(1).sortWithinPartitions(*bins)
+    ordered.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in [*bins, n]]).alias("value")).write.text(path)
+
+
 def accuracy(hits: DataFrame) -> DataFrame:
     """ok, failed: how many aligned texts equal their headers."""
     same = F.col("aligned") == F.col("header")

@@ -78,3 +78,14 @@ def test_qualities_frames_and_consensus(spark, tmp_path):
     rows = hdf5.read_calls(index, hdf5.CONSENSUS).orderBy("hole").collect()
     assert [(r["hole"], r["x"], r["y"], r["bases"], bytes(r["qualities"]), r["pre_frames"], r["width_frames"]) for r in rows] == [(5, 0, 5, "TT", b"\3\4", [3, 4], [8, 9]), (70_001, 1, 4465, "ACG", b"\0\1\2", [0, 1, 2], [5, 6, 7])]
     assert hdf5.read_zmw(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [0, 3])
+def test_traces(spark, tmp_path, chunk):
+    rng = np.random.default_rng(4)
+    traces, table = rng.integers(0, 256, (10, 4, 30)).astype(np.uint8), np.arange(256, dtype=np.float32) * 2
+    tree = {"TraceData": {"HoleNumber": np.arange(100, 110, dtype=np.uint32), "Traces": traces, "Codec": {"Decode": table}}}
+    (tmp_path / "a.h5").write_bytes(hdf5.make_file(tree, chunk, {"Decode": {"Bias": 7, "Other": 1}}))
+    found = {(r["hole"], r["channel"]): r["trace"] for r in hdf5.read_traces(spark, str(tmp_path), 4).collect()}
+    assert len(found) == 40
+    assert all(found[100 + h, c] == [2.0 * v - 7 for v in traces[h, c].tolist()] for h in range(10) for c in range(4))

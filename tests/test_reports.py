@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import sequence as seq
 from tesserae.operators import aggregates, dispatch, holes, search
 from tesserae.operators.kernels import Kernel
-from tesserae.sources import heatmap
+from tesserae.sources import heatmap, sinks
 from tesserae.sources.profiles import Profile, simple_profile
 from tesserae.streaming import search as streaming
 
@@ -159,6 +159,33 @@ def test_running_totals_of_texts_and_structs(spark):
     assert all(total[t.decode()] == sum(n for u, n in sums if u < t) for t, _ in sums)
 
 
+def test_codon_blocks(spark):
+    profile = simple_profile("MKLV", "ACDEFGHIKLMNPQRSTVWY")
+    row = [("s1 text", 9, 0.5, 2, -1, 3, 8, 20, "KmL-V")]
+    df = spark.createDataFrame(row, "header string, score int, norm_score float, ipmb int, ipme int, row_begin int, row_end int, seq_len int, aligned string")
+    text = sinks.lines(df, profile, "codon_blocks", width=10).first()["text"]
+    head = "ID\t1\nIR\tMKLV\nIS\ts1\nSR\t9\nSN\t0.500000\nCB\t2 4 4\nCS\t3 8 20\n**"
+    assert text.startswith(head + "\nEX\t<K>   <L>\nAS\tMMMIIIMMM\n")
+    blocks = text[len(head) :].removesuffix("**\n//").strip("\n").split("\n\n")
+    assert [b.split("\n")[1] for b in blocks] == ["AS\tMMMIIIMMM", "AS\tDDDMMM"]
+    assert [b.split("\n")[2] for b in blocks] == ["SA\t<K><m><L>", "SA\t<-><V>"] and blocks[0].split("\n")[3][6:9] == "atg"
+
+
+def test_highlighted_cycles(spark):
+    df = spark.createDataFrame([(1, "TTCAGCAGTT")], "seq_id long, raw string")
+    hit = search.search(df, [CIRCLE], cutoff=20, key="seq_id").withColumn("header", F.lit("h")).withColumn("seq", F.lit("TTCAGCAGTT"))
+    text = hit.select(sinks.highlighted_cycles(CIRCLE, F.col("seq")).alias("t")).first()["t"]
+    head, body = text.split("\n")
+    assert head.startswith(">h direction=>, raw_score=30 ") and head.endswith("cycle=1")
+    assert body == "TT" + sinks.RED + "\x1b[4mCAG" + sinks.TURN + "CAG" + sinks.PLAIN + "TT"
+
+
+def test_counts_as_a_file(spark, tmp_path):
+    df = spark.createDataFrame([(2, 5), (1, 7), (10, 0)], "bin int, n long")
+    sinks.write_counts(df, str(tmp_path / "h"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "h")).collect()] == ["1\t7", "2\t5", "10\t0"]
+
+
 def wait(query):
     query.processAllAvailable()
     query.stop()
