@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import normalize, pattern
 from ..functions import sequence as seq
 from ..operators import aggregates, dispatch, holes, mapping, native, search, table_function
-from ..sources import bam, fasta_index, hdf5, heatmap, ranges, sinks
+from ..sources import bam, fasta_index, hdf5, heatmap, ranges, sequences, sinks
 from ..sources.profiles import parse_profiles, simple_profile
+from ..streaming import search as streaming
 from . import alignment_sql
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -473,6 +474,14 @@ _FORMATS = {
     "scan_numbered": _SCAN.format("id || '_' || \"rank\"", "0"),
     "codons": """printf('ID %s\nIR %d\nIS 1\nSR %d\nSN %.3f\nCB %d\nCS %d\nSA ', id, "rank", score, norm, cb, col) || upper(replace(aligned, '-', '')) || chr(10) || 'SD '
   || array_to_string(list_transform(regexp_extract_all(upper(aligned), '[A-Z]'), lambda c: CASE c WHEN 'C' THEN 'TGY' WHEN 'E' THEN 'GAR' WHEN 'P' THEN 'CCN' WHEN 'S' THEN 'WSN' ELSE 'GTN' END), '')""",
+    # at most 26 letters, so one block
+    "codon_blocks": """printf('ID\t%d\nIR\tVCP\nIS\t%s\nSR\t%d\nSN\t%f\nCB\t%d %d 3\nCS\t%d %d %d\n**', 1, id, score, norm, ipmb, 4 + ipme, "begin", "row", size)
+  || '\nEX\t' || array_to_string(list_transform(range(1, length(aligned) + 1), lambda i: CASE WHEN aligned[i] BETWEEN 'a' AND 'z' THEN '   '
+    ELSE '<' || substr('VCP', ipmb + length(regexp_replace(left(aligned, i - 1), '[a-z]', '', 'g')), 1) || '>' END), '')
+  || '\nAS\t' || array_to_string(list_transform(string_split(aligned, ''), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN 'III' WHEN c = '-' THEN 'DDD' ELSE 'MMM' END), '')
+  || '\nSA\t' || array_to_string(list_transform(string_split(aligned, ''), lambda c: '<' || c || '>'), '')
+  || '\nSD\t' || array_to_string(list_transform(string_split(aligned, ''), lambda c: CASE c WHEN '-' THEN '---' WHEN 'C' THEN 'TGY' WHEN 'E' THEN 'GAR' WHEN 'P' THEN 'CCN' WHEN 'S' THEN 'WSN' WHEN 'V' THEN 'GTN'
+    WHEN 'c' THEN 'tgy' WHEN 'e' THEN 'gar' WHEN 'p' THEN 'ccn' WHEN 's' THEN 'wsn' ELSE 'gtn' END), '') || '\n**\n//'""",
 }
 
 
@@ -744,3 +753,129 @@ def stitch(spark, sf_dir):
 def running_offset(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.struct("turn", "text").alias("o"), F.length("text").cast("long").alias("n"))
     return holes.running_offset(rows, "conv_id", "o", "n").select("conv_id", "turn", "text", F.col("offset").cast("long").alias("offset"))
+
+
+# Files, streams and the smaller parts of the library over the same tables.
+
+
+@query("SELECT p_partkey || ' part' AS header, p_name AS raw FROM part")
+def fasta_scan(spark, sf_dir):
+    folder = ranges.shared_folder(spark, "fasta")
+    table(spark, sf_dir, "part").select(F.concat(F.lit(">"), "p_partkey", F.lit(" part\n"), "p_name").alias("value")).write.text(folder)
+    return sequences.read_fasta(spark, folder).select("header", F.regexp_replace("raw", "\n$", "").alias("raw"))
+
+
+@query(f"SELECT hole, hole >> 16 AS x, hole & 65535 AS y, 0 AS status, length(bases)::INT AS n FROM ({_MOLECULES})")
+def hole_fields(spark, sf_dir):
+    return holes.stitch_sources(molecule_parts(spark, sf_dir)).select("hole", F.col("x").cast("int").alias("x"), "y", F.col("status").cast("int").alias("status"), F.length("bases").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS hole, l_linenumber * 100 AS s, 2 * max(l_quantity)::INT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber),
+r AS (SELECT *, row_number() OVER w - 1 AS region, s - min(s) OVER (PARTITION BY hole) AS start FROM l WINDOW w AS (PARTITION BY hole ORDER BY s))
+SELECT hole::INT AS hole, region::INT AS region, start::INT AS start, (start + n)::INT AS stop, repeat(f, n) AS bases FROM r WHERE f = 'N' AND n >= 40""")
+def subread_bases(spark, sf_dir):
+    return holes.subreads(holes.stitch_sources(molecule_parts(spark, sf_dir)), least=40)
+
+
+@query("SELECT l_orderkey, array_to_string(list_transform(list(l_quantity::INT ORDER BY l_linenumber, l_quantity), lambda q: 3 * q - 7), ',') AS trace FROM lineitem GROUP BY l_orderkey")
+def trace_decode(spark, sf_dir):
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"))))
+    codes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda r: r["q"]).alias("codes"))
+    return codes.select("l_orderkey", F.array_join(holes.decode_trace(F.col("codes"), [3 * i for i in range(256)], 7).cast("array<string>"), ",").alias("trace"))
+
+
+@query(f"""
+SELECT user_id, array_to_string(list_transform(range(1, length(raw) - 1), lambda i: CASE WHEN regexp_matches(substr(raw, i, 3), '[^TCAG]') THEN 'X'
+  ELSE substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * strpos('TCAG', raw[i]) + 4 * strpos('TCAG', raw[i + 1]) + strpos('TCAG', raw[i + 2]) - 20, 1) END), '') AS amino
+FROM (SELECT user_id, translate(raw, 'EPSV', 'TAGC') AS raw FROM ({_SYMBOLS}))""")
+def interleaved_frames(spark, sf_dir):
+    return symbols(spark, sf_dir).select("user_id", seq.interleaved_translation(F.translate("raw", "EPSV", "TAGC")).alias("amino"))
+
+
+@query("SELECT b.bin::BIGINT AS bin, count(l.l_orderkey)::BIGINT AS n FROM (SELECT unnest(range(10, 41)) AS bin) b LEFT JOIN lineitem l ON l.l_quantity::BIGINT = b.bin AND l.l_linenumber BETWEEN 2 AND 4 GROUP BY 1")
+def hist_with_cycles(spark, sf_dir):
+    return aggregates.histogram_with_cycles(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_linenumber"), 10, 40, (2, 4))
+
+
+@query("""
+SELECT l_orderkey AS hole, l_linenumber::INT AS region, l_quantity::INT AS score FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::INT DESC, l_linenumber) = 1""")
+def best_subread_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return holes.best_subread(lines.select(F.col("l_orderkey").alias("hole"), F.col("l_linenumber").cast("int").alias("region"), F.col("l_quantity").cast("int").alias("score")))
+
+
+_MIRROR = alignment_sql.matrix(f"SELECT user_id, reverse(raw) AS raw FROM ({_SYMBOLS})", "user_id", "PCV")
+
+
+@query(f"""
+SELECT a.user_id, a.seq, a.prf, a.match + b.match AS match, a.insertion + b.insertion AS insertion, a.deletion + b.deletion AS deletion
+FROM ({_MATRIX}) a JOIN (SELECT *, max(seq) OVER (PARTITION BY user_id) AS last FROM ({_MIRROR})) b ON b.user_id = a.user_id AND b.last - b.seq = a.seq AND 3 - b.prf = a.prf""")
+def matrix_mirror(spark, sf_dir):
+    rows = symbols(spark, sf_dir)
+    back = search.cell_matrix(rows.select("user_id", F.reverse("raw").alias("raw")), simple_profile("PCV", "CEPSV"), key="user_id")
+    return aggregates.matrix_sum(search.cell_matrix(rows, MOTIF, key="user_id"), back, 3, "user_id")
+
+
+@query(f"""
+SELECT h.user_id, "rank", '>' || h.user_id || chr(10) || substr(s.raw, 1, seq_begin) || chr(27) || '[31m' || substr(s.raw, seq_begin + 1, seq_end - seq_begin + 1) || chr(27) || '[0m' || substr(s.raw, seq_end + 2) AS text
+FROM ({_hits_sql(5)}) h JOIN ({_SYMBOLS}) s USING (user_id)""")
+def highlight_text(spark, sf_dir):
+    rows = symbols(spark, sf_dir)
+    found = hits(spark, sf_dir).withColumn("header", F.col("user_id").cast("string")).join(rows, "user_id")
+    return found.select("user_id", "rank", sinks.highlighted(MOTIF, F.col("raw")).alias("text"))
+
+
+@query("SELECT b.bin || chr(9) || count(l.l_orderkey) AS value FROM (SELECT unnest(range(0, 51)) AS bin) b LEFT JOIN lineitem l ON l.l_quantity::BIGINT = b.bin GROUP BY b.bin")
+def histogram_file(spark, sf_dir):
+    folder = ranges.shared_folder(spark, "histogram")
+    sinks.write_counts(aggregates.histogram(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), 0, 50), folder)
+    return spark.read.text(folder)
+
+
+@query(f"""SELECT 'Sequence ' || p_partkey || ' : ' || tag || ' ' || "begin" || '-' || "end" || ' ' || score AS text FROM ({ORACLES["map_reads"]})""")
+def mapping_text(spark, sf_dir):
+    return map_reads(spark, sf_dir).select(sinks.mapping(F.col("p_partkey").cast("string")).alias("text"))
+
+
+@query("""
+SELECT l_orderkey AS hole, 0 AS x, 0 AS y, ((l_orderkey * 37) % 1001)::INT AS quality, ((l_orderkey % 9) * 90 - 130)::INT AS hq_length, 0 AS length, count(DISTINCT l_linenumber)::INT AS subreads
+FROM lineitem GROUP BY l_orderkey""")
+def hole_rows(spark, sf_dir):
+    return holes.hole_rows(zmw(spark, sf_dir))
+
+
+@query(f"""SELECT user_id, score, cycles, "begin", "row" AS "end" FROM ({alignment_sql.hits(_CYCLES, "user_id", -9000)}) WHERE "rank" = 1""")
+def best_cycles(spark, sf_dir):
+    return search.best_cycles(symbols(spark, sf_dir), CYCLE, key="user_id")
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    """Windowed counts of a stream of the table's files, through a sink that writes each micro-batch."""
+    folder, rows = ranges.shared_folder(spark, "stream"), table(spark, sf_dir, "events")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    counts = streaming.windowed_counts(spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"))
+    writer = streaming.to_sink(counts, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/{n}"), f"{folder}/checkpoint")
+    writer.outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    last = max(int(name.rsplit("/", 1)[1]) for name in ranges.folders(folder) if name.rsplit("/", 1)[1].isdigit())
+    return spark.read.parquet(f"{folder}/{last}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_BACK = alignment_sql.ends(f"SELECT user_id, reverse(translate(raw, 'ACGT', 'TGCA')) AS raw FROM ({_SYMBOLS})", "user_id", alignment_sql.Model("VCP", "CASE {x} WHEN '{c}' THEN 3 ELSE -1 END"))
+
+
+@query(f"""
+WITH a AS ({_hits_sql(4)}), b AS ({_hits_sql(4, ends=_BACK)}), n AS (SELECT user_id, count(*) AS n FROM a GROUP BY user_id)
+SELECT * FROM a UNION ALL SELECT b.* REPLACE ((b."rank" + coalesce(n.n, 0))::INT AS "rank", -1 AS orientation) FROM b LEFT JOIN n USING (user_id)""")
+def hits_both_strands(spark, sf_dir):
+    return hits(spark, sf_dir, cutoff=4, both_strands=True).select(*PLACES)
+
+
+@query(f"""
+WITH a AS ({_hits_sql(4)}), b AS ({_hits_sql(4, ends=_BACK)}),
+s AS (SELECT user_id, coalesce(max(a.score), -99) AS f, coalesce(max(b.score), -99) AS r FROM a FULL JOIN b USING (user_id) GROUP BY user_id)
+SELECT a.* FROM a JOIN s USING (user_id) WHERE f >= r UNION ALL SELECT b.* REPLACE (-1 AS orientation) FROM b JOIN s USING (user_id) WHERE r > f""")
+def hits_best_strand(spark, sf_dir):
+    return hits(spark, sf_dir, cutoff=4, best_strand=True).select(*PLACES)

@@ -47,3 +47,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if urlsplit(root).scheme in ("", "file"):
             raise ValueError("set spark.checkpoint.dir to a folder that executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def folders(folder: str) -> list[str]:
+    """The folders in a folder."""
+    from pyarrow import fs
+
+    system, place = open_file(folder)
+    return [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.type == fs.FileType.Directory]
