@@ -12,7 +12,7 @@ import pytest
 from tesserae.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
