@@ -37,11 +37,11 @@ def accepts(found: Alignment, n: int, cutoff: int, score_range: tuple[int, int]
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deal rows of few files out to all cores by their key; an alignment costs far more than moving its sequence."""
+    """Deal rows of few files out to all cores by their key and text; an alignment costs far more than moving its sequence."""
     if rows.isStreaming:
         return rows
     cores, files = rows.sparkSession.sparkContext.defaultParallelism, len(rows.inputFiles())
-    return rows.repartition(4 * cores, key) if 0 < files < cores else rows
+    return rows.repartition(4 * cores, F.col(key), F.xxhash64("_seq")) if 0 < files < cores else rows
 
 
 def search(

@@ -879,3 +879,19 @@ s AS (SELECT user_id, coalesce(max(a.score), -99) AS f, coalesce(max(b.score), -
 SELECT a.* FROM a JOIN s USING (user_id) WHERE f >= r UNION ALL SELECT b.* REPLACE (-1 AS orientation) FROM b JOIN s USING (user_id) WHERE r > f""")
 def hits_best_strand(spark, sf_dir):
     return hits(spark, sf_dir, cutoff=4, best_strand=True).select(*PLACES)
+
+
+#: Entry at the first cell and down the first column only.
+_GLOCAL = _K1.replace("0 AS m1, 0 AS m2", "-12285 AS m1, -12285 AS m2").replace("greatest(k1, j1, 0), greatest(k2, j2, d1 - 3, 0)", "greatest(k1, j1, -12285), greatest(k2, j2, d1 - 3, -12285)")
+#: An insertion advances a column, too.
+_EXTENDED = _K1.replace("i1 - 3 AS j1, i2 - 3 AS j2, i3 - 3 AS j3", "-12288 AS j1, i1 - 3 AS j2, i2 - 3 AS j3")
+
+
+@query(_GLOCAL)
+def k3_best_events(spark, sf_dir):
+    return search.best_scores(symbols(spark, sf_dir), [MOTIF], model="glocal", key="user_id").select("user_id", F.col("score").cast("long").alias("score"))
+
+
+@query(_EXTENDED)
+def k4_best_events(spark, sf_dir):
+    return search.best_scores(symbols(spark, sf_dir), [MOTIF], model="extended", key="user_id").select("user_id", F.col("score").cast("long").alias("score"))
