@@ -3,7 +3,7 @@
 An alignment that loses at most `loss` of a tag's full score has at most e = loss / (least loss of one error) errors. Cut
 into e + 1 parts, one part of the tag is then whole, so every pair worth looking at shares the first letters of a part
 with the reference. Parts' seeds have as many letters as the shortest part allows, up to LONGEST; references are cut into
-windows of the lengths that occur, at most LONGEST of them. Seeds meet by a join, whose pairs are told apart before any
+windows of the lengths that occur, at most LONGEST of them. Equal tags are one. Seeds meet by a join, whose pairs are told apart before any
 text follows them; texts are joined to pairs and aligned whole, begins being carried beside the scores. Tags whose seeds
 would be shorter than SHORTEST, or with an N, meet all references in blocks of BLOCK tags.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import clean
 from .kernels import MAP_SCORES, Kernel, tag_profile
 
-SHORTEST, LONGEST, BLOCK = 3, 16, 256
+SHORTEST, LONGEST, BLOCK, PARTS = 3, 16, 256, 4
 PLACES = "begin int, end int, score int"
 
 
@@ -79,7 +79,8 @@ def map_tables(references: DataFrame, tags: DataFrame, loss: int, scores: dict =
         raise ValueError("an error takes nothing from the score, so no seed is sure")
     parts = loss // step + 1
     refs = references.select(F.col(key).alias("ref"), clean(F.col(text)).alias("letters")).where("letters <> ''")
-    own = tags.select(F.col(tag_key).alias("id"), clean(F.col(tag_text)).alias("tag")).where("tag <> ''")
+    named = tags.select(F.col(tag_key).alias("_id"), clean(F.col(tag_text)).alias("_tag")).where("_tag <> ''")
+    own = named.select(F.col("_tag").alias("tag")).distinct().withColumn("id", F.col("tag"))  # equal tags are mapped once
     seed = F.least(F.floor(F.length("tag") / parts), F.lit(LONGEST)).cast("int")
     plain = own.withColumn("k", seed).withColumn("all", (F.col("k") < SHORTEST) | F.contains("tag", F.lit("N")))
     sizes = sorted(r["k"] for r in plain.where("not all").select("k").distinct().collect())  # LONGEST numbers at most
@@ -91,8 +92,9 @@ def map_tables(references: DataFrame, tags: DataFrame, loss: int, scores: dict =
         starts = F.sequence(F.lit(1), F.greatest(F.length("letters") - F.col("k") + 1, F.lit(1)))
         words = windows.select("ref", "k", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("letters"), i, F.col("k"))))).alias("seed"))
         pairs = words.join(seeds, ["k", "seed"]).select("ref", "id").distinct()
-        texts = pairs.join(own, "id").join(refs, "ref")
-        out.append(texts.select("ref", "letters", F.array(F.struct("id", "tag")).alias("tags")))
+        # the references of a tag come together, in PARTS parts, so that they are aligned side by side
+        texts = pairs.join(refs, "ref").repartition(4 * refs.sparkSession.sparkContext.defaultParallelism, F.col("id"), F.pmod(F.xxhash64("ref"), F.lit(PARTS)))
+        out.append(texts.sortWithinPartitions("id").select("ref", "letters", F.array(F.struct("id", F.col("id").alias("tag"))).alias("tags")))
     block = plain.where("all").select(F.struct("id", "tag").alias("t"), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"))
     count = plain.where("all").count()
     if count:
@@ -102,4 +104,4 @@ def map_tables(references: DataFrame, tags: DataFrame, loss: int, scores: dict =
     schema = f"ref {kinds['ref']}, id {kinds['id']}, {PLACES}"
     made = [rows.mapInArrow(_aligned(scores, loss), schema) for rows in out] or [refs.sparkSession.createDataFrame([], schema)]
     found = made[0] if len(made) == 1 else made[0].unionByName(made[1])
-    return found.select(F.col("ref").alias(key), F.col("id").alias(tag_key), "begin", "end", "score")
+    return found.join(named, F.col("id") == F.col("_tag")).select(F.col("ref").alias(key), F.col("_id").alias(tag_key), "begin", "end", "score")
