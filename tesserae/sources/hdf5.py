@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -264,14 +265,16 @@ def hole_index(spark: SparkSession, path: str, group: str = BASE_CALLS) -> DataF
 def region_index(spark: SparkSession, path: str, types: tuple[str, ...] = REGION_TYPES) -> DataFrame:
     """hole, type, start, stop, quality: the table of regions; a number without a type is Useless."""
 
+    names = pa.array([*types, "Useless"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 table = opened(name).dataset(REGIONS)
                 for at in range(0, table.shape[0] if table else 0, 1 << 16):
                     rows = table.rows(at, at + (1 << 16)).astype(np.int64)
-                    kinds = [types[t] if 0 <= t < len(types) else "Useless" for t in rows[:, 1].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int32()), pa.array(kinds, pa.string()), *[pa.array(rows[:, c], pa.int32()) for c in (2, 3, 4)]], names=["hole", "type", "start", "stop", "quality"])
+                    kinds = names.take(pa.array(np.where((rows[:, 1] >= 0) & (rows[:, 1] < len(types)), rows[:, 1], len(types))))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int32()), kinds, *[pa.array(rows[:, c], pa.int32()) for c in (2, 3, 4)]], names=["hole", "type", "start", "stop", "quality"])
 
     return _names(spark, path).mapInArrow(run, "hole int, type string, start int, stop int, quality int")
 
@@ -420,29 +423,68 @@ def make_file(tree: dict, chunk: int = 0, attributes: dict[str, dict[str, int]]
     return bytes(out)
 
 
-def write_calls(zmw: DataFrame, folder: str, chunk: int = 1 << 14, types: tuple[str, ...] = REGION_TYPES) -> DataFrame:
-    """Write holes (hole, x, y, status, bases, regions) as a file of base calls for each partition, in its order; a partition must fit a task.
+def _whole(column: pa.Array, kind) -> np.ndarray:
+    if column.null_count:
+        raise ValueError("a hole or region has a null")
+    return column.to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _calls_tree(batches: list[pa.RecordBatch], types: tuple[str, ...]) -> dict:
+    """The groups and datasets of a file of holes."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    get = lambda c: table.column(c).chunk(0)
+    hole, bases, regions = _whole(get("hole"), np.int64), pc.fill_null(get("bases"), ""), get("regions")
+    size = pc.utf8_length(bases).to_numpy(zero_copy_only=False).astype(np.int32)
+    letters = np.frombuffer("".join(bases.to_pylist()).encode("latin-1"), np.uint8)
+    count = pc.fill_null(pc.list_value_length(regions), 0).to_numpy(zero_copy_only=False)
+    flat = regions.flatten()
+    kind = pc.index_in(flat.field("type"), pa.array(types))
+    if kind.null_count:
+        raise ValueError(f"a type of region is none of {types}")
+    rows = [np.repeat(hole, count), _whole(kind, np.int32), *[_whole(flat.field(c), np.int32) for c in ("start", "stop", "quality")]]
+    holes = {"HoleNumber": hole.astype(np.uint32), "HoleStatus": _whole(get("status"), np.uint8), "HoleXY": np.stack([_whole(get("x"), np.int32), _whole(get("y"), np.int32)], axis=1), "NumEvent": size}
+    return {"PulseData": {"BaseCalls": {"Basecall": letters, "ZMW": holes}, "Regions": np.stack(rows, axis=1).astype(np.int32)}}
+
+
+def write_calls(zmw: DataFrame, folder: str, chunk: int = 1 << 14, types: tuple[str, ...] = REGION_TYPES, holes: int = 1 << 16, bases: int = 1 << 24) -> DataFrame:
+    """Write holes (hole, x, y, status, bases, regions) as files of base calls, each partition's in its order.
 
-    Returns file and number of holes; an empty partition makes no file.
+    A file has at most so many holes, and no more bases than given unless one hole has more; a task holds one file at a
+    time, whatever its partition. Returns file and number of holes; an empty partition makes no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if not rows:
-            return
         system, root = open_file(folder)
-        name = f"part-{context.partitionId():05d}.h5"
-        column = lambda c, kind: np.array([r[c] for r in rows], kind)
-        bases = [(r["bases"] or "").encode("latin-1") for r in rows]
-        regions = [(r["hole"], types.index(g["type"]), g["start"], g["stop"], g["quality"]) for r in rows for g in r["regions"] or []]
-        holes = {"HoleNumber": column("hole", np.uint32), "HoleStatus": column("status", np.uint8), "HoleXY": np.stack([column("x", np.int32), column("y", np.int32)], axis=1), "NumEvent": np.array(list(map(len, bases)), np.int32)}
-        tree = {"PulseData": {"BaseCalls": {"Basecall": np.frombuffer(b"".join(bases), np.uint8), "ZMW": holes}, "Regions": np.array(regions, np.int32).reshape(-1, 5)}}
-        temp = f"{root}/.{name}.{context.taskAttemptId()}"
-        with system.open_output_stream(temp, compression=None) as out:
-            out.write(make_file(tree, chunk))
-        system.move(temp, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(rows)], pa.int64())], names=["file", "holes"])
+        made: list[tuple[str, str, int]] = []
+
+        def write(parts: list[pa.RecordBatch]) -> None:
+            name = f"part-{context.partitionId():05d}-{len(made):05d}.h5"
+            temp = f"{root}/.{name}.{context.taskAttemptId()}"
+            with system.open_output_stream(temp, compression=None) as out:
+                out.write(make_file(_calls_tree(parts, types), chunk))
+            made.append((temp, name, sum(map(len, parts))))
+
+        own, n, held = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("bases")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(batch):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(at + holes - n, int(np.searchsorted(ends, before + bases - held, "right")))
+                if stop <= at and own:
+                    write(own)
+                    own, n, held = [], 0, 0
+                    continue
+                stop = max(stop, at + 1)
+                own.append(batch.slice(at, stop - at))
+                n, held, at = n + stop - at, held + int(ends[stop - 1]) - before, stop
+        if own:
+            write(own)
+        for temp, name, _ in made:
+            system.move(temp, f"{root}/{name}")
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}" for _, name, _ in made]), pa.array([n for *_, n in made], pa.int64())], names=["file", "holes"])
 
     system, root = open_file(folder)
     system.create_dir(root, recursive=True)

@@ -89,3 +89,19 @@ def test_traces(spark, tmp_path, chunk):
     found = {(r["hole"], r["channel"]): r["trace"] for r in hdf5.read_traces(spark, str(tmp_path), 4).collect()}
     assert len(found) == 40
     assert all(found[100 + h, c] == [2.0 * v - 7 for v in traces[h, c].tolist()] for h in range(10) for c in range(4))
+
+
+def test_a_partition_makes_files_of_bounded_size(spark, tmp_path):
+    regions = "array<struct<type:string,start:int,stop:int,quality:int>>"
+    rows = [(h, 1, h, 0, None if h == 3 else "AC\u00e9" * (1 + h % 5), [("Insert", 0, h, 1), ("HQRegion", 0, h, 900)] if h % 4 else None) for h in range(50)]
+    df = spark.createDataFrame(rows, f"hole int, x int, y int, status int, bases string, regions {regions}").coalesce(1)
+    for k, limits in enumerate(({"holes": 7}, {"bases": 20}, {"holes": 3, "bases": 1})):
+        made = hdf5.write_calls(df, f"file://{tmp_path}/f{k}", 16, **limits).collect()
+        assert sum(m["holes"] for m in made) == 50
+        assert max(m["holes"] for m in made) <= limits.get("holes", 50) and len(made) >= (8, 10, 50)[k]
+        read = {r["hole"]: r for r in hdf5.read_zmw(spark, f"file://{tmp_path}/f{k}").collect()}
+        assert len(read) == 50
+        for h, x, y, status, bases, own in rows:
+            r = read[h]
+            assert (r["x"], r["y"], r["status"], r["bases"]) == (x, y, status, bases or "")
+            assert sorted((g["type"], g["start"], g["stop"], g["quality"]) for g in r["regions"]) == sorted(own or [])
