@@ -184,13 +184,13 @@ def long_scores(sequences: DataFrame, profile: Profile, model: str | None = None
     return found.where("not open").select(F.col("_k").alias(key), F.col("score").cast("int").alias("score")).unionByName(rest.select(F.col("_k").alias(key), "score"))
 
 
-def best_cycles(sequences: DataFrame, profile: Profile, key: str = "seq_id", text: str = "raw") -> DataFrame:
-    """key, score, cycles, begin, end: the best alignment, the last one on a tie; wraps from an insertion count as no cycle.
+def best_cycles(sequences: DataFrame, profile: Profile, key: str = "seq_id", text: str = "raw", insertion_wraps: bool = False) -> DataFrame:
+    """key, score, cycles, begin, end: the best alignment, the last one on a tie; wraps from an insertion count as a cycle only on demand.
 
     begin and end are rows of the matrix: the residues begin to end - 1. Null and empty sequences give no row.
     """
     _own_name(key, ("score", "cycles", "begin", "end"))
-    kernel = Kernel(profile, insertion_wraps=False)
+    kernel = Kernel(profile, insertion_wraps=insertion_wraps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae.operators import search
+from tesserae.plans import catalogue
 from tesserae.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +62,19 @@ def test_whole_documents_against_the_scalar_kernel(spark):
             seq = Kernel(p).encode(t["text"]).tolist()
             cells = scalar(p, seq, "standard")
             assert got[t["doc_id"], k] == max(c[1] for row in cells[1:] for c in row[1:])
+
+
+def test_best_cycles_counts_wraps_from_insertions(spark, tmp_path):
+    """Texts whose best alignment wraps from an insertion; the smallest tables have none."""
+    names = {"V": "view", "C": "click", "P": "purchase", "S": "signup", "E": "error"}
+    texts = {1: "PPVCVCVCSVCPP", 2: "VCVCSVCVCVC", 3: "EVCVCVC", 4: "SSS"}
+    rows = [(k * 100 + i, k, i, names[c]) for k, text in texts.items() for i, c in enumerate(text)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, second int, event_type string")
+    events.select("event_id", "user_id", F.timestamp_seconds("second").alias("ts"), "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT user_id, score, cycles, \"begin\", \"end\" FROM ({ORACLES['best_cycles']})").fetchall()
+    got = QUERIES["best_cycles"](spark, str(tmp_path)).select("user_id", "score", "cycles", "begin", "end")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plain = search.best_cycles(catalogue.symbols(spark, str(tmp_path)), catalogue.CYCLE, key="user_id").collect()
+    assert sum(r["cycles"] for r in plain) < sum(w[2] for w in want)
