@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import to_normalized
 from ..functions.sequence import clean, reverse_complement
-from ..sources.profiles import I, M, Profile
+from ..sources.profiles import D, I, M, Profile
 from .kernels import MAP_SCORES, Alignment, Kernel, heuristic_score, heuristic_table, tag_profile
 from .stretches import NO, Stretches, settle
 
@@ -216,23 +216,116 @@ def with_norm(hits: DataFrame, profile: Profile, mode: int = 1, length: Column |
     return hits.withColumn("norm_score", value.cast("float"))
 
 
-def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
-    """key, seq, prf, match, insertion, deletion: every cell of each sequence's matrix."""
-    _own_name(key, ("seq", "prf", "match", "insertion", "deletion"))
-    kernel = Kernel(profile, model)
+def _matrix_frame(sequences: DataFrame, key: str, text: str, columns: str, made) -> DataFrame:
+    """Rows that `made` makes of each batch's encoded sequences: (positions of the sequences, arrays of the columns)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    _own_name(key, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, letters in enumerate(batch.column(1).to_pylist()):
-                cells, _, _ = kernel.matrix(kernel.encode(letters or ""))
-                rows, columns = cells.shape[:2]
-                flat = cells.reshape(-1, 4)
-                own = batch.column(0).take(pa.array(np.full(len(flat), row)))
-                at = [pa.array(np.repeat(np.arange(rows), columns), pa.int32()), pa.array(np.tile(np.arange(columns), rows), pa.int32())]
-                yield pa.RecordBatch.from_arrays([own, *at, *[pa.array(flat[:, s], pa.int32()) for s in (2, 3, 0)]], names=[key, "seq", "prf", "match", "insertion", "deletion"])
+            for own, arrays in made([x or "" for x in batch.column(1).to_pylist()]):
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), *arrays], names=[key, *names])
+                yield from (out.slice(at, _SLICE) for at in range(0, len(out), _SLICE))
 
     kind = sequences.schema[key].dataType.simpleString()
-    return sequences.select(F.col(key), clean(F.col(text)).alias("_seq")).mapInArrow(run, f"`{key}` {kind}, seq int, prf int, match int, insertion int, deletion int")
+    rows = spread(sequences.select(F.col(key), clean(F.col(text)).alias("_seq")), key)
+    return rows.mapInArrow(run, f"`{key}` {kind}, {columns}")
+
+
+_SLICE = 1 << 18  # rows of a batch of cells
+
+
+def _places(own: np.ndarray, size: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lane, row) of every row of a group of matrices, and (row, column) of every cell."""
+    lane = np.repeat(np.arange(len(own)), size + 1)
+    row = np.arange(len(lane)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
+    return lane, row, np.repeat(row, columns).astype(np.int32), np.tile(np.arange(columns, dtype=np.int32), len(row))
+
+
+_CELL = "seq int, prf int, match int, insertion int, deletion int"
+
+
+def cell_matrix(sequences: DataFrame, profile: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """key, seq, prf, match, insertion, deletion: every cell of each sequence's matrix."""
+    kernel = Kernel(profile, model)
+
+    def made(texts: list[str]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        for own, size, scores in kernel.scored([kernel.encode(x) for x in texts]):
+            lane, row, seq, prf = _places(own, size, kernel.length + 1)
+            flat = scores[lane, row].reshape(-1, 4)
+            yield np.repeat(own[lane], kernel.length + 1), [pa.array(x) for x in (seq, prf, *(np.ascontiguousarray(flat[:, s]) for s in (M, I, D)))]
+
+    return _matrix_frame(sequences, key, text, _CELL, made)
+
+
+def mirror_matrix(sequences: DataFrame, profile: Profile, mirror: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """key, seq, prf, match, insertion, deletion: every cell plus that of the reversed sequence and profile at the mirrored place.
+
+    As aggregates.matrix_sum of two tables of cells, but both matrices of a sequence are made, and added, in one place.
+    """
+    kernel, back = Kernel(profile, model), Kernel(mirror, model)
+    if kernel.length != back.length:
+        raise ValueError("the profiles differ in length")
+
+    def made(texts: list[str]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        both = zip(kernel.scored([kernel.encode(x) for x in texts]), back.scored([back.encode(x)[::-1] for x in texts]), strict=True)
+        for (own, size, scores), (_, _, mirrored) in both:
+            lane, row, seq, prf = _places(own, size, kernel.length + 1)
+            flat = (scores[lane, row] + mirrored[lane, size[lane] - row, ::-1]).reshape(-1, 4)
+            yield np.repeat(own[lane], kernel.length + 1), [pa.array(x) for x in (seq, prf, *(np.ascontiguousarray(flat[:, s]) for s in (M, I, D)))]
+
+    return _matrix_frame(sequences, key, text, _CELL, made)
+
+
+def matrix_rows(sequences: DataFrame, profile: Profile, state: str = "match", model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """key, seq, values: one state's scores of each matrix row; forbidden ones are -32767. As sinks.rows_of, without a shuffle of cells."""
+    kernel, at = Kernel(profile, model), {"match": M, "insertion": I, "deletion": D}[state]
+
+    def made(texts: list[str]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        for own, size, scores in kernel.scored([kernel.encode(x) for x in texts]):
+            lane, row, _, _ = _places(own, size, kernel.length + 1)
+            values = scores[lane, row, :, at]
+            ends = np.arange(len(row) + 1, dtype=np.int32) * np.int32(kernel.length + 1)
+            yield own[lane], [pa.array(row.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.where(values <= -16383, -32767, values).astype(np.int32).ravel()))]
+
+    return _matrix_frame(sequences, key, text, "seq int, values array<int>", made)
+
+
+def matrix_extrema(sequences: DataFrame, profile: Profile, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """The least and greatest score of each state of each sequence's matrix. As aggregates.matrix_extrema, without a row a cell."""
+    kernel = Kernel(profile, model)
+
+    def made(texts: list[str]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        for own, size, scores in kernel.scored([kernel.encode(x) for x in texts]):
+            lane, row, _, _ = _places(own, size, kernel.length + 1)
+            flat, first = scores[lane, row], np.cumsum(size + 1) - size - 1
+            least, most = np.minimum.reduceat(flat.min(axis=1), first), np.maximum.reduceat(flat.max(axis=1), first)
+            yield own, [pa.array(np.ascontiguousarray(x[:, s])) for s in (M, I, D) for x in (least, most)]
+
+    return _matrix_frame(sequences, key, text, ", ".join(f"{f}_{c} int" for c in ("match", "insertion", "deletion") for f in ("min", "max")), made)
+
+
+def matrix_pixels(sequences: DataFrame, profile: Profile, levels: int, floor: int | None = None, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
+    """key, zoom, y, x, value: the greatest match score, floor at least, behind each pixel at each level of zoom.
+
+    As heatmap.pixels of a table of cells, but each sequence's matrix is shrunk where it is made.
+    """
+    kernel = Kernel(profile, model)
+
+    def made(texts: list[str]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        for own, size, scores in kernel.scored([kernel.encode(x) for x in texts]):
+            value, rows = scores[..., M], size + 1
+            value = np.where((np.arange(value.shape[1]) < rows[:, None])[..., None], value if floor is None else np.maximum(value, floor), np.iinfo(np.int32).min)
+            for zoom in range(levels):
+                if zoom:
+                    value = np.pad(value, ((0, 0), (0, value.shape[1] % 2), (0, value.shape[2] % 2)), constant_values=np.iinfo(np.int32).min)
+                    value = value.reshape(len(own), value.shape[1] // 2, 2, value.shape[2] // 2, 2).max(axis=(2, 4))
+                    rows = (rows + 1) // 2
+                lane, row, y, x = _places(own, rows - 1, value.shape[2])
+                found = value[lane, row].ravel().astype(np.int32)
+                yield np.repeat(own[lane], value.shape[2]), [pa.array(c) for c in (np.full(len(found), zoom, np.int32), y, x, found)]
+
+    return _matrix_frame(sequences, key, text, "zoom int, y int, x int, value int", made)
 
 
 def map_tags(genomes: DataFrame, tags: Sequence[tuple[str, str]], scores: dict = MAP_SCORES, key: str = "seq_id", text: str = "raw") -> DataFrame:

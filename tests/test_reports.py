@@ -15,7 +15,7 @@ from tesserae.functions import sequence as seq
 from tesserae.operators import aggregates, dispatch, holes, search
 from tesserae.operators.kernels import Kernel
 from tesserae.sources import heatmap, sinks
-from tesserae.sources.profiles import Profile, simple_profile
+from tesserae.sources.profiles import D, I, M, Profile, simple_profile
 from tesserae.streaming import search as streaming
 
 PROFILE = simple_profile("ACG", "ACGT", cutoff=4)
@@ -223,3 +223,30 @@ def test_windowed_counts_with_late_rows(spark, tmp_path):
         key = (str(r["start"]), r["event_type"])
         last[key] = max(last.get(key, (0, 0)), (r["n"], r["total"]))
     assert last[("2024-01-01 00:00:00", "a")] == (3, 5.0) and last[("2024-01-01 00:10:00", "b")] == (1, 1.0)
+
+
+@pytest.mark.parametrize("profile", [PROFILE, CIRCLE])
+def test_matrices_of_many_sequences_side_by_side(rows, profile):
+    """Rows, extremes, pixels and mirrored sums made beside the cells are those made of a table of cells."""
+    df, _ = rows
+    mirror = simple_profile("GAC", "ACGT", match=4, mismatch=-2, gap=-2, circular=profile.circular) if profile.length == 3 else profile
+    cells = search.cell_matrix(df, profile)
+    same = lambda a, b: sorted(map(repr, a.select(*sorted(a.columns)).collect())) == sorted(map(repr, b.select(*sorted(a.columns)).collect()))
+    kernel, own = Kernel(profile), {}
+    for r in cells.collect():
+        own.setdefault(r["seq_id"], {})[r["seq"], r["prf"]] = (r["match"], r["insertion"], r["deletion"])
+    for r in df.collect():
+        scores, _, _ = kernel.matrix(kernel.encode(r["raw"] or ""))
+        assert own[r["seq_id"]] == {(i, j): tuple(int(c[s]) for s in (M, I, D)) for i, line in enumerate(scores) for j, c in enumerate(line)}
+    for state in ("match", "insertion", "deletion"):
+        assert same(search.matrix_rows(df, profile, state), sinks.rows_of(cells, state))
+    assert same(search.matrix_extrema(df, profile), aggregates.matrix_extrema(cells))
+    assert same(search.matrix_pixels(df, profile, 4, -5), heatmap.pixels(cells, F.greatest("match", F.lit(-5)), 4).withColumnRenamed("_key", "seq_id"))
+    back = search.cell_matrix(df.select("seq_id", F.reverse("raw").alias("raw")), mirror)
+    assert same(search.mirror_matrix(df, profile, mirror), aggregates.matrix_sum(cells, back, profile.length))
+    assert "Exchange" not in search.matrix_rows(df, profile)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mirrored_profiles_of_other_length_are_refused(rows):
+    with pytest.raises(ValueError, match="length"):
+        search.mirror_matrix(rows[0], PROFILE, simple_profile("ACGTACGTAC", "ACGT"))
