@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def search(
     ranges = score_range is not None or cycle_range is not None or clip is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             strands = {1: texts} if not (both_strands or best_strand) else {1: texts, -1: [x[::-1].translate(_SWAP) for x in texts]}
             made = []
@@ -108,13 +109,26 @@ def _own_name(key: str, names: Sequence[str] = tuple(_NAMES)) -> None:
 _SWAP = str.maketrans("ACGT", "TGCA")
 
 
+LETTERS = 1 << 20  # of the sequences that are scored side by side
+
+
+def portions(batch: pa.RecordBatch, column: int | str = 1, letters: int = LETTERS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many letters, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + letters, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def best_scores(sequences: DataFrame, profiles: Sequence[Profile], both_strands: bool = False, model: str | None = None, key: str = "seq_id", text: str = "raw") -> DataFrame:
     """key, profile_id, orientation, score: the best score alone, many sequences side by side; no cells are kept."""
     _own_name(key, ("profile_id", "orientation", "score"))
     kernels = [Kernel(p, model) for p in profiles]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             forward = [x or "" for x in batch.column(1).to_pylist()]
             for pid, kernel in enumerate(kernels):
                 n = len(forward)
@@ -146,8 +160,7 @@ def long_scores(sequences: DataFrame, profile: Profile, model: str | None = None
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, len(big), 64):
-                batch = big.slice(at, 64)
+            for batch in portions(big, "_part"):
                 n, piece = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_n", "_piece"))
                 parts = batch.column("_part").to_pylist()
                 own = [kernel.encode(x) for x in parts]
@@ -157,16 +170,17 @@ def long_scores(sequences: DataFrame, profile: Profile, model: str | None = None
                 best = run.best()
                 after = run.after().reshape(len(own), wide)
                 names, last = batch.column("_k"), piece == n - 1
-                blob = [a.astype("<i8").tobytes() for a in after]
-                yield pa.RecordBatch.from_arrays([names, pa.array(piece, pa.int32()), pa.array(last), pa.array(parts, pa.string()), pa.array(best, pa.int64()), pa.array(blob, pa.binary()), pa.nulls(len(own), pa.binary())], names=["_k", "_piece", "_last", "_part", "best", "after", "before"])
+                # a first piece never runs again, so only its score goes on
+                blob = [None if f and e else a.astype("<i8").tobytes() for a, f, e in zip(after, piece == 0, last, strict=True)]
+                kept = [None if f else x for x, f in zip(parts, piece == 0, strict=True)]
+                yield pa.RecordBatch.from_arrays([names, pa.array(piece, pa.int32()), pa.array(last), pa.array(kept, pa.string()), pa.array(best, pa.int64()), pa.array(blob, pa.binary()), pa.nulls(len(own), pa.binary())], names=["_k", "_piece", "_last", "_part", "best", "after", "before"])
                 on = np.flatnonzero(~last)
                 none = pa.nulls(len(on))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(on)), pa.array(piece[on] + 1, pa.int32()), none.cast(pa.bool_()), none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([blob[j] for j in on.tolist()], pa.binary())], names=["_k", "_piece", "_last", "_part", "best", "after", "before"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, len(big), 64):
-                batch = big.slice(at, 64)
+            for batch in portions(big, "_part"):
                 best, last = batch.column("best").to_numpy(zero_copy_only=False).copy(), batch.column("_last").to_numpy(zero_copy_only=False).astype(bool)
                 later = np.flatnonzero(batch.column("before").is_valid().to_numpy(zero_copy_only=False))
                 changed = np.zeros(len(best), bool)

@@ -136,3 +136,17 @@ def test_many_hits_of_a_long_sequence():
     found = kernel.hits(letters, 6)
     assert len(found) > 300
     assert tuples(found) == by_cells(kernel, letters, 6, None, False)
+
+
+def test_batches_are_cut_by_letters():
+    """Ten thousand long texts of one batch are never scored at once."""
+    import pyarrow as pa
+
+    from tesserae.operators.search import portions
+
+    texts = ["A" * n for n in (3, 0, 5, 30, 1, 1, 8)] + [None, "CC"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], names=["k", "t"])
+    parts = [p.column(1).to_pylist() for p in portions(batch, letters=10)]
+    assert [x for p in parts for x in p] == texts
+    assert [len(p) for p in parts] == [3, 1, 4, 1]
+    assert [len(p) for p in portions(batch.slice(3), letters=1000)] == [6]
