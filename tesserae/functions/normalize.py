@@ -50,3 +50,13 @@ def average_score(encoded: Column, weights: Sequence[int]) -> Column:
     w = F.array(*[F.lit(float(x)) for x in weights])
     total = F.aggregate(encoded, F.lit(0.0), lambda a, x: a + w[x])
     return F.when(F.size(encoded) > 0, total / F.size(encoded)).otherwise(F.lit(0.0))
+
+
+def average_of_text(text: Column, alphabet: str, weights: Sequence[int]) -> Column:
+    """As average_score, of a cleaned sequence itself: each letter is counted by what its removal leaves, no array is made. Null stays null."""
+    n = F.length(text)
+    total = n.cast("double") * float(weights[0])
+    for letter, w in zip(alphabet, weights[1:], strict=True):
+        if w != weights[0]:
+            total = total + (n - F.length(F.replace(text, F.lit(letter), F.lit("")))) * float(w - weights[0])
+    return F.when(n > 0, total / n).when(n == 0, F.lit(0.0))
