@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import normalize
 from tesserae.functions import sequence as seq
-from tesserae.operators import aggregates, dispatch, holes, search
+from tesserae.operators import aggregates, dispatch, holes, search, table_function
 from tesserae.operators.kernels import Kernel
 from tesserae.sources import heatmap, sinks
 from tesserae.sources.profiles import D, I, M, Profile, simple_profile
@@ -250,3 +251,28 @@ def test_matrices_of_many_sequences_side_by_side(rows, profile):
 def test_mirrored_profiles_of_other_length_are_refused(rows):
     with pytest.raises(ValueError, match="length"):
         search.mirror_matrix(rows[0], PROFILE, simple_profile("ACGTACGTAC", "ACGT"))
+
+
+def test_table_function_on_a_table(spark, rows):
+    """Many rows at once give what each gives alone, whatever the key's type."""
+    df, texts = rows
+    table_function.register(spark, [PROFILE, CIRCLE], "alone")
+    table_function.register_table(spark, [PROFILE, CIRCLE], "together")
+    for p in (0, 1):
+        for key in ("seq_id", "cast(seq_id AS string) AS seq_id"):
+            own = df.selectExpr(key, "raw")
+            a = spark.sql(f"SELECT s.seq_id, h.* FROM {{rows}} s, LATERAL alone(s.raw, {p}) h", rows=own)
+            b = spark.sql(f"SELECT * FROM together(TABLE({{rows}}), {p})", rows=own)
+            assert a.schema == b.schema and a.count() > 5
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_average_of_a_text_makes_no_array(spark):
+    texts = ["", "A", "ZZZ", "HELLOWORLD", "AB" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    letters, weights = "ABCDEFGHIJKLMNOPQRSTUVWXY", [7, *range(1, 26)]
+    plain = normalize.average_score(seq.encode(F.col("t"), letters), weights)
+    got = df.select("t", plain.alias("a"), normalize.average_of_text(F.col("t"), letters, weights).alias("b"))
+    assert all(r["a"] == r["b"] for r in got.where("t is not null").collect())
+    assert got.where("t is null").first()["b"] is None
+    assert "transform(" not in got.select("b")._jdf.queryExecution().executedPlan().toString()
