@@ -34,6 +34,7 @@ SCRAPS = {"A": "Adapter", "B": "Barcode", "L": "LQRegion", "F": "Filtered"}
 MAGIC = b"BAM\1"
 HEAD = struct.Struct("<iiiBBHHHiiii")
 CHAIN, LARGEST, PAYLOAD = 4, 1 << 28, 0xFF00
+LETTERS, CODES = frozenset(BASES), str.maketrans(BASES, "0123456789abcdef")
 HEX = bytes.maketrans(b"0123456789abcdef", BASES.encode())
 ROW = "file string, place long, name string, flag int, ref_id int, pos int, mapq int, cigar string, bases string, qualities binary, tags map<string,string>, record binary"
 
@@ -211,8 +212,9 @@ def decode(record: bytes) -> tuple:
 def encode(name: str, bases: str, tags: list[tuple[str, str, object]], qualities: bytes | None = None, flag: int = 4, ref: int = -1, pos: int = -1, mapq: int = 255, cigar: list[tuple[int, str]] | None = None) -> bytes:
     """A record with its size in front; tags are (name, type, value), a B type has its number's letter after it."""
     ops = b"".join(struct.pack("<I", n << 4 | CIGAR.index(c)) for n, c in cigar or [])
-    codes = [BASES.index(c) for c in bases] + [0] * (len(bases) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    if not LETTERS.issuperset(bases):
+        raise ValueError("a base has no code")
+    packed = bytes.fromhex(bases.translate(CODES) + "0" * (len(bases) % 2))
     out = []
     for key, kind, value in tags:
         if kind == "A":

@@ -121,3 +121,11 @@ def test_filter_and_write(spark, files, tmp_path):
     expected = sorted(p[0] for p in parts if p[4] and (p[0].split("/")[1] == "65531" or p[0].startswith("cell/65540/0_")))
     assert sum(r["records"] for r in made.collect()) == len(expected)
     assert sorted(r["name"] for r in bam.read_bam(spark, str(tmp_path / "out")).collect()) == expected
+
+
+def test_bases_are_packed_at_once():
+    for text in ("", "A", bam.BASES, "ACGTN" * 1001):
+        assert bam.decode(bam.encode("n", text, []))[6] == text
+    for text in ("E", "a", " A", "AF"):
+        with pytest.raises(ValueError, match="no code"):
+            bam.encode("n", text, [])
