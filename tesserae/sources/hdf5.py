@@ -347,12 +347,15 @@ def read_traces(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
 
 
 def read_zmw(spark: SparkSession, path: str, types: tuple[str, ...] = REGION_TYPES) -> DataFrame:
-    """The table zmw of files of base calls: their holes with bases, qualities, frames and regions in the file's order of start."""
+    """The table zmw of files of base calls: their holes with bases, qualities, frames and regions in the file's order of start.
+
+    Spark takes the size of the list of files for that of what they hold, so without a hint it would broadcast all regions.
+    """
     regions = region_index(spark, path, types).groupBy(F.col("hole").alias("_hole"))
     regions = regions.agg(F.sort_array(F.collect_list(F.struct("start", "stop", "type", "quality"))).alias("r"))
     calls = read_calls(hole_index(spark, path))
     own = F.transform(F.coalesce("r", F.array().cast(regions.schema["r"].dataType)), lambda r: F.struct(r["type"].alias("type"), r["start"].alias("start"), r["stop"].alias("stop"), r["quality"].alias("quality")))
-    return calls.join(regions, F.col("hole") == F.col("_hole"), "left").withColumn("regions", own).drop("_hole", "r")
+    return calls.join(regions.hint("merge"), F.col("hole") == F.col("_hole"), "left").withColumn("regions", own).drop("_hole", "r")
 
 
 def make_file(tree: dict, chunk: int = 0, attributes: dict[str, dict[str, int]] | None = None) -> bytes:

@@ -105,3 +105,16 @@ def test_a_partition_makes_files_of_bounded_size(spark, tmp_path):
             r = read[h]
             assert (r["x"], r["y"], r["status"], r["bases"]) == (x, y, status, bases or "")
             assert sorted((g["type"], g["start"], g["stop"], g["quality"]) for g in r["regions"]) == sorted(own or [])
+
+
+def test_regions_are_not_broadcast(spark, tmp_path):
+    regions = "array(struct('Insert' as type, 1 as start, 5 as stop, 0 as quality), struct('HQRegion' as type, 0 as start, 9 as stop, cast(id % 1000 as int) as quality))"
+    df = spark.range(20_000).selectExpr("cast(id as int) as hole", "0 as x", "0 as y", "0 as status", "repeat('A', 10) as bases", f"{regions} as regions")
+    folder = f"file://{tmp_path}/calls"
+    hdf5.write_calls(df.repartitionByRange(3, "hole"), folder)
+    own = spark.newSession()
+    # the list of three files is smaller than that, their regions are larger
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    own.conf.set("spark.sql.maxBroadcastTableSize", "100k")
+    found = hdf5.read_zmw(own, folder).selectExpr("hole", "bases", "regions[0].quality as q", "size(regions) as n").collect()
+    assert sorted(map(tuple, found)) == [(h, "A" * 10, h % 1000, 2) for h in range(20_000)]
